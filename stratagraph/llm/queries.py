@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratagraph.llm import exact_dedup, mixing, quality
+from stratagraph.llm import exact_dedup, jaccard, mixing, packing, quality, token_files
+from stratagraph.llm.scratch import Scratch
+
+
+#: Tokenizer files: which library file, what becomes of a space, the end id.
+PACKING_TOKENS = ("word_bpe_49k.json", "drop", 2)
+FILE_TOKENS = ("byte_bpe_50k.json", "prefix", 0)
+
+
+def _tokenizer(choice: tuple[str, str, int]) -> tuple[str, str, int]:
+    import public_tokenizers
+
+    return (public_tokenizers.path(choice[0]), *choice[1:])
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +29,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -26,11 +42,24 @@ def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(docs, mixing.tempered(docs))
 
 
+def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), *_tokenizer(PACKING_TOKENS)).drop("row_key", "ids")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'tokens').root}/files"
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, *_tokenizer(FILE_TOKENS))
+    return token_files.read_tokens(spark, path).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_jaccard_join": op2_jaccard_join,
         "op5_quality": op5_quality,
         "op7_poisson_mix": op7_poisson_mix,
+        "op8_retrieval_packing": op8_retrieval_packing,
+        "op10_token_files": op10_token_files,
     }
 
 
