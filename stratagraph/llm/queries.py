@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratagraph.llm import exact_dedup, jaccard, mixing, packing, quality, token_files
+from stratagraph.llm import exact_dedup, jaccard, lattice, mixing, packing, quality, substring, token_files
 from stratagraph.llm.scratch import Scratch
 
 
@@ -33,6 +33,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,7 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_lattice_dedup": op3_lattice_dedup,
         "op5_quality": op5_quality,
+        "op6_recompression": op6_recompression,
         "op7_poisson_mix": op7_poisson_mix,
         "op8_retrieval_packing": op8_retrieval_packing,
         "op10_token_files": op10_token_files,
