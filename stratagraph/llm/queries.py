@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratagraph.llm import exact_dedup, jaccard, lattice, mixing, packing, quality, substring, token_files
+from stratagraph.llm import exact_dedup, jaccard, lattice, mixing, packing, pii, quality, secrets, substring, token_files
 from stratagraph.llm.scratch import Scratch
 
 
@@ -37,6 +37,14 @@ def op3_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.similar_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -65,10 +73,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_jaccard_join": op2_jaccard_join,
         "op3_lattice_dedup": op3_lattice_dedup,
+        "op4_personal_data": op4_personal_data,
         "op5_quality": op5_quality,
         "op6_recompression": op6_recompression,
         "op7_poisson_mix": op7_poisson_mix,
         "op8_retrieval_packing": op8_retrieval_packing,
+        "op9_secrets": op9_secrets,
         "op10_token_files": op10_token_files,
     }
 
