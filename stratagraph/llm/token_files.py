@@ -41,16 +41,14 @@ _INDEX = np.dtype([("start", "<u8"), ("base", "<u4"), ("width", "u1"), ("excepti
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
     """Bytes of each row: its numbers at ``width`` bits, lowest first."""
-    bits = (rows[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+    bits = np.unpackbits(rows.astype("<u4")[:, :, None].view(np.uint8), axis=2, bitorder="little")
+    return np.packbits(bits[:, :, :width].reshape(len(rows), -1), axis=1, bitorder="little")
 
 
 def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), BLOCK, width)
-    out = np.zeros((len(packed), BLOCK), np.uint32)
-    for k in range(width):
-        out |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-    return out
+    bits = np.zeros((len(packed), BLOCK, 32), np.uint8)
+    bits[:, :, :width] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), BLOCK, width)
+    return np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
 
 
 def encode_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -67,7 +65,7 @@ def encode_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     width = np.full(n, 32, np.uint8)
     top = rows.max(axis=1) if n else base
     for w in range(int(top.max()).bit_length() if n else 0, -1, -1):
-        fits = (rows < np.uint64(1 << w)).sum(axis=1) >= need
+        fits = np.count_nonzero(rows <= np.uint32((1 << w) - 1), axis=1) >= need
         if not fits.any():
             break
         width[fits] = w

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
 
 #: Words that a worker keeps, at most; then it starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
 PATTERNS = {
     "prefix": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "drop": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
@@ -53,14 +54,15 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if not _PLAIN.fullmatch(word):
             ids = self.whole(word)
+        elif self.space == "drop" and (low := word.lower()) != word:
+            ids = self[low]
         else:
-            if self.space == "drop":
-                word_ = word.lower()
+            parts = [word] if word.isalpha() else self._split.findall(word)
+            if len(parts) == 1:
+                letters = parts[0].encode().decode("latin-1").translate(self._letters)
+                ids = array(self.kind.char, [t.id for t in self.model.tokenize(letters)]).tobytes()
             else:
-                word_ = word
-            parts = [word_] if word_.isalpha() else self._split.findall(word_)
-            letters = (p.encode().decode("latin-1").translate(self._letters) for p in parts)
-            ids = np.array([t.id for p in letters for t in self.model.tokenize(p)], self.kind).tobytes()
+                ids = b"".join(map(self.__getitem__, parts))
         if len(self) >= KEPT_WORDS:
             self.clear()
         self[word] = ids
