@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go once it is written."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """A folder of written tables; removed when the Python process ends."""
 
@@ -44,7 +56,8 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/{self._n}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        with _shuffles_removed(self.spark):
+            df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out

@@ -34,7 +34,7 @@ from stratagraph.llm.scratch import Scratch
 from stratagraph.llm.textcols import Words, _power_tables, mix
 
 WINDOW = 50
-ROUNDS = 3
+ROUNDS = 7
 #: Rows whose words are parsed together.
 ROWS = 256
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -148,6 +148,11 @@ def _window_hashes(words: Words, starts: np.ndarray, size: int) -> tuple[np.ndar
     return tuple(out)
 
 
+def _key(sha) -> int:
+    """Tells apart the rows of one id in fewer bytes than the whole digest."""
+    return int.from_bytes(sha.digest()[:8], "little", signed=True)
+
+
 def _parse(size: int, rounds: int):
     def run(batches):
         for batch in batches:
@@ -159,8 +164,11 @@ def _parse(size: int, rounds: int):
                 cut = np.searchsorted(starts, words.row_start)
                 names = [np.unique(found[i:j]).view(np.int64).tolist() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 text = [(t.as_py() or "").encode() for t in part.column(1)]
-                sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in text]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.row_start), pa.int64()), pa.array(sha), pa.array(names, pa.list_(pa.int64()))], names=["id", "n_words", "sha", "anchors"])
+                sha = [hashlib.sha256(b" ".join(t.split())) for t in text]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(words.row_start), pa.int64()), pa.array([x.hexdigest() for x in sha]), pa.array(list(map(_key, sha)), pa.int64()), pa.array(names, pa.list_(pa.int64()))],
+                    names=["id", "n_words", "sha", "key", "anchors"],
+                )
 
     return run
 
@@ -194,8 +202,8 @@ def _windows(size: int, rounds: int):
 def _own(batches):
     """Rows whose words are those that were marked, if an id has several rows."""
     for batch in batches:
-        sha = [hashlib.sha256(b" ".join((t.as_py() or "").encode().split())).hexdigest() for t in batch.column(4)]
-        yield batch.filter(pa.array([a == b.as_py() for a, b in zip(sha, batch.column(2), strict=True)], pa.bool_()))
+        key = [_key(hashlib.sha256(b" ".join((t.as_py() or "").encode().split()))) for t in batch.column(4)]
+        yield batch.filter(pa.array([a == b.as_py() for a, b in zip(key, batch.column(2), strict=True)], pa.bool_()))
 
 
 def _strip(size: int):
@@ -204,17 +212,17 @@ def _strip(size: int):
     def run(batches):
         for batch in batches:
             out = []
-            for i, sha, text, at in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for i, key, text, at in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words = (text or "").encode().split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, np.array(at, np.int64), 1)
                 np.add.at(edge, np.array(at, np.int64) + size, -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 left = b" ".join(compress(words, keep))
-                out.append((i, sha, int(len(words) - keep.sum()), left.decode(), hashlib.sha256(left).hexdigest()))
+                out.append((i, key, int(len(words) - keep.sum()), left.decode(), hashlib.sha256(left).hexdigest()))
             cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "sha", "n_removed", "kept_text", "kept_sha256"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "key", "n_removed", "kept_text", "kept_sha256"])
 
     return run
 
@@ -224,29 +232,31 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept_text is null where no word goes."""
     scratch = Scratch(docs.sparkSession, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parsed = scratch.save(rows.mapInArrow(_parse(size, rounds), "id long, n_words long, sha string, anchors array<long>"))
-    facts = parsed.select("id", "n_words", "sha")
+    parsed = scratch.save(rows.mapInArrow(_parse(size, rounds), "id long, n_words long, sha string, key long, anchors array<long>"))
+    facts = parsed.select("id", "n_words", "sha", "key")
     repeated = not facts.groupBy("id").count().filter("count > 1").isEmpty()
-    long_ = facts.filter((F.col("n_words") >= size) & F.col("id").isNotNull())
-    first = scratch.save(long_.groupBy("sha").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first_id"))
-    copies = scratch.save(long_.join(first, "sha").filter("id > first_id").select("id", "sha").distinct().select(F.col("id").alias("c_id"), F.col("sha").alias("c_sha")))
-    solo = parsed.filter((F.col("n_words") >= size) & F.col("id").isNotNull()).join(copies, (F.col("id") == F.col("c_id")) & (F.col("sha") == F.col("c_sha")), "left_anti")
-    entries = scratch.save(solo.select("id", "sha", F.explode("anchors").alias("anchor")))
+    full = (F.col("n_words") >= size) & F.col("id").isNotNull()
+    first = scratch.save(facts.filter(full).groupBy("sha").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first_id"))
+    copies = scratch.save(facts.filter(full).join(first, "sha").filter("id > first_id").select(F.col("id").alias("c_id"), F.col("key").alias("c_key")).distinct())
+    is_copy = (F.col("id") == F.col("c_id")) & (F.col("key") == F.col("c_key"))
+    solo = parsed.filter(full).select("id", "key", "anchors").join(copies, is_copy, "left_anti")
+    entries = scratch.save(solo.select("id", "key", F.explode("anchors").alias("anchor")))
     shared = scratch.save(entries.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"))
     # Rows of one id but other words are twins: each has marks of its own.
-    twin = (F.row_number().over(Window.partitionBy("id").orderBy("sha")) - 1).cast("long")
-    marks = entries.join(shared, "anchor").groupBy("id", "sha").agg(F.collect_set("anchor").alias("anchors")).withColumn("twin", twin)
-    marks = scratch.save(marks.select(F.col("id").alias("m_id"), "twin", "sha", "anchors"))
-    held = rows.join(marks, F.col("id") == F.col("m_id")).select("id", "twin", "sha", "anchors", "text")
-    held = scratch.save(held.mapInArrow(_own, "id long, twin long, sha string, anchors array<long>, text string").dropDuplicates(["id", "twin"]) if repeated else held)
+    twin = (F.row_number().over(Window.partitionBy("id").orderBy("key")) - 1).cast("long")
+    marks = entries.join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors")).withColumn("twin", twin)
+    marks = scratch.save(marks.select(F.col("id").alias("m_id"), "twin", "key", "anchors"))
+    scratch.drop(entries), scratch.drop(shared)
+    held = rows.join(marks, F.col("id") == F.col("m_id")).select("id", "twin", "key", "anchors", "text")
+    held = scratch.save(held.mapInArrow(_own, "id long, twin long, key long, anchors array<long>, text string").dropDuplicates(["id", "twin"]) if repeated else held)
     found = held.select("id", "twin", "anchors", "text").mapInArrow(_windows(size, rounds), "id long, at long, h1 long, h2 long")
     least = scratch.save(found.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").drop("last_id"))
     again = found.join(least, ["h1", "h2"]).filter("id > first_id")
     cut = again.groupBy("id", F.shiftright("at", 32).alias("twin")).agg(F.collect_set(F.col("at").bitwiseAND(0xFFFFFFFF)).alias("at"))
-    left = held.drop("anchors").join(cut, ["id", "twin"]).select("id", "sha", "text", "at")
-    left = left.mapInArrow(_strip(size), "id long, sha string, n_removed long, kept_text string, kept_sha256 string")
-    left = left.select(F.col("id").alias("l_id"), F.col("sha").alias("l_sha"), "n_removed", "kept_text", "kept_sha256")
-    out = facts.join(copies, (F.col("id") == F.col("c_id")) & (F.col("sha") == F.col("c_sha")), "left").join(left, (F.col("id") == F.col("l_id")) & (F.col("sha") == F.col("l_sha")), "left")
+    left = held.drop("anchors").join(cut, ["id", "twin"]).select("id", "key", "text", "at")
+    left = left.mapInArrow(_strip(size), "id long, key long, n_removed long, kept_text string, kept_sha256 string")
+    left = left.select(F.col("id").alias("l_id"), F.col("key").alias("l_key"), "n_removed", "kept_text", "kept_sha256")
+    out = facts.join(copies, is_copy, "left").join(left, (F.col("id") == F.col("l_id")) & (F.col("key") == F.col("l_key")), "left")
     gone = F.col("c_id").isNotNull()
     return out.select(
         F.col("id").alias("doc_id"),
