@@ -249,10 +249,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop(entries), scratch.drop(shared)
     held = rows.join(marks, F.col("id") == F.col("m_id")).select("id", "twin", "key", "anchors", "text")
     held = scratch.save(held.mapInArrow(_own, "id long, twin long, key long, anchors array<long>, text string").dropDuplicates(["id", "twin"]) if repeated else held)
+    scratch.drop(marks)
     found = held.select("id", "twin", "anchors", "text").mapInArrow(_windows(size, rounds), "id long, at long, h1 long, h2 long")
     least = scratch.save(found.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").drop("last_id"))
     again = found.join(least, ["h1", "h2"]).filter("id > first_id")
-    cut = again.groupBy("id", F.shiftright("at", 32).alias("twin")).agg(F.collect_set(F.col("at").bitwiseAND(0xFFFFFFFF)).alias("at"))
+    place = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")
+    # Written on its own: the windows' shuffle is gone before texts are shuffled.
+    cut = scratch.save(again.select("id", F.shiftright("at", 32).alias("twin"), place).groupBy("id", "twin").agg(F.collect_set("at").alias("at")))
     left = held.drop("anchors").join(cut, ["id", "twin"]).select("id", "key", "text", "at")
     left = left.mapInArrow(_strip(size), "id long, key long, n_removed long, kept_text string, kept_sha256 string")
     left = left.select(F.col("id").alias("l_id"), F.col("key").alias("l_key"), "n_removed", "kept_text", "kept_sha256")
