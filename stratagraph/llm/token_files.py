@@ -39,16 +39,21 @@ _HEAD = np.dtype([("docs", "<u8"), ("tokens", "<u8"), ("blocks", "<u8"), ("packe
 _INDEX = np.dtype([("start", "<u8"), ("base", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
 
+def _bits(width: int) -> int:
+    """Bits of the smallest whole number of two or four bytes that holds ``width``."""
+    return 16 if width <= 16 else 32
+
+
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
     """Bytes of each row: its numbers at ``width`` bits, lowest first."""
-    bits = np.unpackbits(rows.astype("<u4")[:, :, None].view(np.uint8), axis=2, bitorder="little")
+    bits = np.unpackbits(rows.astype(f"<u{_bits(width) // 8}")[:, :, None].view(np.uint8), axis=2, bitorder="little")
     return np.packbits(bits[:, :, :width].reshape(len(rows), -1), axis=1, bitorder="little")
 
 
 def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
-    bits = np.zeros((len(packed), BLOCK, 32), np.uint8)
+    bits = np.zeros((len(packed), BLOCK, _bits(width)), np.uint8)
     bits[:, :, :width] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), BLOCK, width)
-    return np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+    return np.packbits(bits, axis=2, bitorder="little").view(f"<u{_bits(width) // 8}")[:, :, 0]
 
 
 def encode_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:

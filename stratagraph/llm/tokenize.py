@@ -51,16 +51,23 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _tokens(self, letters: str) -> bytes:
+        return array(self.kind.char, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word):
-            ids = self.whole(word)
-        elif self.space == "drop" and (low := word.lower()) != word:
+        led = word[:1] == " " and self.space == "prefix"
+        body = word[1:] if led else word
+        low = body if led or self.space == "prefix" else body.lower()
+        if low != body and _PLAIN.fullmatch(word):
             ids = self[low]
+        elif body.isascii() and body.isalpha():  # one word of letters that stand for themselves
+            ids = self._tokens(self._letters[32] + body if led else body)
+        elif not _PLAIN.fullmatch(word):
+            ids = self.whole(word)
         else:
             parts = [word] if word.isalpha() else self._split.findall(word)
             if len(parts) == 1:
-                letters = parts[0].encode().decode("latin-1").translate(self._letters)
-                ids = array(self.kind.char, [t.id for t in self.model.tokenize(letters)]).tobytes()
+                ids = self._tokens(parts[0].encode().decode("latin-1").translate(self._letters))
             else:
                 ids = b"".join(map(self.__getitem__, parts))
         if len(self) >= KEPT_WORDS:
