@@ -99,15 +99,21 @@ def _sign(n: int, depth: int, trees: int):
 
 
 def _sets_of(n: int):
-    """Shingle sets of the classes' texts, once for each pair of blocks."""
+    """Shingle sets of the classes' texts, once a task for each pair of blocks,
+    however many rows repeat the smallest id of a class."""
 
     def run(batches):
+        done: set[bytes] = set()
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 part = batch.slice(a, ROWS)
                 cls, copies, blocks, keys = (part.column(k).to_pylist() for k in range(4))
                 sets = shingle_sets(part.column(4), n)
-                rows = [(b, c, m, k, s.tobytes()) for c, m, bs, ks, s in zip(cls, copies, blocks, keys, sets, strict=True) if _digest(s) == c for b, k in zip(bs, ks, strict=True)]
+                rows = []
+                for c, m, bs, ks, s in zip(cls, copies, blocks, keys, sets, strict=True):
+                    if c not in done and _digest(s) == c:
+                        done.add(c)
+                        rows += [(b, c, m, k, s.tobytes()) for b, k in zip(bs, ks, strict=True)]
                 for b in range(0, len(rows), 256):
                     cols = list(zip(*rows[b : b + 256], strict=True))
                     kinds = (pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.binary())
@@ -152,6 +158,9 @@ def forest(n: int, links: np.ndarray) -> np.ndarray:
 
 def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
+        # Rows that repeat a smallest id may have been read by several tasks.
+        first = {key: k for k, key in reversed(list(enumerate(zip(table.column("cls").to_pylist(), table.column("side").to_pylist(), strict=True))))}
+        table = table.take(sorted(first.values()))
         cls = table.column("cls").to_pylist()
         copies = np.array(table.column("copies").to_pylist(), np.int64)
         side = np.array(table.column("side").to_pylist())

@@ -37,6 +37,15 @@ def test_edges(make, edges):
     assert run(make(edges)) == expected(edges)
 
 
+def test_a_repeated_smallest_id_counts_once_in_its_blocks(make):
+    words = [f"w{k}" for k in range(100)]
+    near = " ".join([*words[:-1], "other"])
+    some = [(9, " ".join(words)), (9, " ".join(words)), (10, near)]
+    assert [r[1] for r in run(make(some))] == [2, 2, 2]
+    some += [(9, near), (11, " ".join(words).upper()), (None, near)]
+    assert run(make(some)) == expected(some)
+
+
 def test_empty(make):
     assert run(make([])) == []
 
