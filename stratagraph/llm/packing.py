@@ -3,7 +3,8 @@
 Documents become token ids, are dealt by a MinHash of their ids (so that like
 documents meet) and cut into shards of bounded size. Each shard has an inverted
 index over token ids with BM25 weights; document frequencies and the mean
-length are those of the whole corpus. A seed document fills a window; its best
+length are those of the whole corpus. A seed is scored by all its distinct ids;
+the end id closes every document and is no term. A seed document fills a window; its best
 unused neighbours follow, whole if they fit, until a last one is cut to fit.
 What is left of that one seeds the next window. What remains at the end of a
 task fills sequences whose lengths are powers of two, so nothing is padded.
@@ -29,8 +30,6 @@ from stratagraph.llm.tokenize import encoder
 
 WINDOW = 4096
 SHARD_TOKENS = 1 << 21
-#: Terms of a seed that are looked up: those of the largest BM25 weight.
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 
 
@@ -81,22 +80,24 @@ class Shard:
     """BM25 over the token ids of some documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, weights, self.top = [], [], []
+        terms, weights = [], []
         for x in docs:
             u, tf = np.unique(x, return_counts=True)
+            u = u.astype(np.int64)
             w = idf[u] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))
             terms.append(u), weights.append(w)
-            self.top.append(u if len(u) <= QUERY_TERMS else u[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]])
         term = np.concatenate(terms).astype(np.int64)
         order = np.argsort(term, kind="stable")
         owner = np.repeat(np.arange(len(docs)), [len(u) for u in terms])
         self.owner, self.weight = owner[order], np.concatenate(weights)[order]
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.n = len(docs)
+        self.n, self.terms = len(docs), terms
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.top[seed]]
+        spans = [slice(a, b) for a, b in zip(self.first[self.terms[seed]], self.first[self.terms[seed] + 1], strict=True)]
+        if not spans:
+            return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score[~unused] = 0
         found = np.flatnonzero(score)
@@ -108,6 +109,8 @@ class Packer:
 
     def __init__(self, part: int, idf: np.ndarray, mean: float):
         self.base, self.idf, self.mean, self.count, self.rest = part << 32, idf, mean, 0, []
+        #: Pieces by how they came into their window.
+        self.came = {"seed": 0, "retrieved": 0, "by length": 0, "last": 0}
 
     def fill(self, docs: list[tuple], last: bool):
         """Pieces (row, start, length, sequence, offset) of docs (row, at, ids)."""
@@ -115,7 +118,7 @@ class Packer:
         self.rest = []
         if not docs:
             return
-        index = Shard([d[2] for d in docs], self.idf, self.mean)
+        index = Shard([d[2][:-1] for d in docs], self.idf, self.mean)
         left = np.array([len(d[2]) - d[1] for d in docs])
         at = np.array([d[1] for d in docs])
         unused = left > 0
@@ -134,22 +137,27 @@ class Packer:
             seed = carry if carry >= 0 and unused[carry] else next(k for k in order if unused[k])
             carry, used = -1, 0
             n, out = piece(seed, WINDOW, 0)
+            self.came["seed"] += 1
             used += n
             yield out
             if used < WINDOW:
-                near = [k for k in index.neighbours(seed, unused) if k != seed]
+                near = index.neighbours(seed, unused)
+                near = near[near != seed]
                 spare = None
-                for k in near:
-                    if left[k] <= WINDOW - used:
-                        n, out = piece(k, WINDOW, used)
-                        used += n
-                        yield out
-                        if used == WINDOW:
-                            break
-                    elif spare is None:
-                        spare = k
+                while used < WINDOW and len(near):
+                    fits = np.flatnonzero(left[near] <= WINDOW - used)
+                    if spare is None and (not len(fits) or fits[0]):
+                        spare = near[0]
+                    if not len(fits):
+                        break
+                    k, near = near[fits[0]], near[fits[0] + 1 :]
+                    n, out = piece(k, WINDOW, used)
+                    self.came["retrieved"] += 1
+                    used += n
+                    yield out
                 while used < WINDOW:
                     k = spare if spare is not None else next(j for j in order if unused[j])
+                    self.came["retrieved" if spare is not None else "by length"] += 1
                     spare = None
                     n, out = piece(k, WINDOW - used, used)
                     used += n
@@ -177,6 +185,7 @@ class Packer:
                 if at == len(ids):
                     row, at, ids = next(rest)
                 n = min(room, len(ids) - at)
+                self.came["last"] += 1
                 yield row, at, n, self.base + self.count, offset, ids
                 at, room, offset = at + n, room - n, offset + n
             self.count += 1

@@ -111,3 +111,21 @@ def test_a_seed_is_followed_by_what_is_most_like_it():
     index = packing.Shard(docs, np.log1p((20 - df + 0.5) / (df + 0.5)), 50.0)
     near = [k for k in index.neighbours(7, np.ones(20, bool)) if k != 7]
     assert set(near) <= {5, 6, 8, 9} and near
+
+
+def test_a_seed_is_scored_by_all_its_terms():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 300, rng.integers(0, 200)) for _ in range(30)]
+    # The rarest ids of the seed are its own; the others share common ones alone.
+    docs[3] = np.concatenate([np.arange(400, 440), np.arange(300)])
+    df = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=440)
+    idf = np.log1p((30 - df + 0.5) / (df + 0.5))
+    want = {}
+    for k, x in enumerate(docs):
+        u, tf = np.unique(x, return_counts=True)
+        w = idf[u] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / 90.0))
+        if s := sum(v for t, v in zip(u, w, strict=True) if t in set(docs[3])):
+            want[k] = s
+    got = packing.Shard(docs, idf, 90.0).neighbours(3, np.ones(30, bool)).tolist()
+    assert sorted(got) == sorted(want)
+    assert np.allclose([want[k] for k in got], sorted(want.values(), reverse=True))
