@@ -6,8 +6,9 @@ kinds and "none": words side by side share a chain potential, and words alike
 however far apart (the same letters and digits, the same local part of an
 address, the same last digits) share a skip potential. Words in base spans are
 evidence. Loopy belief propagation spreads it, so that a later mention that no
-pattern fits gets the label of the first. Words that reach ``SURE`` along a
-skip become spans of their own; base spans stay.
+pattern fits gets the label of the first. Words that reach ``SURE``, by their
+own shape, by their neighbours or along a skip, become spans of their own, in
+documents without a base span too; base spans stay.
 
 The weights maximise the pseudo-likelihood of base labels in at most ``SAMPLE``
 documents; the skip potential has a prior that alike words agree.
@@ -202,18 +203,15 @@ def tag(texts: list[str | None], w: np.ndarray) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     graph = Graph()
     for d, (t, spans) in enumerate(zip(texts, base, strict=True)):
-        if spans:  # without evidence nothing can spread
+        if t and _CUE.search(t):
             graph.add(d, t, spans)
     added: list[list] = [[] for _ in texts]
     if graph.doc:
         x, known, links = graph.arrays()
         p = beliefs(x, known, links, w)
         best = p.argmax(axis=1)
-        skips = links[links[:, 2] == 1]
-        reached = np.zeros(len(x), bool)
-        reached[skips[:, :2].ravel()] = True
         last = None
-        for n in np.flatnonzero((known == 0) & (best > 0) & (p.max(axis=1) >= SURE) & reached):
+        for n in np.flatnonzero((known == 0) & (best > 0) & (p.max(axis=1) >= SURE)):
             d, (a, b), kind = graph.doc[n], graph.span[n], KINDS[best[n] - 1]
             while b > a and not texts[d][b - 1].isalnum():
                 b -= 1

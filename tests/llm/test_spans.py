@@ -93,6 +93,19 @@ def test_labels_spread_along_skips(documents, spark):
     assert [(k, text[a:b]) for k, a, b in added] == [("email", "jane.doe@mail")]
 
 
+def test_personal_data_is_added_without_a_base_span():
+    import numpy as np
+
+    text = "call 0049.170.5551234 tomorrow or 7 later"
+    w = np.zeros((pii.N_FEATURES + 15, 5))
+    w[[0, 5], [0, 4]] = 5.0, 15.0  # ten digits speak for a phone
+    assert pii.tag([text, None, "none"], w) == [([], [("phone", 5, 21)]), ([], []), ([], [])]
+    chain = np.zeros_like(w)
+    chain[[0, 5], [0, 4]] = 5.0, 15.0
+    chain[pii.N_FEATURES + 4, 4] = chain[pii.N_FEATURES + 9, 4] = 12.0  # a phone beside it does, too
+    assert pii.tag(["call 0049.170.5551234 77 now"], chain)[0][1] == [("phone", 5, 24)]
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
