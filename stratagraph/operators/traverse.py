@@ -87,11 +87,13 @@ def boundary(nodes: DataFrame, edges: DataFrame, dependent: int = 1) -> DataFram
     return out.groupBy("root", "id", "direction").agg(F.countDistinct("relationship_id").alias("remaining"), F.array_sort(F.collect_set("relationship_id")).alias("relationship_ids"))
 
 
-def view_anchors(included: DataFrame, elements: DataFrame, views: DataFrame, view_elements: DataFrame, rounds: int = 64) -> DataFrame:
-    """Fixpoint (id): parents of included elements, and of the views they are in.
+def view_anchors(included: DataFrame, elements: DataFrame, views: DataFrame, view_elements: DataFrame, relationships: DataFrame | None = None, view_relationships: DataFrame | None = None) -> DataFrame:
+    """Fixpoint (id): parents of included elements, and of the views that they
+    or the included ``relationships`` (id) are in.
 
     One step adds the parent of each element and of each view that touches it;
-    both are edges of one table, so a round is one join with what is new.
+    both are edges of one table, so a round is one join with what is new. The
+    included relationships stay the same, so their views count once, at first.
     """
     spark = included.sparkSession
     up = elements.filter("parent is not null").select("id", F.col("parent").alias("up"))
@@ -100,7 +102,12 @@ def view_anchors(included: DataFrame, elements: DataFrame, views: DataFrame, vie
     steps = up.unionAll(seen).distinct().join(known, "up", "left_semi")
     from stratagraph.plans.fixpoint import grow
 
-    return grow(spark, included.select("id").distinct(), lambda new: new.join(steps, "id").select(F.col("up").alias("id")), ["id"], rounds)
+    first = included.select("id")
+    if relationships is not None and view_relationships is not None:
+        touched = view_relationships.join(relationships.select(F.col("id").alias("relationship_id")), "relationship_id", "left_semi").select("view_id")
+        parents = views.join(touched, "view_id", "left_semi").select(F.col("parent_element_id").alias("up"))
+        first = first.unionAll(parents.join(known, "up", "left_semi"))
+    return grow(spark, first.distinct(), lambda new: new.join(steps, "id").select(F.col("up").alias("id")), ["id"])
 
 
 def upstream(spark: SparkSession, starts: DataFrame, edges: DataFrame, depth: int = 1000, kind: str = "dependency") -> DataFrame:
@@ -122,7 +129,7 @@ def connecting(relationships: DataFrame, ids: DataFrame) -> DataFrame:
     return relationships.join(a, "source_id", "left_semi").join(b, "target_id", "left_semi")
 
 
-def paths(elements: DataFrame, rounds: int = 16) -> DataFrame:
+def paths(elements: DataFrame) -> DataFrame:
     """(id, path): names from the outermost parent down, joined by slashes."""
     spark = elements.sparkSession
     from stratagraph.plans.fixpoint import grow
@@ -131,4 +138,4 @@ def paths(elements: DataFrame, rounds: int = 16) -> DataFrame:
     ids = parts.select(F.col("id").alias("parent"))
     roots = parts.join(ids, "parent", "left_anti").select("id", F.col("name").alias("path"))
     kids = parts.select(F.col("id").alias("kid"), F.col("name").alias("kid_name"), F.col("parent").alias("id"))
-    return grow(spark, roots, lambda new: new.join(kids, "id").select(F.col("kid").alias("id"), F.concat_ws("/", "path", "kid_name").alias("path")), ["id"], rounds)
+    return grow(spark, roots, lambda new: new.join(kids, "id").select(F.col("kid").alias("id"), F.concat_ws("/", "path", "kid_name").alias("path")), ["id"])

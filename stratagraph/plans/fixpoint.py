@@ -7,9 +7,13 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rounds after which the rows so far are written as one table.
+MERGE = 16
+
 
 class Rounds:
     """Written tables in the folder that all executors share."""
@@ -37,17 +41,19 @@ class Rounds:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def grow(spark: SparkSession, first: DataFrame, further: Callable[[DataFrame], DataFrame], keys: list[str], most: int) -> DataFrame:
+def grow(spark: SparkSession, first: DataFrame, further: Callable[[DataFrame], DataFrame], keys: list[str], most: int | None = None) -> DataFrame:
     """``first`` and all rows that ``further`` gives of new rows, one a key, until
-    a round gives none or ``most`` rounds are over. Later rows never replace
-    earlier ones."""
+    a round gives none or ``most`` rounds, if given, are over. Later rows never
+    replace earlier ones."""
     tables = Rounds(spark)
     new = tables.save(first)
     reached = new
-    for _ in range(most):
+    for k in count() if most is None else range(most):
         found = further(new).select(first.columns).dropDuplicates(keys)
         new = tables.save(found.join(reached.select(*keys), keys, "left_anti"))
         if new.isEmpty():
             break
         reached = reached.unionAll(new)
+        if k % MERGE == MERGE - 1:
+            reached = tables.save(reached)
     return reached

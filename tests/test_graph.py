@@ -95,6 +95,25 @@ def test_view_members_and_anchors(graph):
     assert ids(s.views, "view_id") == [("v1",)] and s.relationships.count() == 1
 
 
+def test_deep_hierarchies_are_followed_to_their_end(spark):
+    chain = [(f"e{k}", f"n{k}", f"e{k - 1}" if k else None) for k in range(70)]
+    e = spark.createDataFrame(chain, "id string, name string, parent string").coalesce(1)
+    got = dict(ids(traverse.paths(e.filter("int(substr(id, 2)) < 20")), "id", "path"))
+    assert len(got) == 20 and got["e19"] == "/".join(f"n{k}" for k in range(20))
+    none = spark.createDataFrame([], "view_id string, parent_element_id string")
+    members = spark.createDataFrame([], "view_id string, element_id string")
+    assert traverse.view_anchors(e.filter("id = 'e69'").select("id"), e, none, members).count() == 70
+
+
+def test_anchors_of_included_relationships(graph):
+    _, g = graph
+    r = g.relationships.select("id")
+    in_v2 = g.view_relationships.withColumn("view_id", F.lit("v2"))
+    none = g.elements.limit(0).select("id")
+    assert ids(traverse.view_anchors(none, g.elements, g.views, g.view_elements, r, in_v2), "id") == [("a",)]
+    assert ids(traverse.view_anchors(none, g.elements, g.views, g.view_elements, r, g.view_relationships), "id") == []
+
+
 def test_validation_finds_each_fault(graph, spark):
     _, g = graph
     got = {r["rule"] for r in validate.validate(g, spark.createDataFrame([], "rel_type string, src_type string, dst_type string")).collect()}
