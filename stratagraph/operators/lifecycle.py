@@ -69,15 +69,21 @@ def aligned(states: DataFrame) -> DataFrame:
 
 
 def canonical_version(graph: Graph, name: str = "System") -> DataFrame:
-    """(graph_key, canonical_version): a digest of the sorted ids of a graph."""
-
-    def ids(rows: DataFrame, key: str, column: str) -> DataFrame:
-        return rows.groupBy("graph_key").agg(F.array_sort(F.collect_list(key)).alias(column))
-
-    out = ids(graph.elements, "id", "elements").join(ids(graph.relationships, "id", "relationships"), "graph_key", "left").join(ids(graph.views, "view_id", "views"), "graph_key", "left")
-    none = F.array().cast("array<string>")
-    body = F.struct(F.lit(name).alias("name"), F.coalesce("elements", none).alias("elements"), F.coalesce("relationships", none).alias("relationships"), F.coalesce("views", none).alias("views"))
-    return out.select("graph_key", F.concat(F.lit("canonical:"), F.sha2(F.to_json(body), 256)).alias("canonical_version"))
+    """(graph_key, canonical_version): a digest of the ids of a graph.
+
+    Ids with their numbers are dealt to 65,536 ranges of their own digests. Each
+    range is sorted and digested, then each 256 ranges, then the whole, so no
+    row holds more than a range's ids or 256 digests.
+    """
+    kinds = (("elements", graph.elements, "id"), ("relationships", graph.relationships, "id"), ("views", graph.views, "view_id"))
+    rows = reduce(DataFrame.unionAll, [t.select("graph_key", F.lit(kind).alias("kind"), F.col(key).alias("id")) for kind, t, key in kinds])
+    rows = rows.groupBy("graph_key", "kind", "id").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("graph_key", F.substring(F.sha2("id", 256), 1, 4).alias("part"), F.struct("kind", "id", "n").alias("item"))
+    for digits in (2, 0):
+        whole = rows.groupBy("graph_key", "part").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("item"))), 256).alias("sha"))
+        rows = whole.select("graph_key", F.substring("part", 1, digits).alias("part"), F.struct("part", "sha").alias("item"))
+    body = F.struct(F.lit(name).alias("name"), F.array_sort(F.collect_list("item")).alias("parts"))
+    return rows.groupBy("graph_key").agg(F.concat(F.lit("canonical:"), F.sha2(F.to_json(body), 256)).alias("canonical_version"))
 
 
 def verify_projection(expected: Graph, actual: Graph) -> DataFrame:

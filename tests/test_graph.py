@@ -1,6 +1,8 @@
 """Hand-made graphs: cycles, self-loops, lost ends, nested views, logs."""
 
+import hashlib
 import json
+from collections import Counter
 from dataclasses import replace
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from stratagraph.functions import text as tx
 from stratagraph.operators import closure, delivery, diff, lifecycle, mutate, scan, traverse, validate, views
 from stratagraph.plans import sqlapi
-from stratagraph.sources import documents
+from stratagraph.sources import documents, star
 from stratagraph.streaming import index
 
 REL = "id string, ord long, type string, source_id string, target_id string"
@@ -114,6 +116,26 @@ def test_anchors_of_included_relationships(graph):
     assert ids(traverse.view_anchors(none, g.elements, g.views, g.view_elements, r, g.view_relationships), "id") == []
 
 
+def plain_version(kinds, name="System"):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    dump = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+    rows = [(sha(i)[:4], {"kind": k, "id": i, "n": n}) for k, found in kinds.items() for i, n in Counter(found).items()]
+    for digits in (2, 0):
+        parts = {}
+        for p, item in rows:
+            parts.setdefault(p, []).append(item)
+        whole = {p: sha(dump(sorted(items, key=lambda x: tuple(x.values())))) for p, items in parts.items()}
+        rows = [(p[:digits], {"part": p, "sha": s}) for p, s in whole.items()]
+    return "canonical:" + sha(dump({"name": name, "parts": sorted((r for _, r in rows), key=lambda x: x["part"])}))
+
+
+def test_canonical_version_is_that_of_all_ids(spark, sf):
+    g = star.graph(spark, sf)
+    g = replace(g, elements=g.elements.unionAll(g.elements.filter("id = 'part-1'")))
+    kinds = {k: [r[0] for r in t.collect()] for k, t in (("elements", g.elements.select("id")), ("relationships", g.relationships.select("id")), ("views", g.views.select("view_id")))}
+    assert ids(lifecycle.canonical_version(g), "graph_key", "canonical_version") == [("star", plain_version(kinds))]
+
+
 def test_validation_finds_each_fault(graph, spark):
     _, g = graph
     got = {r["rule"] for r in validate.validate(g, spark.createDataFrame([], "rel_type string, src_type string, dst_type string")).collect()}
