@@ -545,7 +545,7 @@ def subdiagram_repair(spark, d):
 
 
 def _index(spark, d):
-    want = lifecycle.identities(star.graph(spark, d)).filter("channel in ('Element', 'View')")
+    want = lifecycle.identities(star.graph(spark, d))
     n = F.pmod(F.crc32(F.col("canonical_identity").cast("binary")), F.lit(10))
     have = want.filter(n != 0).withColumn("content_version", F.when(n == 1, F.lit("old")).otherwise(F.col("content_version")))
     extra = spark.createDataFrame([("Element:gone", "Element", "x")], have.schema)

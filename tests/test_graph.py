@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import zlib
 from collections import Counter
 from dataclasses import replace
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from stratagraph.functions import text as tx
 from stratagraph.operators import closure, delivery, diff, lifecycle, mutate, scan, traverse, validate, views
 from stratagraph.plans import sqlapi
+from stratagraph.queries import QUERIES
 from stratagraph.sources import documents, star
 from stratagraph.streaming import index
 
@@ -136,6 +138,13 @@ def test_canonical_version_is_that_of_all_ids(spark, sf):
     assert ids(lifecycle.canonical_version(g), "graph_key", "canonical_version") == [("star", plain_version(kinds))]
 
 
+def test_index_queries_cover_all_channels(spark, sf):
+    want = {f"{k}:{r[0]}": k for k, t in (("Element", star.elements(spark, sf).select("id")), ("ArchitectureRelationship", star.links(spark, sf).select("id")), ("View", star.views(spark, sf).select("view_id"))) for r in t.collect()}
+    n = {i: zlib.crc32(i.encode()) % 10 for i in want}
+    assert ids(QUERIES["backfill_pending"](spark, sf), "canonical_identity", "channel") == sorted((i, k) for i, k in want.items() if n[i] < 2)
+    assert ids(QUERIES["reconcile_delta"](spark, sf), "canonical_identity", "action") == sorted([*((i, "upsert") for i in want if n[i] < 2), ("Element:gone", "tombstone")])
+
+
 def test_validation_finds_each_fault(graph, spark):
     _, g = graph
     got = {r["rule"] for r in validate.validate(g, spark.createDataFrame([], "rel_type string, src_type string, dst_type string")).collect()}
