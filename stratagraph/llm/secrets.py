@@ -1,12 +1,10 @@
 """Operator 9: secrets with a linear-chain conditional random field.
 
-Patterns find the base spans. Then stretches of words around one that could be
-a secret (long, with digits or signs of assignment) are tagged begin, inside or
-outside by a linear chain, decoded by Viterbi. Its features are the shape of
-the word, shapes and hashes of the words beside it, and of the document: how
-many of its words carry digits or signs of assignment. Words elsewhere have no
-feature that speaks for a secret, so the best path is outside there and the
-chain falls apart into stretches. Tagged runs beside no base span are added.
+Patterns find the base spans. Then all words of a document are tagged begin,
+inside or outside by a linear chain, decoded by Viterbi. Its features are the
+shape of the word, shapes and hashes of the words beside it, and of the
+document: how many of its words carry digits or signs of assignment. Tagged
+words from ``LEAST`` characters on, beside no base span, are added.
 
 The weights maximise the likelihood of base labels in at most ``SAMPLE``
 documents. Null counts as empty. Long texts are read whole; the patterns take
@@ -31,7 +29,9 @@ ADDED = "tagged"
 SAMPLE = 2000
 SHRINK = 1e-3
 #: Steps of training; the least length of a tagged word.
-STEPS, LEAST = 100, 16
+STEPS, LEAST = 100, 8
+#: Words of a chain in training; documents are decoded whole.
+CHAIN = 256
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
@@ -60,12 +60,6 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def _candidate(word: str) -> bool:
-    if "=" in word or word in (":", "="):
-        return True
-    return len(word) >= LEAST and any("0" <= c <= "9" for c in word)
-
-
 def _shape(word: str) -> list[float]:
     n = len(word)
     digit = sum("0" <= c <= "9" for c in word)
@@ -77,40 +71,66 @@ def _shape(word: str) -> list[float]:
     return [float(n >= 8), float(n >= 16), float(n >= 32), digit / n, upper / n, lower / n, sign / n, float(0 < digit < n), float("=" in word or ":" in word), float(word[0] in "\"'"), min(mixed, 8) / 8, float(bool(core) and set(core) <= set("0123456789abcdef") and len(core) >= 8)]
 
 
-_HASHED = 32
-N_FEATURES = 1 + 3 * 12 + 2 * _HASHED + 3
+#: Features with values (bias, shapes of a word and those beside it, file), and
+#: numbers of the hashes of the word before and of the word's own stem.
+_VALUES, _HASHED = 1 + 3 * 12 + 3, 1 << 12
+N_FEATURES = _VALUES + 2 * _HASHED
+_BLANK = [0.0] * 12
+
+
+def _hashes(word: str) -> tuple[int, int]:
+    """Weights' rows of a word before another, and of its own stem (or none)."""
+    low = word.lower()
+    stem = re.split(r"[=:]", low)[0].strip("\"'")
+    before = _VALUES + zlib.crc32(low.encode("utf-8", "surrogatepass")) % _HASHED
+    own = _VALUES + _HASHED + zlib.crc32(stem.encode()) % _HASHED if stem.isalpha() else N_FEATURES
+    return before, own
+
+
+def _file(text: str, found) -> list[float]:
+    cued = sum(_CUE.search(w) is not None for _, _, w in found)
+    return [min(cued, 20) / 20, min(cued / len(found), 1.0), float("{" in text or ";" in text)]
 
 
-def _stretches(text: str, spans):
-    """Feature rows, spans and labels of the stretches of a document."""
+def _chains(text: str, spans):
+    """Values, rows of hashes and labels of a document's words, by ``CHAIN`` words."""
     found = words(text)
-    near = sorted({j for k, (_, _, w) in enumerate(found) if _candidate(w) for j in range(k - 2, k + 2) if 0 <= j < len(found)})
-    if not near:
+    if not found:
         return
     cover = covering(found, spans)
-    cued = sum(_CUE.search(found[k][2]) is not None for k in near)
-    file = [min(cued, 20) / 20, min(cued / len(found), 1.0), float("{" in text or ";" in text)]
-    blank = [0.0] * 12
-    begin = 0
-    for end in range(1, len(near) + 1):
-        if end < len(near) and near[end] == near[end - 1] + 1:
-            continue
-        run = near[begin:end]
-        begin = end
-        x = np.zeros((len(run), N_FEATURES))
-        y = np.zeros(len(run), np.int64)
-        for r, k in enumerate(run):
-            before = _shape(found[k - 1][2]) if k else blank
-            after = _shape(found[k + 1][2]) if k + 1 < len(found) else blank
-            x[r, : 1 + 36] = [1.0, *_shape(found[k][2]), *before, *after]
-            if k:
-                x[r, 37 + zlib.crc32(found[k - 1][2].lower().encode()) % _HASHED] = 1
-            stem = re.split(r"[=:]", found[k][2].lower())[0].strip("\"'")
-            x[r, 37 + _HASHED + zlib.crc32(stem.encode()) % _HASHED] = float(stem.isalpha())
-            x[r, -3:] = file
-            if cover[k] is not None:
-                y[r] = 2 if k and cover[k - 1] is not None and cover[k - 1][0] == cover[k][0] else 1
-        yield x, [found[k][:2] for k in run], y
+    n = len(found)
+    shape = np.array([_BLANK, *(_shape(w) for _, _, w in found), _BLANK], np.float32)
+    x = np.concatenate([np.ones((n, 1)), shape[1:-1], shape[:-2], shape[2:], np.tile(_file(text, found), (n, 1))], axis=1, dtype=np.float32)
+    both = np.array([_hashes(w) for _, _, w in found], np.int32)
+    rows = np.stack([np.concatenate([[N_FEATURES], both[:-1, 0]]), both[:, 1]], axis=1).astype(np.int32)
+    y = np.array([0 if c is None else 2 if k and cover[k - 1] is not None and cover[k - 1][0] == c[0] else 1 for k, c in enumerate(cover)])
+    for a in range(0, n, CHAIN):
+        yield x[a : a + CHAIN], rows[a : a + CHAIN], y[a : a + CHAIN]
+
+
+class Scorer:
+    """Scores of labels of words; what each distinct word adds is kept."""
+
+    def __init__(self, w: np.ndarray):
+        self.w = np.concatenate([w[:-3], np.zeros((1, 3))])
+        self.trans = w[-3:] + _floor()
+        self.known: dict[str, tuple] = {}
+
+    def _of(self, word: str) -> tuple:
+        """Nine numbers: for the word itself, the word after it, the word before it."""
+        if len(self.known) > 1 << 17:
+            self.known.clear()
+        shape, (before, own) = np.array(_shape(word)), _hashes(word)
+        w = self.w
+        out = self.known[word] = (*(w[0] + shape @ w[1:13] + w[own]), *(shape @ w[13:25] + w[before]), *(shape @ w[25:37]))
+        return out
+
+    def labels(self, text: str, found) -> np.ndarray:
+        parts = np.array([self.known.get(w) or self._of(w) for _, _, w in found])
+        score = parts[:, :3] + np.array(_file(text, found)) @ self.w[37:40]
+        score[1:] += parts[:-1, 3:6]
+        score[:-1] += parts[1:, 6:]
+        return viterbi(score, self.trans)
 
 
 def _padded(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,26 +166,34 @@ def _floor() -> np.ndarray:
     return out
 
 
-def fit(runs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def fit(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Feature weights and, as the last three rows, transitions."""
     w, trans = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
     batches = []
-    for long_ in sorted({min(len(y), 64) for _, y in runs}):
-        some = [(x, y) for x, y in runs if min(len(y), 64) == long_]
-        for a in range(0, len(some), 4096):
-            x, size = _padded([r[0] for r in some[a : a + 4096]])
-            y, _ = _padded([r[1] for r in some[a : a + 4096]])
-            live = np.arange(x.shape[1])[None] < size[:, None]
-            target = np.eye(3)[y] * live[:, :, None]
-            seen = np.einsum("nti,ntj->ij", target[:, :-1], target[:, 1:])
-            batches.append((x, size, target, seen))
-    total = sum(len(y) for _, y in runs) or 1
+    runs = sorted(runs, key=lambda r: len(r[2]))
+    for a in range(0, len(runs), 256):
+        some = runs[a : a + 256]
+        x, size = _padded([r[0] for r in some])
+        rows, _ = _padded([r[1] for r in some])
+        y, _ = _padded([r[2] for r in some])
+        live = np.arange(x.shape[1])[None] < size[:, None]
+        target = np.eye(3)[y] * live[:, :, None]
+        seen = np.einsum("nti,ntj->ij", target[:, :-1], target[:, 1:])
+        batches.append((x, rows, size, target, seen))
+    total = sum(len(r[2]) for r in runs) or 1
     m = v = np.zeros((N_FEATURES + 3, 3))
     for step in range(1, STEPS + 1):
         g, h = SHRINK * w, SHRINK * trans
-        for x, size, target, seen in batches:
-            node, link = _marginals(x @ w, trans + _floor(), size)
-            g = g + np.einsum("ntf,ntk->fk", x, node - target) / total
+        padded = np.concatenate([w, np.zeros((1, 3))])
+        for x, rows, size, target, seen in batches:
+            flat = x.reshape(-1, _VALUES)
+            score = (flat @ w[:_VALUES]).reshape(target.shape) + padded[rows].sum(axis=2)
+            node, link = _marginals(score, trans + _floor(), size)
+            off = (node - target).reshape(-1, 3) / total
+            g[:_VALUES] += flat.T @ off
+            for side in range(2):
+                at = rows[:, :, side].ravel()
+                g += np.stack([np.bincount(at, off[:, c], N_FEATURES + 1)[:-1] for c in range(3)], axis=1)
             h = h + (link - seen) / total
         both = np.concatenate([g, h])
         m, v = 0.9 * m + 0.1 * both, 0.99 * v + 0.01 * both * both
@@ -176,46 +204,55 @@ def fit(runs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def viterbi(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The best path of one chain; an inside cannot be first."""
-    best = score[0] + np.array([0.0, 0.0, -1e4])
+    columns = list(enumerate(zip(*trans.tolist(), strict=True)))
+    rows = iter(score.tolist())
+    best = next(rows)
+    best[2] -= 1e4
     back = []
-    for row in score[1:]:
-        step = best[:, None] + trans
-        back.append(step.argmax(axis=0))
-        best = step.max(axis=0) + row
-    path = [int(best.argmax())]
+    for row in rows:
+        p, q, r = best
+        last, best = [], []
+        for k, (a, b, c) in columns:
+            u, v, t = p + a, q + b, r + c
+            at, top = (0, u) if u >= v else (1, v)
+            if t > top:
+                at, top = 2, t
+            last.append(at)
+            best.append(top + row[k])
+        back.append(last)
+    path = [best.index(max(best))]
     for b in reversed(back):
-        path.append(int(b[path[-1]]))
+        path.append(b[path[-1]])
     return np.array(path[::-1])
 
 
-def tag(text: str | None, w: np.ndarray) -> tuple[list, list]:
+def tag(text: str | None, w: np.ndarray | Scorer) -> tuple[list, list]:
     """(base spans, added spans) of a text."""
     base = base_spans(text)
     added: list[tuple[str, int, int]] = []
-    if not text or not _CUE.search(text) or not w.any():
+    scorer = w if isinstance(w, Scorer) else Scorer(w)
+    found = words(text) if text and scorer.w.any() else []
+    if not found:
         return base, added
-    for x, at, _ in _stretches(text, base):
-        path = viterbi(x @ w[:-3], w[-3:] + _floor())
-        if not path.any():
-            continue
-        for k, label in enumerate(path):
-            a, b = at[k]
-            while b > a and text[b - 1] in "\"'.,;)":
-                b -= 1
-            while a < b and text[a] in "\"'(":
-                a += 1
-            if label and b - a >= LEAST and not overlaps(a, b, base):
-                if label == 2 and added and not text[added[-1][2] : a].strip():
-                    added[-1] = (ADDED, added[-1][1], b)
-                else:
-                    added.append((ADDED, a, b))
+    path = scorer.labels(text, found)
+    for k in np.flatnonzero(path):
+        a, b, _ = found[k]
+        while b > a and text[b - 1] in "\"'.,;)":
+            b -= 1
+        while a < b and text[a] in "\"'(":
+            a += 1
+        if b - a >= LEAST and not overlaps(a, b, base):
+            if path[k] == 2 and added and not text[added[-1][2] : a].strip():
+                added[-1] = (ADDED, added[-1][1], b)
+            else:
+                added.append((ADDED, a, b))
     return base, added
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
     def learn(batches):
         rows = sorted((r["h"], r["text"]) for b in batches for r in b.to_pylist())
-        runs = [(x, y) for _, text in rows for x, _, y in _stretches(text, base_spans(text))]
+        runs = [r for _, text in rows for r in _chains(text, base_spans(text))]
         yield pa.RecordBatch.from_arrays([pa.array([fit(runs).astype("<f8").tobytes()], pa.binary())], names=["w"])
 
     got = sampled(docs, CUE, sample, id_col, text_col).repartition(1).mapInArrow(learn, "w binary").collect()
@@ -231,10 +268,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = [*KINDS, ADDED]
 
     def run(batches):
+        scorer = Scorer(w)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                rows = [tag(t.as_py(), w) for t in part.column(1)]
+                rows = [tag(t.as_py(), scorer) for t in part.column(1)]
                 count = [pa.array([sum(s[0] == k for s in b) for b, _ in rows], pa.int64()) for k in KINDS]
                 sha = pa.array([digest(b, kinds) for b, _ in rows], pa.string())
                 text = pa.array([joined(b + x, kinds) for b, x in rows], pa.string())

@@ -106,6 +106,17 @@ def test_personal_data_is_added_without_a_base_span():
     assert pii.tag(["call 0049.170.5551234 77 now"], chain)[0][1] == [("phone", 5, 24)]
 
 
+def test_any_word_may_be_tagged():
+    import numpy as np
+
+    w = np.zeros((secrets.N_FEATURES + 3, 3))
+    w[0, 1:] = -3.0
+    w[secrets._hashes("is")[0], 1] = w[secrets._hashes("passphrase:")[0], 1] = 5.0  # what stands before a secret
+    for text in ("my pwd is k9Qv2xLw", "passphrase: Tr0ub4dor&3", "it is abcdefghijklm"):
+        assert [text[a:b] for _, a, b in secrets.tag(text, w)[1]] == [text.split()[-1]]
+    assert secrets.tag("it is short", w)[1] == []
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
