@@ -5,10 +5,12 @@ of words, endings of words, and runs of one to three word shapes (case, digits,
 signs, length, sameness with the word before). A document's vector holds the
 parts that they have of its n-grams. A logistic regression is trained with
 follow-the-regularised-leader updates on at most ``SAMPLE`` labelled rows, those
-of the smallest hashes of their ids; scoring is a sparse dot product inside the
-scan, without a shuffle.
+of the smallest hashes of their ids. They reach the task that trains in the
+order of their hashes, once for each epoch, so it holds a batch at a time.
+Scoring is a sparse dot product inside the scan, without a shuffle.
 
-Null and empty texts score by the bias alone. Repeated rows score alike. With
+Null and empty texts score by the bias alone. A row's score depends on its text
+alone: repeated rows score alike, wherever they stand. With
 no labelled row the score is 0.5 everywhere. Other columns are ignored.
 """
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.textcols import Words, mix
+from stratagraph.llm.textcols import Words, mix, pieces
 
 #: Labelled rows that are trained on, at most.
 SAMPLE = 12_000
@@ -70,38 +72,45 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
     return out[kept], counts[first]
 
 
-def _emit_features(batches):
-    for batch in batches:
-        idx, first = features(batch.column("text"))
-        rows = [idx[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(rows, pa.binary())], names=["h", "y", "idx"])
+_VECTORS = "epoch int, h long, y int, idx binary, part binary"
 
 
-def ftrl(rows: list[tuple[np.ndarray, float]]) -> np.ndarray:
-    """Weights after ``EPOCHS`` passes over (features, label); the last is the bias."""
+def _emit_features(batches):
+    """Feature vectors (ids, parts of the row's n-grams), once for each epoch."""
+    for batch in batches:
+        for some in pieces(batch, 2):
+            idx, first = features(some.column(2))
+            found = [np.unique(idx[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
+            u = [x.astype("<u4").tobytes() for x, _ in found]
+            v = [(c / max(c.sum(), 1)).astype("<f4").tobytes() for _, c in found]
+            for epoch in range(EPOCHS):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([epoch] * len(u), pa.int32()), some.column(0), some.column(1), pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["epoch", "h", "y", "idx", "part"]
+                )
+
+
+def ftrl(rows) -> np.ndarray:
+    """Weights after updates by (features, parts, label) in turn; the last is the bias."""
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
-    held = [np.unique(x, return_counts=True) + (y, max(len(x), 1)) for x, y in rows]
-    held = [(np.append(u, size - 1), np.append(c * (SCALE / m), 1.0), y) for u, c, y, m in held]
 
     def weight(zi, ni):
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
-    for _ in range(EPOCHS):
-        for u, v, y in held:
-            zi, ni = z[u], n[u]
-            w = weight(zi, ni)
-            g = (1 / (1 + np.exp(-np.clip(np.dot(w, v), -35, 35))) - y) * v
-            step = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
-            z[u] = zi + g - step * w
-            n[u] = ni + g * g
+    for u, part, y in rows:
+        u, v = np.append(u.astype(np.int64), size - 1), np.append(part * np.float64(SCALE), 1.0)
+        zi, ni = z[u], n[u]
+        w = weight(zi, ni)
+        g = (1 / (1 + np.exp(-np.clip(np.dot(w, v), -35, 35))) - y) * v
+        step = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
+        z[u] = zi + g - step * w
+        n[u] = ni + g * g
     return weight(z, n)
 
 
 def _fit(batches):
-    rows = sorted(((r["h"], r["idx"], r["y"]) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
-    w = ftrl([(np.frombuffer(x, np.uint32), float(y)) for _, x, y in rows])
-    yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary())], names=["w"])
+    rows = ((np.frombuffer(u.as_py(), "<u4"), np.frombuffer(v.as_py(), "<f4"), float(y.as_py())) for b in batches for u, v, y in zip(b.column(3), b.column(4), b.column(2), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array([ftrl(rows).astype("<f8").tobytes()], pa.binary())], names=["w"])
 
 
 def remainder(id_col) -> F.Column:
@@ -116,8 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lab = lab.orderBy("h", "l_id", "y").limit(sample)  # bounded by the parameter, so it may be broadcast
     text = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).cast("string").alias("text"))
     rows = text.join(F.broadcast(lab), F.col("d_id") == F.col("l_id")).select("h", "y", "text")
-    rows = rows.mapInArrow(_emit_features, "h long, y int, idx binary")
-    got = rows.repartition(1).mapInArrow(_fit, "w binary").collect()
+    rows = rows.mapInArrow(_emit_features, _VECTORS).repartition(1).sortWithinPartitions("epoch", "h", "y", "idx")
+    got = rows.mapInArrow(_fit, "w binary").collect()
     if not got:
         return np.zeros((1 << BITS) + 1)
     return np.frombuffer(got[0]["w"], "<f8")
@@ -125,9 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_column(column, weights: np.ndarray) -> np.ndarray:
     idx, first = features(column)
-    sums = np.concatenate([[0.0], np.cumsum(weights[idx])])
-    n = np.maximum(np.diff(first), 1)
-    return 1 / (1 + np.exp(-np.clip((sums[first[1:]] - sums[first[:-1]]) * SCALE / n + weights[-1], -35, 35)))
+    n = np.diff(first)
+    full = np.flatnonzero(n)
+    sums = np.zeros(len(n))
+    if len(full):
+        sums[full] = np.add.reduceat(weights[idx], first[:-1][full])  # over each row's own numbers
+    return 1 / (1 + np.exp(-np.clip(sums * SCALE / np.maximum(n, 1) + weights[-1], -35, 35)))
 
 
 def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -140,9 +152,10 @@ def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", sco
 
     def scored(batches):
         w = share.value
+        at = names.index(text_col)
         for batch in batches:
             cols = [batch.column(k) for k in range(len(names))]
-            s = np.concatenate([score_column(cols[names.index(text_col)].slice(a, 256), w) for a in range(0, batch.num_rows, 256)]) if batch.num_rows else np.zeros(0)
+            s = np.concatenate([np.zeros(0), *(score_column(p.column(at), w) for p in pieces(batch, at, 256))])
             yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64())], names=[*names, score_col])
 
     schema = StructType(keep).add(score_col, DoubleType())

@@ -10,13 +10,15 @@ that window occurs; the least name of the highest round that has one in the
 window is its anchor. Equal windows have equal anchors.
 
 Anchors that occur in two documents mark documents to look into; of their
-windows those with such an anchor are verified by 128 bits of all their words.
-A window repeats when a document of a smaller id has it. Documents of equal
+windows those with such an anchor are verified by a BLAKE2 digest of their very
+words, so no weak hash can remove a word. A window repeats when a document of a
+smaller id has it. Documents of equal
 words are settled first: all but the smallest id go whole.
 
 A word is a run of bytes other than space and 0x09-0x0D. Null counts as empty.
-Texts shorter than a window keep all words. Rows of one id never remove words
-of each other. Null ids keep all words. An empty table gives an empty table;
+Texts shorter than a window keep all words; long ones are read whole. Rows of
+one id never remove words of each other; a row is known by its id and the digest
+of its words, so however many rows one id has, they spread over tasks. Null ids keep all words. An empty table gives an empty table;
 other columns are ignored.
 """
 
@@ -27,11 +29,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm.scratch import Scratch
-from stratagraph.llm.textcols import Words, _power_tables, mix
+from stratagraph.llm.textcols import Words, mix, pieces
 
 WINDOW = 50
 ROUNDS = 7
@@ -138,14 +140,27 @@ def anchors(words: Words, starts: np.ndarray, size: int = WINDOW, rounds: int =
     return out
 
 
-def _window_hashes(words: Words, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    power, inverse = _power_tables(len(words.hashes) + 1)
-    for seed in (0, 0x2545F4914F6CDD1D):
-        h = mix(words.hashes + np.uint64(seed)) if seed else words.hashes
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)])])
-        out.append(mix((sums[starts + size] - sums[starts]) * inverse[starts] + np.uint64(seed)).view(np.int64))
-    return tuple(out)
+def _window_digests(words: Words, starts: np.ndarray, size: int) -> np.ndarray:
+    """128 bits of the words of each window: two numbers a row."""
+    digest = hashlib.blake2b
+    # Words in a row with one space between them, whatever stood there.
+    ends = np.cumsum(words.ends - words.starts + 1)
+    begins = ends - (words.ends - words.starts + 1)
+    joined = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+    solid = np.ones(len(joined), bool)
+    solid[ends - 1] = False
+    joined[solid] = words.data[~_blank(words)]
+    view = memoryview(joined.tobytes())
+    out = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(begins[starts].tolist(), (ends[starts + size - 1] - 1).tolist(), strict=True)])
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
+def _blank(words: Words) -> np.ndarray:
+    """Which bytes belong to no word."""
+    edge = np.zeros(len(words.data) + 1, np.int8)
+    np.add.at(edge, words.starts, 1)
+    np.add.at(edge, words.ends, -1)
+    return np.cumsum(edge[:-1], dtype=np.int8) == 0
 
 
 def _key(sha) -> int:
@@ -156,8 +171,7 @@ def _key(sha) -> int:
 def _parse(size: int, rounds: int):
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
+            for part in pieces(batch, 1, ROWS):
                 words = Words(part.column(1))
                 starts = windows(words, size)
                 found = anchors(words, starts, size, rounds)
@@ -178,23 +192,23 @@ def _windows(size: int, rounds: int):
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
+            for part in pieces(batch, 3, ROWS):
                 words = Words(part.column(3))
                 starts = windows(words, size)
                 found = anchors(words, starts, size, rounds).view(np.int64)
                 cut = np.searchsorted(starts, words.row_start)
-                names, twins = part.column(2).to_pylist(), np.array(part.column(1).to_pylist(), np.int64)
+                names = part.column(2).to_pylist()
                 keep = np.zeros(len(starts), bool)
                 for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     keep[i:j] = np.isin(found[i:j], np.array(names[k], np.int64))
-                one, two = _window_hashes(words, starts[keep], size)
-                row = np.searchsorted(words.row_start, starts[keep], side="right") - 1
-                ids = np.array(part.column(0).to_pylist(), np.int64)
-                at = starts[keep] - words.row_start[row] + (twins[row] << 32)
+                starts = starts[keep]
+                row = np.searchsorted(words.row_start, starts, side="right") - 1
+                ids, keys = (np.array(part.column(k).to_pylist(), np.int64)[row] for k in (0, 1))
+                at = (starts - words.row_start[row]).astype(np.int32)
+                two = _window_digests(words, starts, size)
                 for b in range(0, len(at), 1 << 17):
                     s = slice(b, b + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[s]], pa.int64()), pa.array(at[s], pa.int64()), pa.array(one[s], pa.int64()), pa.array(two[s], pa.int64())], names=["id", "at", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(keys[s]), pa.array(at[s]), pa.array(two[s, 0]), pa.array(two[s, 1])], names=["id", "key", "at", "h1", "h2"])
 
     return run
 
@@ -202,8 +216,8 @@ def _windows(size: int, rounds: int):
 def _own(batches):
     """Rows whose words are those that were marked, if an id has several rows."""
     for batch in batches:
-        key = [_key(hashlib.sha256(b" ".join((t.as_py() or "").encode().split()))) for t in batch.column(4)]
-        yield batch.filter(pa.array([a == b.as_py() for a, b in zip(key, batch.column(2), strict=True)], pa.bool_()))
+        key = [_key(hashlib.sha256(b" ".join((t.as_py() or "").encode().split()))) for t in batch.column(3)]
+        yield batch.filter(pa.array([a == b.as_py() for a, b in zip(key, batch.column(1), strict=True)], pa.bool_()))
 
 
 def _strip(size: int):
@@ -212,14 +226,14 @@ def _strip(size: int):
     def run(batches):
         for batch in batches:
             out = []
-            for i, key, text, at in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                words = (text or "").encode().split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, np.array(at, np.int64), 1)
-                np.add.at(edge, np.array(at, np.int64) + size, -1)
+            for i, key, text, at in zip(*(batch.column(k) for k in range(4)), strict=True):
+                words = (text.as_py() or "").encode().split()
+                edge, at = np.zeros(len(words) + 1, np.int64), np.array(at.as_py(), np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + size, -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 left = b" ".join(compress(words, keep))
-                out.append((i, key, int(len(words) - keep.sum()), left.decode(), hashlib.sha256(left).hexdigest()))
+                out.append((i.as_py(), key.as_py(), int(len(words) - keep.sum()), left.decode(), hashlib.sha256(left).hexdigest()))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "key", "n_removed", "kept_text", "kept_sha256"])
@@ -242,21 +256,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     solo = parsed.filter(full).select("id", "key", "anchors").join(copies, is_copy, "left_anti")
     entries = scratch.save(solo.select("id", "key", F.explode("anchors").alias("anchor")))
     shared = scratch.save(entries.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"))
-    # Rows of one id but other words are twins: each has marks of its own.
-    twin = (F.row_number().over(Window.partitionBy("id").orderBy("key")) - 1).cast("long")
-    marks = entries.join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors")).withColumn("twin", twin)
-    marks = scratch.save(marks.select(F.col("id").alias("m_id"), "twin", "key", "anchors"))
+    marks = entries.join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors"))
+    marks = scratch.save(marks.select(F.col("id").alias("m_id"), "key", "anchors"))
     scratch.drop(entries), scratch.drop(shared)
-    held = rows.join(marks, F.col("id") == F.col("m_id")).select("id", "twin", "key", "anchors", "text")
-    held = scratch.save(held.mapInArrow(_own, "id long, twin long, key long, anchors array<long>, text string").dropDuplicates(["id", "twin"]) if repeated else held)
+    held = rows.join(marks, F.col("id") == F.col("m_id")).select("id", "key", "anchors", "text")
+    held = scratch.save(held.mapInArrow(_own, "id long, key long, anchors array<long>, text string").dropDuplicates(["id", "key"]) if repeated else held)
     scratch.drop(marks)
-    found = held.select("id", "twin", "anchors", "text").mapInArrow(_windows(size, rounds), "id long, at long, h1 long, h2 long")
+    found = held.mapInArrow(_windows(size, rounds), "id long, key long, at int, h1 long, h2 long")
     least = scratch.save(found.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").drop("last_id"))
     again = found.join(least, ["h1", "h2"]).filter("id > first_id")
-    place = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")
     # Written on its own: the windows' shuffle is gone before texts are shuffled.
-    cut = scratch.save(again.select("id", F.shiftright("at", 32).alias("twin"), place).groupBy("id", "twin").agg(F.collect_set("at").alias("at")))
-    left = held.drop("anchors").join(cut, ["id", "twin"]).select("id", "key", "text", "at")
+    cut = scratch.save(again.groupBy("id", "key").agg(F.collect_set("at").alias("at")))
+    left = held.drop("anchors").join(cut, ["id", "key"]).select("id", "key", "text", "at")
     left = left.mapInArrow(_strip(size), "id long, key long, n_removed long, kept_text string, kept_sha256 string")
     left = left.select(F.col("id").alias("l_id"), F.col("key").alias("l_key"), "n_removed", "kept_text", "kept_sha256")
     out = facts.join(copies, is_copy, "left").join(left, (F.col("id") == F.col("l_id")) & (F.col("key") == F.col("l_key")), "left")

@@ -10,24 +10,28 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes that are hashed at once; a longer word is hashed piece by piece.
+SLICE = 1 << 16
+#: A word's hash joins its polynomials modulo two primes, under these bases.
+PRIMES = (2147483647, 2147483629)
+BASES = (1220703125, 1103515245)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SAME = np.arange(256, dtype=np.uint8)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _INV)):
-            steps = np.full(n, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def _power_tables() -> list[np.ndarray]:
+    """For each prime the powers of its base and of the base's inverse."""
+    if not _powers:
+        for p, b in zip(PRIMES, BASES, strict=True):
+            for base in (b, pow(b, -1, p)):
+                row = np.ones(1, np.uint64)
+                while len(row) <= SLICE:
+                    row = np.concatenate([row, row * np.uint64(pow(base, len(row), p)) % np.uint64(p)])
+                _powers.append(row[: SLICE + 1].astype(np.uint32))
+    return _powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -55,26 +59,41 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def _slices(data: np.ndarray, offs: np.ndarray):
-    """Cuts of about SLICE bytes, at a white space or the start of a row."""
+def pieces(batch: pa.RecordBatch, text: int, rows: int = 512, size: int = 1 << 22):
+    """Slices of a batch with at most ``rows`` rows and about ``size`` bytes of text."""
+    column = batch.column(text).cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, min(a + rows, int(np.searchsorted(ends, ends[a] + size, side="right")) - 1))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def _slices(data: np.ndarray):
+    """Cuts of at most SLICE bytes, after a white space if there is one near."""
     a, n = 0, len(data)
     while a < n:
         b = min(a + SLICE, n)
-        while b < n:
-            row = np.searchsorted(offs, b)
-            end = int(offs[row])
-            hit = np.flatnonzero(_SPACE[data[b : min(end, b + 65536)]])
+        if b < n:
+            hit = np.flatnonzero(_SPACE[data[max(b - 4096, a) : b]])
             if len(hit):
-                b += int(hit[0])
-                break
-            if b + 65536 >= end:
-                b = end
-                break
-            b += 65536
+                b = max(b - 4096, a) + int(hit[-1]) + 1
         yield a, b
         a = b
 
 
+def _parts(x: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
+    """Polynomials modulo each prime of the bytes from ``s`` to ``e``."""
+    out, tables = [], _power_tables()
+    sums = np.empty(len(x) + 1, np.uint64)
+    sums[0] = 0
+    for k, p in enumerate(PRIMES):
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * tables[2 * k][: len(x)], out=sums[1:])
+        out.append((sums[e] - sums[s]) % np.uint64(p) * tables[2 * k + 1][s] % np.uint64(p))
+    return out
+
+
 class Words:
     """Words of a column: hashes, byte spans and the first word of each row."""
 
@@ -82,30 +101,35 @@ class Words:
 
     def __init__(self, column, lower: bool = False):
         self.data, offs = buffers(column)
-        table = _LOWER if lower else _SAME
-        hashes, starts, ends = [], [], []
-        for a, b in _slices(self.data, offs):
-            x = table[self.data[a:b]] if lower else self.data[a:b]
+        one, two, starts, ends, open_ = [], [], [], [], False
+        for a, b in _slices(self.data):
+            x = _LOWER[self.data[a:b]] if lower else self.data[a:b]
             solid = ~_SPACE[x]
             first = solid.copy()
             first[1:] &= ~solid[:-1]
             last = solid.copy()
             last[:-1] &= ~solid[1:]
-            cut = offs[np.searchsorted(offs, a) : np.searchsorted(offs, b)] - a
-            cut = cut[(cut > 0) & (cut < b - a)]
+            lo, hi = np.searchsorted(offs, [a, b])
+            cut = offs[lo:hi] - a
+            inner = cut[cut > 0]
             first[cut] = solid[cut]
-            last[cut - 1] = solid[cut - 1]
+            last[inner - 1] = solid[inner - 1]
             s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-            power, inverse = _power_tables(b - a)
-            sums = np.empty(b - a + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[: b - a], out=sums[1:])
-            hashes.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)))
-            starts.append(s + a)
-            ends.append(e + a)
+            h = _parts(x, s, e)
+            if open_ and len(s) and s[0] == 0 and not (len(cut) and cut[0] == 0):
+                # The word began before: its next bytes weigh as much more.
+                for held, part, base, p in zip((one, two), h, BASES, PRIMES, strict=True):
+                    held[-1][-1] = (int(held[-1][-1]) + int(part[0]) * pow(base, int(ends[-1][-1] - starts[-1][-1]), p)) % p
+                ends[-1][-1] = e[0] + a
+                s, e, h = s[1:], e[1:], [h[0][1:], h[1][1:]]
+            if len(s):
+                for held, part in zip((one, two, starts, ends), (*h, s + a, e + a), strict=True):
+                    held.append(part)
+            open_ = bool(solid[-1])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.hashes = join(hashes, np.uint64)
         self.starts, self.ends = join(starts, np.int64), join(ends, np.int64)
+        length = (self.ends - self.starts).astype(np.uint64)
+        self.hashes = mix(mix((join(one, np.uint64) << np.uint64(31)) + join(two, np.uint64)) + length)
         self.row_start = np.searchsorted(self.starts, offs)
 
     def __len__(self) -> int:

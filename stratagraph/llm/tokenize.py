@@ -2,8 +2,11 @@
 
 Byte-pair tokenizers split a text before any merge, always between words. So
 the ids of a text are those of its words in turn, and each worker keeps the ids
-of words that it has met. ``space`` says what becomes of a space: ``"prefix"``
-(it begins the next word) or ``"drop"``.
+of words that it has met, in two generations of at most ``KEPT_BYTES`` each.
+``space`` says what becomes of a space: ``"prefix"`` (it begins the next word)
+or ``"drop"``. A text that holds an added token of the file, and every text of a
+file whose pre-tokenizer or normalizer is not one known here, goes through the
+library whole.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ from array import array
 import numpy as np
 import regex
 
-#: Words that a worker keeps, at most; then it starts anew.
-KEPT_WORDS = 800_000
+#: Bytes of words and ids in a generation; what an entry takes besides them.
+KEPT_BYTES, ENTRY_BYTES = 24 << 20, 160
+#: Both ways must give its ids alike, or the file is not one that is known here.
+PROBE = "It's A TEST of 12,345 words -- \u00e9\u00df, (x+y)=3.  Two  spaces\nand\ta line's end's 'll"
 PATTERNS = {
     "prefix": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "drop": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
@@ -43,10 +48,14 @@ class Encoder(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model, self.space = self.tokenizer.model, space
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self._older: dict[str, bytes] = {}
+        self._bytes, self.known = 0, True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self._split, self._letters = regex.compile(PATTERNS[space]), _byte_letters()
+        self.known = self.encode(PROBE) == self.whole(PROBE)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -55,6 +64,17 @@ class Encoder(dict):
         return array(self.kind.char, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        ids = self._older.get(word)
+        if ids is None:
+            ids = self._of(word)
+        self._bytes += ENTRY_BYTES + len(word) + len(ids)
+        if self._bytes > KEPT_BYTES:
+            self._older, self._bytes = dict(self), 0
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _of(self, word: str) -> bytes:
         led = word[:1] == " " and self.space == "prefix"
         body = word[1:] if led else word
         low = body if led or self.space == "prefix" else body.lower()
@@ -70,15 +90,14 @@ class Encoder(dict):
                 ids = self._tokens(parts[0].encode().decode("latin-1").translate(self._letters))
             else:
                 ids = b"".join(map(self.__getitem__, parts))
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as bytes of ``kind``; null counts as empty."""
         if not text:
             return b""
+        if not self.known or (self._added and self._added.search(text)):
+            return self.whole(text)
         if self.space == "drop":
             if _ODD.search(text):
                 return self.whole(text)

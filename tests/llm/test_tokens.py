@@ -25,10 +25,17 @@ def both(request):
 @given(text=st.one_of(st.text(max_size=60), st.text("aB1' .\n\téİß\x1c\x85  <|>s", max_size=40)))
 def test_encoder_gives_the_ids_of_the_library(both, text):
     enc, lib = both
-    lib.encode_special_tokens = True
+    assert enc.known
     assert np.frombuffer(enc.encode(text), enc.kind).tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_and_small_caches(both, monkeypatch):
+    enc, lib = both
+    monkeypatch.setattr("stratagraph.llm.tokenize.KEPT_BYTES", 500)
+    for t in ("a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> c", *(f"word{k} others and word{k % 3}" for k in range(40))):
+        assert np.frombuffer(enc.encode(t), enc.kind).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_encoder_on_whole_table(both, texts):
     enc, lib = both
     for _, t in texts:
