@@ -44,11 +44,11 @@ def overlaps(a: int, b: int, spans) -> bool:
     return any(x < b and a < y for _, x, y in spans)
 
 
-def sampled(docs: DataFrame, cue: str, most: int, id_col: str, text_col: str) -> DataFrame:
-    """(h, text) of at most ``most`` documents that match ``cue``: those of the
-    smallest hashes. The ids are few by that bound, so they may be broadcast."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(cue) & F.col("id").isNotNull())
-    ids = rows.select(F.xxhash64("id").alias("h"), F.col("id").alias("s_id")).orderBy("h", "s_id").limit(most)
+def sampled(docs: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
+    """(h, text) of at most ``most`` documents with text: those of the smallest
+    hashes. The ids are few by that bound, so they may be broadcast."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter((F.col("text") != "") & F.col("id").isNotNull())
+    ids = rows.select(F.xxhash64("id").alias("h"), F.col("id").alias("s_id")).orderBy("h", "s_id").limit(most).distinct()
     return rows.join(F.broadcast(ids), F.col("id") == F.col("s_id")).select("h", "text")
 
 

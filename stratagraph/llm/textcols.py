@@ -95,12 +95,12 @@ def _parts(x: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
 
 
 class Words:
-    """Words of a column: hashes, byte spans and the first word of each row."""
+    """Words of a column: hashes (if wanted), byte spans; each row's first word and byte."""
 
-    __slots__ = ("data", "hashes", "row_start", "starts", "ends")
+    __slots__ = ("data", "hashes", "offsets", "row_start", "starts", "ends")
 
-    def __init__(self, column, lower: bool = False):
-        self.data, offs = buffers(column)
+    def __init__(self, column, lower: bool = False, hashed: bool = True):
+        self.data, offs = self.data, self.offsets = buffers(column)
         one, two, starts, ends, open_ = [], [], [], [], False
         for a, b in _slices(self.data):
             x = _LOWER[self.data[a:b]] if lower else self.data[a:b]
@@ -115,7 +115,7 @@ class Words:
             first[cut] = solid[cut]
             last[inner - 1] = solid[inner - 1]
             s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-            h = _parts(x, s, e)
+            h = _parts(x, s, e) if hashed else [np.zeros(len(s), np.uint64)] * 2
             if open_ and len(s) and s[0] == 0 and not (len(cut) and cut[0] == 0):
                 # The word began before: its next bytes weigh as much more.
                 for held, part, base, p in zip((one, two), h, BASES, PRIMES, strict=True):
