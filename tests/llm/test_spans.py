@@ -93,6 +93,31 @@ def test_labels_spread_along_skips(documents, spark):
     assert [(k, text[a:b]) for k, a, b in added] == [("email", "jane.doe@mail")]
 
 
+def test_the_field_adds_personal_data_that_no_pattern_has(spark):
+    """Other forms of made-up data, alone or after a form that a pattern knows,
+    in texts of another table than the one learned from."""
+    import random
+
+    w = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(99)
+    made = []
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        words, kind = (r["text"] or "").split()[:200], rng.choice(pii.KINDS)
+        whole, clear, hidden = pii.mention(kind, rng)
+        late = rng.random() < 0.5
+        first, x = (whole, rng.choice(hidden)) if late else (pii.lookalike(rng), rng.choice(clear))
+        a, b = sorted(rng.randrange(len(words) + 1) for _ in range(2))
+        made.append((" ".join([*words[:a], first, *words[a:b], "then", x, *words[b:]]), x, kind))
+    caught = wrong = total = 0
+    for (text, x, kind), (base, added) in zip(made, pii.tag([t for t, _, _ in made], w), strict=True):
+        assert base == pii.base_spans(text)
+        at = text.rindex(f"then {x}") + 5
+        caught += any(k == kind and a <= at and at + len(x) <= b for k, a, b in added)
+        total += not any(a < at + len(x) and at < b for _, a, b in base)
+        wrong += sum(b <= at or at + len(x) <= a for _, a, b in added)
+    assert caught >= 0.7 * total and wrong <= 0.1 * caught, (caught, wrong, total)
+
+
 def test_personal_data_is_added_without_a_base_span():
     import numpy as np
 
