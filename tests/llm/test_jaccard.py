@@ -67,6 +67,36 @@ def test_a_large_group_is_cut_into_blocks_without_losing_links(make):
 
 
 def test_prefixes_shorten_until_the_recall_is_met():
-    k = jaccard.prefix_length(0.8)
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL
-    assert jaccard.prefix_length(0.5) < jaccard.prefix_length(0.95)
+    every = [1000] * (jaccard.DEPTH + 1)
+    k = jaccard.prefix_length([0] * len(every), 0, 0.8)
+    assert jaccard.expected_recall(k, 0.8) >= jaccard.RECALL > jaccard.expected_recall(k + 1, 0.8)
+    assert jaccard.prefix_length([0] * len(every), 0, 0.5) < jaccard.prefix_length([0] * len(every), 0, 0.95)
+    assert jaccard.prefix_length(every, 10**9, 0.8) == 1  # all but few were lost
+    assert jaccard.prefix_length([10**9] * len(every), 10**9, 0.8) == jaccard.DEPTH
+
+
+def test_shingles_are_told_apart_by_their_words():
+    rng = random.Random(3)
+    some = ["", " ", "a", "a b", " A  b ", "a b c d e", "a b c d e f", "\ta\x0bb c d e f\n", "É b c d e", "é b c d e"]
+    some += [" ".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(60)]
+    got, want = jaccard.word_shingles(some, 5), [grams(t) for t in some]
+    for a in range(len(some)):
+        assert len(got[a]) == len(want[a])
+        for b in range(a):
+            assert len(set(got[a]) & set(got[b])) == len(want[a] & want[b])
+
+
+def test_classes_that_collide_are_told_apart(make, edges):
+    words = [f"w{k}" for k in range(30)]
+    some = [(1, " ".join(words)), (2, " ".join(words[:20])), (3, " ".join(words).upper()), (4, "same " * 9), (5, "same " * 14), (6, None), (None, "same " * 20), (7, " ".join(words[1:]))]
+    out = jaccard.similar_documents(make(some + edges), class_bytes=0).select("doc_id", "n_links", "group_id", "kept")
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == expected(some + edges)
+
+
+def test_a_chain_of_documents_is_compared_node_by_node(make):
+    """Each shares two thirds of its shingles with the next: one cluster, few links."""
+    rng = random.Random(8)
+    stream = [f"w{k}" for k in range(6000)]
+    some = [(i, " ".join(stream[i * 12 : i * 12 + 64])) for i in range(480)]
+    some += [(1000 + i, " ".join([*stream[i * 12 : i * 12 + 62], f"x{rng.randrange(9)}"])) for i in range(0, 480, 7)]
+    assert run(make(some)) == expected(some)
