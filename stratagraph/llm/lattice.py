@@ -1,25 +1,31 @@
 """Operator 3: embedding near-duplicates by E8 lattice hashing.
 
-Each of ``TABLES`` tables projects a unit vector to eight random directions and
-decodes the point to the nearest E8 lattice point. A vector stands in its own
-cell and in the ``PROBES`` next nearest cells around it. Vectors that share a
-cell are compared by cosine in double precision, block against block; a pair
-that shares several cells counts in the first of them alone, which its two code
-lists decide. Blocks give counts and a spanning forest of links, never pairs.
+Each table projects a unit vector to eight random directions and decodes the
+point to the nearest E8 lattice point. A vector stands in its own cell and in the
+next nearest cells around it. Vectors that share a cell are compared by cosine in
+double precision, block against block; a pair that shares several cells counts in
+the first of them alone, which its two code lists decide. Blocks give counts and
+a spanning forest of links, never pairs.
+
+Cell size, tables and probes follow from the number of vectors: ``fitted`` takes
+``SAMPLE`` of them, puts beside each a partner at exactly the threshold, and
+measures for each cell size how often the two share a cell and how often two
+vectors of the sample do. Of the settings that reach ``RECALL`` for such partners
+it takes that with the least work for all rows. Every row is then indexed.
 
 Vectors of equal components are one class. A cell of more than ``BLOCK`` classes
 is dealt over blocks by a hash, every two of which meet. Vectors of different
 dimensions never meet. Vectors that are null, empty, zero or hold a null or
 non-finite component link with nothing. Repeated rows are members of a class.
-An empty table gives an empty table; other columns are ignored.
-
-``SCALE`` sets the cell size: larger values give smaller cells, for more rows,
-and then need more tables for the same recall.
+Null ids keep their rows and never name a component that has another id; rows of
+one id each get the result of their own vector. An empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import combinations, product
 
 import numpy as np
@@ -33,7 +39,12 @@ from stratagraph.llm.scratch import Scratch
 from stratagraph.llm.textcols import mix
 
 THRESHOLD = 0.9
-TABLES, PROBES, SCALE = 8, 5, 0.8
+#: Vectors that the cell size is fitted on; the share of partners to be found.
+SAMPLE, RECALL = 1024, 0.97
+#: What may be chosen: cell sizes (larger numbers give smaller cells), probes, tables.
+SCALES, PROBES, TABLES = (0.45, 0.55, 0.65, 0.8, 1.0, 1.2, 1.5), (3, 5, 9, 16), 64
+#: Work of placing a vector in one cell, in comparisons of two vectors.
+PLACING = 200.0
 BLOCK = 2048
 
 
@@ -65,7 +76,7 @@ def shortest() -> np.ndarray:
     return np.array(out)
 
 
-def codes(units: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
+def codes(units: np.ndarray, tables: int, probes: int, scale: float) -> np.ndarray:
     """Hashes of the cells of each unit vector: rows x tables x (1 + probes)."""
     n, dim = units.shape
     around = shortest()
@@ -88,7 +99,44 @@ def codes(units: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale:
     return out
 
 
-def _units(column) -> tuple[np.ndarray, list[np.ndarray | None]]:
+def partners(units: np.ndarray, cosine: float, seed: int = 3) -> np.ndarray:
+    """Beside each unit vector another at this cosine."""
+    r = np.random.default_rng(seed).normal(size=units.shape)
+    r -= (r * units).sum(axis=1, keepdims=True) * units
+    norm = np.linalg.norm(r, axis=1, keepdims=True)
+    return cosine * units + math.sqrt(1 - cosine * cosine) * r / np.where(norm > 0, norm, 1.0)
+
+
+def _sharing(a: np.ndarray, b: np.ndarray) -> float:
+    """The mean share of tables in which rows of two code lists share a cell."""
+    return float((a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3)).mean())
+
+
+def fitted(units: np.ndarray, rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, float]:
+    """(tables, probes, scale) for this many rows, from a sample of them."""
+    if len(units) < 2 or units.shape[1] < 2:
+        return 1, PROBES[0], SCALES[0]
+    near, trial, best = partners(units, threshold), 4, None
+    most = max(PROBES)
+    for scale in SCALES:
+        one, two = codes(units, trial, most, scale), codes(near, trial, most, scale)
+        for probes in PROBES:
+            x, y = one[:, :, : 1 + probes], two[:, :, : 1 + probes]
+            found = min(_sharing(x, y), 1 - 1e-6)
+            if found <= 0:
+                continue
+            tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+            if tables > TABLES:
+                continue
+            met = sum(int((c * (c - 1) // 2).sum()) for c in (np.unique(x[:, t], return_counts=True)[1] for t in range(trial))) / trial
+            pairs = tables * met / (len(units) * (len(units) - 1) / 2) * rows * rows / 2
+            work = pairs + PLACING * tables * (1 + probes) * rows
+            if best is None or work < best[0]:
+                best = (work, tables, probes, scale)
+    return best[1:] if best else (TABLES, most, SCALES[0])
+
+
+def _units(column) -> list[np.ndarray | None]:
     rows = []
     for v in column:
         v = v.as_py()
@@ -105,23 +153,46 @@ def _units(column) -> tuple[np.ndarray, list[np.ndarray | None]]:
     return rows
 
 
-def _encode(tables: int, probes: int, scale: float):
+def _encode(batches):
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1024):
+            part = batch.slice(a, 1024)
+            units = [None if u is None else u.tobytes() for u in _units(part.column(1))]
+            cls = [None if u is None else hashlib.blake2b(u, digest_size=16).digest() for u in units]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.binary()), pa.array(units, pa.binary())], names=["id", "cls", "unit"])
+
+
+def _by_dimension(column) -> list[tuple[list[int], np.ndarray]]:
+    """Rows of each dimension and their unit vectors."""
+    rows = [np.frombuffer(u.as_py(), np.float64) for u in column]
+    dims: dict[int, list[int]] = {}
+    for k, u in enumerate(rows):
+        dims.setdefault(len(u), []).append(k)
+    return [(at, np.stack([rows[k] for k in at])) for at in dims.values()]
+
+
+def _fit(rows: int, threshold: float):
+    def run(batches):
+        held = pa.Table.from_batches(list(batches), pa.schema([("unit", pa.binary())])).column("unit")
+        if len(held):
+            units = max(_by_dimension(held), key=lambda x: len(x[0]))[1]
+            tables, probes, scale = fitted(units, rows, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([tables], pa.int32()), pa.array([probes], pa.int32()), pa.array([scale])], names=["tables", "probes", "scale"])
+
+    return run
+
+
+def _place(tables: int, probes: int, scale: float):
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                units = _units(part.column(1))
-                cls = [None if u is None else hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in units]
-                held: list[bytes | None] = [None] * len(units)
-                for dim in {len(u) for u in units if u is not None}:
-                    at = [k for k, u in enumerate(units) if u is not None and len(u) == dim]
-                    for k, c in zip(at, codes(np.stack([units[k] for k in at]), tables, probes, scale), strict=True):
+                held: list = [None] * part.num_rows
+                for at, units in _by_dimension(part.column(2)):
+                    for k, c in zip(at, codes(units, tables, probes, scale), strict=True):
                         held[k] = c.tobytes()
-                cells = [None if c is None else np.unique(np.frombuffer(c, np.int64)).tolist() for c in held]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(cls, pa.binary()), pa.array([None if u is None else u.tobytes() for u in units], pa.binary()), pa.array(held, pa.binary()), pa.array(cells, pa.list_(pa.int64()))],
-                    names=["id", "cls", "unit", "codes", "cells"],
-                )
+                cells = [np.unique(np.frombuffer(c, np.int64)).tolist() for c in held]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], names=[*part.schema.names, "codes", "cells"])
 
     return run
 
@@ -175,14 +246,21 @@ def _verify(threshold: float):
     return run
 
 
-def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
-    """One row for each row: vec_id, n_links, component_id, kept, class_id."""
+def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, index: tuple[int, int, float] | None = None) -> DataFrame:
+    """One row for each row: vec_id, n_links, component_id, kept, class_id.
+
+    ``index`` gives (tables, probes, scale) instead of the fitted ones."""
     scratch = Scratch(vectors.sparkSession, "lattice")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    coded = scratch.save(rows.mapInArrow(_encode(tables, probes, scale), "id long, cls binary, unit binary, codes binary, cells array<long>"))
+    coded = scratch.save(rows.mapInArrow(_encode, "id long, cls binary, unit binary"))
     known = coded.filter("cls is not null")
-    first = lambda c: F.first(c).alias(c)
-    classes = scratch.save(known.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), first("unit"), first("codes"), first("cells")))
+    classes = scratch.save(known.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")))
+    if index is None:  # classes are digests: the least of them are a random sample
+        some = classes.orderBy("cls").limit(SAMPLE).select("unit").repartition(1)
+        got = some.mapInArrow(_fit(classes.count(), threshold), "tables int, probes int, scale double").collect()
+        index = tuple(got[0]) if got else (1, PROBES[0], SCALES[0])
+    schema = "cls binary, copies long, unit binary, codes binary, cells array<long>"
+    reps, classes = classes.select("cls", "rep", "copies"), scratch.save(classes.select("cls", "copies", "unit").mapInArrow(_place(*index), schema))
     spots = classes.select("cls", F.explode("cells").alias("cell"))
     sizes = scratch.save(spots.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members"))
     placed = spots.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int"))
@@ -197,9 +275,9 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = scratch.save(full.groupBy("cell", "low", "high").applyInArrow(_verify(threshold), "cls binary, root binary, links long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")), scratch)
-    least = scratch.save(groups.select(F.col("node").alias("cls"), "root").join(classes.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("component")))
+    least = scratch.save(groups.select(F.col("node").alias("cls"), "root").join(reps.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("component")))
     groups = groups.join(least, "root").select(F.col("node").alias("cls"), "component")
-    table = scratch.save(classes.select("cls", "rep", "copies").join(links, "cls", "left").join(groups, "cls", "left"))
+    table = scratch.save(reps.join(links, "cls", "left").join(groups, "cls", "left"))
     out = coded.select("id", "cls").join(table, "cls", "left")
     component = F.coalesce("component", "rep", "id")
     return out.select(

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from stratagraph.llm import lattice
 
@@ -35,13 +37,45 @@ def test_edges(spark):
     assert run(df.limit(0)) == []
 
 
-def test_recall_and_no_false_links(spark, sf):
-    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+def check(df):
+    """No false link, and of the true ones at least the share that is promised."""
     want = expected([(r["vec_id"], r["embedding"]) for r in df.collect()])
     got = run(df)
     assert [g[0] for g in got] == [w[0] for w in want]
     assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
-    assert sum(g[1] for g in got) >= 0.9 * sum(w[1] for w in want)
+    return sum(g[1] for g in got), sum(w[1] for w in want)
+
+
+def test_no_false_links_in_the_table(spark, sf):
+    check(spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("cls", F.lit(1)))
+
+
+@pytest.mark.parametrize("n", [600, 3000])
+def test_recall_of_planted_pairs(spark, n):
+    """Half of the vectors have a partner at a cosine just above the threshold."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64)) + 0.4 * rng.normal(size=64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = np.concatenate([lattice.partners(x[k::4][: n // 8], c, 5 + k) for k, c in enumerate((0.9001, 0.91, 0.93, 0.96))])
+    rows = np.concatenate([x, near])
+    df = spark.createDataFrame([(i, [float(c) for c in v], "l", 1, "x") for i, v in enumerate(rows)], SCHEMA.replace("float", "double"))
+    got, want = check(df)
+    assert want >= n and got >= 0.9 * want, (got, want)
+
+
+def test_cells_shrink_as_rows_grow():
+    x = np.random.default_rng(2).normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    few, many = lattice.fitted(x, 1000), lattice.fitted(x, 10**8)
+    assert few[2] < many[2] and few[0] < many[0]
+
+
+def test_null_and_repeated_ids(spark):
+    v, u = [1.0, 2.0, 3.0, 4.0], [4.0, -1.0, 0.5, 0.0]
+    rows = [(None, v), (None, v), (None, u), (3, v), (3, u), (3, u), (5, [1.0, 2.0, 3.0, 4.1])]
+    df = spark.createDataFrame([(i, x, "l", 1, "x") for i, x in rows], SCHEMA)
+    got = sorted((tuple(r) for r in lattice.similar_vectors(df).select("vec_id", "n_links", "component_id").collect()), key=repr)
+    assert got == sorted([(None, 3, 3), (None, 3, 3), (3, 3, 3), (5, 3, 3), (None, 2, 3), (3, 2, 3), (3, 2, 3)], key=repr)
 
 
 def test_a_crowded_cell_is_cut_into_blocks(spark):
