@@ -22,8 +22,9 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.with_score(docs, weights, score_col="_quality")
-    return scored.filter(scored["_quality"] >= quality.THRESHOLD).select(docs.columns)
+    name = "_" * (1 + max(map(len, docs.columns))) + "quality"  # longer than any column's name
+    scored = quality.with_score(docs, weights, score_col=name)
+    return scored.filter(scored[name] >= quality.THRESHOLD).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents that bring sources to tempered weights, shuffled."""
-    return mixing.poisson_mix(docs, mixing.tempered(docs)).select(docs.columns)
+    return mixing.poisson_mix(docs, mixing.tempered(docs), keys=False)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
