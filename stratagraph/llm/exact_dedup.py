@@ -7,6 +7,9 @@ of one text can be hashed on different machines. Texts of equal fingerprint and
 length are then compared chunk by chunk with the text that stays; a text that
 differs moves on to a class of its own, until no difference is left.
 
+A row is found again by its id and a hash of its text, so rows without an id, or
+of one id, never meet each other's texts by the id alone.
+
 Equal means identical after lower-casing A-Z. Null counts as the empty text,
 all empty texts are equal. Repeated rows with one id are rows of their own.
 Rows whose id is null take part; such an id never beats another.
@@ -83,30 +86,30 @@ def _hash_whole(batches):
             a, b = combine(chunk_hash(x[i : i + CHUNK]) for i in range(0, len(x), CHUNK))
             one.append(a), two.append(b), text.append(None)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(length, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary())],
-            names=["id", "f_len", "f_1", "f_2", "sha", "huge"],
+            [ids, batch.column(2), pa.array(length, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary())],
+            names=["id", "mark", "f_len", "f_1", "f_2", "sha", "huge"],
         )
 
 
 def _chunks_of(batches):
-    """(id, sha, number, chunk) of normalised huge texts."""
+    """(id, mark, sha, number, chunk) of normalised huge texts."""
     for batch in batches:
-        for i, sha, x in zip(*(batch.column(k) for k in range(3)), strict=True):
+        for i, mark, sha, x in zip(*(batch.column(k) for k in range(4)), strict=True):
             x, sha = x.as_py(), sha.as_py()
             for a in range(0, len(x), HUGE):
                 cut = [x[b : b + CHUNK] for b in range(a, min(a + HUGE, len(x)), CHUNK)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i.as_py()] * len(cut), pa.int64()), pa.array([sha] * len(cut)), pa.array(range(a // CHUNK, a // CHUNK + len(cut)), pa.int64()), pa.array(cut, pa.binary())],
-                    names=["id", "sha", "no", "chunk"],
+                    [pa.array([i.as_py()] * len(cut), pa.int64()), pa.array([mark.as_py()] * len(cut), pa.int64()), pa.array([sha] * len(cut)), pa.array(range(a // CHUNK, a // CHUNK + len(cut)), pa.int64()), pa.array(cut, pa.binary())],
+                    names=["id", "mark", "sha", "no", "chunk"],
                 )
 
 
 def _hash_chunks(batches):
     for batch in batches:
-        parts = [chunk_hash(x.as_py()) for x in batch.column(3)]
+        parts = [chunk_hash(x.as_py()) for x in batch.column(4)]
         cols = [pa.array([p[k] for p in parts], pa.int64()) for k in range(4)]
-        length = pa.array([len(x.as_py()) for x in batch.column(3)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), length, *cols], names=["id", "sha", "no", "len", "h1", "s1", "h2", "s2"])
+        length = pa.array([len(x.as_py()) for x in batch.column(4)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], length, *cols], names=["id", "mark", "sha", "no", "len", "h1", "s1", "h2", "s2"])
 
 
 def combine_chunks(chunks: DataFrame, *keys: str) -> DataFrame:
@@ -121,19 +124,24 @@ def combine_chunks(chunks: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
 def fingerprints(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, f_len, f_1, f_2, sha."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    whole = scratch.save(rows.mapInArrow(_hash_whole, f"id long, {_FINGERPRINT}, sha string, huge binary"))
-    small = whole.filter("huge is null").select("id", "f_len", "f_1", "f_2", "sha")
+    """One row for each row of ``docs``: id, mark, f_len, f_1, f_2, sha."""
+    rows = _texts(docs, id_col, text_col)
+    whole = scratch.save(rows.mapInArrow(_hash_whole, f"id long, mark long, {_FINGERPRINT}, sha string, huge binary"))
+    small = whole.filter("huge is null").select("id", "mark", "f_len", "f_1", "f_2", "sha")
     huge = whole.filter("huge is not null")
     if huge.isEmpty():
         return small
     # Spread chunks of one text over tasks; equal rows give equal chunks.
     named = huge.withColumn("sha", F.concat_ws("/", F.col("sha"), F.monotonically_increasing_id()))
-    spread = named.select("id", "sha", "huge").mapInArrow(_chunks_of, "id long, sha string, no long, chunk binary").repartition("sha", "no")
-    hashed = spread.mapInArrow(_hash_chunks, "id long, sha string, no long, len long, h1 long, s1 long, h2 long, s2 long")
-    wide = combine_chunks(hashed, "id", "sha").withColumn("sha", F.substring_index("sha", "/", 1))
+    spread = named.select("id", "mark", "sha", "huge").mapInArrow(_chunks_of, "id long, mark long, sha string, no long, chunk binary").repartition("sha", "no")
+    hashed = spread.mapInArrow(_hash_chunks, "id long, mark long, sha string, no long, len long, h1 long, s1 long, h2 long, s2 long")
+    wide = combine_chunks(hashed, "id", "mark", "sha").withColumn("sha", F.substring_index("sha", "/", 1))
     return small.unionByName(wide.select(small.columns))
 
 
@@ -167,10 +175,11 @@ def _differing(docs: DataFrame, members: DataFrame, scratch: Scratch, id_col: st
     Chunks meet on (class, number): a huge text is spread over tasks, and both
     sides of that join are written tables, so a hot class can be split.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).cast("string").alias("text"))
-    kin = members.select("id", "sha", "keep_id", "keep_sha").distinct()
+    text = _texts(docs, id_col, text_col).withColumnsRenamed({"id": "t_id", "mark": "t_mark"})
+    kin = members.select("id", "mark", "sha", "keep_id", "keep_sha").distinct()
+    same = F.col("id").eqNullSafe(F.col("t_id")) & (F.col("mark") == F.col("t_mark"))
     cut = scratch.save(
-        kin.join(text, F.col("id").eqNullSafe(F.col("t_id"))).drop("t_id").mapInArrow(_cut, "id long, sha string, keep_id long, keep_sha string, no long, chunk binary")
+        kin.join(text, same).select("id", "sha", "keep_id", "keep_sha", "text").mapInArrow(_cut, "id long, sha string, keep_id long, keep_sha string, no long, chunk binary")
     )
     keeper = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha"))
     stays = scratch.save(cut.filter(keeper).groupBy("keep_id", "keep_sha", "no").agg(F.first("chunk").alias("model")).withColumnsRenamed({"keep_id": "k_id", "keep_sha": "k_sha", "no": "k_no"}))
@@ -186,7 +195,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "exact")
     rows = fingerprints(docs, scratch, id_col, text_col).withColumn("round", F.lit(0))
     if modulus:
-        rows = rows.select("id", F.lit(0).cast("long").alias("f_len"), (F.col("f_1") % modulus).alias("f_1"), F.lit(0).cast("long").alias("f_2"), "sha", "round")
+        rows = rows.select("id", "mark", F.lit(0).cast("long").alias("f_len"), (F.col("f_1") % modulus).alias("f_1"), F.lit(0).cast("long").alias("f_2"), "sha", "round")
     done, n = None, 0
     while True:
         classes = _classes(rows, scratch)

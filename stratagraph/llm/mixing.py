@@ -8,7 +8,9 @@ dealt out anew over all tasks by a hash, sorted by it within each.
 Only built-in functions run: nothing here depends on task order, so a lost
 executor recomputes the same copies. Rows whose source is null form a source of
 their own. Null, empty and long texts are treated alike; equal rows get equal
-numbers of copies. A source without a weight is left out. Extra columns stay.
+numbers of copies. A source without a weight is left out. Extra columns stay,
+whatever their names; copy_no and shuffle_key take the place of columns of those
+names, unless ``keys`` is false. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -63,26 +65,34 @@ def poisson_mix(
     text_col: str = "text",
     source_col: str = "source",
     rows: float | None = None,
+    keys: bool = True,
+    broadcast_sources: int = BROADCAST_SOURCES,
 ) -> DataFrame:
     """Columns of ``docs``, then copy_no (from 0) and shuffle_key (in its order)."""
     rates = repetition_rates(docs, weights, source_col, rows)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / 500)).cast("int")
-    table = rates.select(F.col("source").alias("_mix_source"), parts.alias("_mix_parts"), _distribution(F.col("rate") / parts).alias("_mix_cdf"))
-    base = docs.withColumn("_mix_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)))
-    same = F.col(source_col).eqNullSafe(F.col("_mix_source"))
-    if weights.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    table = rates.select(F.col("source").alias("w_source"), parts.alias("parts"), _distribution(F.col("rate") / parts).alias("cdf"))
+    # Rows stand in one column, so none of their names can clash.
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).alias("salt")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("string").alias("id"), digest.alias("digest"), F.col(source_col).alias("source"), salt)
+    same = F.col("source").eqNullSafe(F.col("w_source"))
+    if weights.limit(broadcast_sources + 1).count() <= broadcast_sources:
         joined = base.join(F.broadcast(table), same)
     else:
-        table = table.withColumn("_mix_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = base.join(table, same & (F.col("_mix_salt") == F.col("_mix_salt2"))).drop("_mix_salt2")
-    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    draw = lambda part: F.size(F.filter("_mix_cdf", lambda c: c <= uniform(f"{seed}/draw", F.col(id_col), digest, part)))
-    copies = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("_mix_parts") - 1), draw), F.lit(0), lambda a, x: a + x)
-    counted = joined.withColumn("_mix_n", copies).filter("_mix_n > 0")
-    out = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("\x1f", F.lit(f"{seed}/shuffle"), F.col(id_col).cast("string"), F.col("copy_no").cast("string"))))
-    out = out.select(*[c for c in docs.columns if c not in ("copy_no", "shuffle_key")], "copy_no", "shuffle_key")
-    return out.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+        table = table.withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = base.join(table, same & (F.col("salt") == F.col("w_salt")))
+    # Numbers are drawn into an array first: one digest a draw, not one a term.
+    draws = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: uniform(f"{seed}/draw", F.col("id"), F.col("digest"), part))
+    copies = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
+    counted = joined.select("doc", "id", copies.alias("n")).filter("n > 0")
+    out = counted.select("doc", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("nth"))
+    key = F.md5(F.concat_ws("\x1f", F.lit(f"{seed}/shuffle"), F.col("id"), F.col("nth").cast("string")))
+    out = out.select("doc", "nth", key.alias("key")).repartition(F.col("key")).sortWithinPartitions("key")
+    if not keys:
+        return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("copy_no", "shuffle_key")]
+    return out.select(*own, F.col("nth").alias("copy_no"), F.col("key").alias("shuffle_key"))
 
 
 ORACLE = f"""

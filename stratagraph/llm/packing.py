@@ -9,7 +9,8 @@ unused neighbours follow, whole if they fit, until a last one is cut to fit.
 What is left of that one seeds the next window. What remains at the end of a
 task fills sequences whose lengths are powers of two, so nothing is padded.
 
-Null text counts as empty: its document is the end id alone. Repeated rows are
+Null text counts as empty: its document is the end id alone. A long text is
+encoded whole and cut over as many windows as it fills. Repeated rows are
 packed one by one (``row_key`` tells them apart). An empty table gives an empty
 table. Other columns are ignored.
 """

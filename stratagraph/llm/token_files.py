@@ -14,8 +14,9 @@ in when read. The block starts let a reader decode any range of ids alone.
 Images are rows of a Parquet table, so that any store that Spark reaches holds
 them; ``image`` alone is the file for readers without Spark.
 
-Null text counts as empty: its document has the end id alone. Repeated ids keep
-all their rows, ordered by text. Null ids come first. An empty table gives an
+Null text counts as empty: its document has the end id alone. Long texts are
+encoded whole; a shard ends after the document that fills it. Repeated ids keep
+all their rows, ordered by a hash of the text. Null ids come first. An empty table gives an
 empty table. Other columns are ignored.
 """
 
@@ -161,7 +162,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, space: str, end_id:
             yield image()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one id, or of none, spread by a hash of their texts.
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(shards, "part long, shard long, n_tokens long, image binary").write.mode("overwrite").option("compression", "none").parquet(path)
 
 

@@ -33,3 +33,10 @@ def test_large_rates_are_sums_of_draws(spark):
     df = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
     weights = spark.createDataFrame([("s", 1.0)], "source string, weight double")
     assert abs(mixing.poisson_mix(df, weights, rows=3000.0).count() - 3000) < 300
+
+
+def test_more_sources_than_are_broadcast_give_the_same(spark, documents):
+    weights = mixing.tempered(documents)
+    one = mixing.poisson_mix(documents, weights).drop("text")
+    two = mixing.poisson_mix(documents, weights, broadcast_sources=0).drop("text")
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))

@@ -33,3 +33,21 @@ def test_stages(spark, sf, documents, duck):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     total = sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows("mix"))
     assert sum(r["length"] for r in seen["pack"].collect()) == total
+
+
+def test_stages_take_edges_and_clashing_columns(spark, sf, make, edges):
+    """Nulls, blanks, repeated rows and ids, extra columns, and no rows at all."""
+    from pyspark.sql import functions as F
+
+    extra = lambda df: df.withColumn("_quality", F.lit(7)).withColumn("copy_no", F.lit("mine")).withColumn("shuffle_key", F.lit(1.5))
+    for rows in (edges, []):
+        docs = extra(make(rows))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.schema == docs.schema, name
+            got = out.select("doc_id", "text", "_quality", "copy_no", "shuffle_key").collect()
+            assert all((r["doc_id"], r["text"]) in rows and tuple(r)[2:] == (7, "mine", 1.5) for r in got), name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        assert len({(r["doc_id"]) for r in pieces}) == len({i for i, _ in rows})
+    kept = corpus_pipeline.drop_exact_copies(spark, extra(make(edges)), sf)
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 2, 3, 5, 6, 7, 9, 9, 11]
