@@ -6,45 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.plans.fixpoint import Rounds
+from stratagraph.sources.documents import shared_key
 
 
 def rollup(results: DataFrame) -> DataFrame:
     """(element_id, passed, n_passed, n_failed) of tested elements."""
     p = F.coalesce("passed", F.lit(False))
-    return results.groupBy("element_id").agg(F.bool_and(p).alias("passed"), F.count_if(p).alias("n_passed"), F.count_if(~p).alias("n_failed"))
+    return results.groupBy(*shared_key(results), "element_id").agg(F.bool_and(p).alias("passed"), F.count_if(p).alias("n_passed"), F.count_if(~p).alias("n_failed"))
 
 
-def delivery_status(spark: SparkSession, results: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+def delivery_status(spark: SparkSession, results: DataFrame, edges: DataFrame) -> DataFrame:
     """(element_id, status): delivered if all results passed and all tested
     dependencies are delivered; cycles and what needs them are not.
 
     Each round settles the elements whose last open dependency was settled by the
     round before: a round touches new rows alone, not the whole graph.
     """
-    tables = Rounds(spark)
-    tested = tables.save(rollup(results).select("element_id", "passed"))
-    ids = tested.select("element_id")
-    need = edges.filter("kind = 'dependency' and from_id <> to_id").select("from_id", "to_id").distinct()
-    need = tables.save(need.join(ids.withColumnRenamed("element_id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("element_id", "to_id"), "to_id", "left_semi"))
-    open_ = need.groupBy("from_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("from_id", "element_id")
-    state = tables.save(tested.filter("passed").join(open_, "element_id", "left").select("element_id", F.coalesce("n", F.lit(0)).alias("open")))
-    new = tables.save(state.filter("open = 0").select("element_id"))
+    tables, key = Rounds(spark), shared_key(results, edges)
+    at = [*key, "element_id"]
+    tested = tables.save(rollup(results).select(*at, "passed"))
+    ids = tested.select(*at)
+    need = edges.filter("kind = 'dependency' and from_id <> to_id").select(*key, "from_id", "to_id").distinct()
+    for end in ("from_id", "to_id"):
+        need = need.join(ids.withColumnRenamed("element_id", end), [*key, end], "left_semi")
+    need = tables.save(need)
+    tally = lambda rows, name: rows.groupBy(*key, "from_id").agg(F.count(F.lit(1)).alias(name)).withColumnRenamed("from_id", "element_id")
+    state = tested.filter("passed").join(tally(need, "n"), at, "left").select(*at, F.coalesce("n", F.lit(0)).alias("open"))
+    state = tables.save(state)
+    new = tables.save(state.filter("open = 0").select(*at))
     done = new
-    for _ in range(most):
-        met = need.join(new.withColumnRenamed("element_id", "to_id"), "to_id").groupBy("from_id").agg(F.count(F.lit(1)).alias("met")).withColumnRenamed("from_id", "element_id")
-        state = tables.save(state.filter("open > 0").join(met, "element_id", "left").select("element_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
-        new = tables.save(state.filter("open = 0").select("element_id"))
+    while True:
+        met = tally(need.join(new.withColumnRenamed("element_id", "to_id"), [*key, "to_id"]), "met")
+        state = tables.save(state.filter("open > 0").join(met, at, "left").select(*at, (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
+        new = tables.save(state.filter("open = 0").select(*at))
         if new.isEmpty():
             break
         done = done.unionAll(new)
     ok = done.withColumn("ok", F.lit(True))
-    return ids.join(ok, "element_id", "left").select("element_id", F.when(F.col("ok"), "delivered").otherwise("not_delivered").alias("status"))
+    return ids.join(ok, at, "left").select(*at, F.when(F.col("ok"), "delivered").otherwise("not_delivered").alias("status"))
 
 
 def status_changes(now: DataFrame, before: DataFrame) -> DataFrame:
     """(element_id, was, status) of tested elements whose status differs."""
-    old = before.select("element_id", F.col("status").alias("was"))
-    return now.join(old, "element_id", "left").filter("not (was <=> status)").select("element_id", "was", "status")
+    at = [*shared_key(now, before), "element_id"]
+    old = before.select(*at, F.col("status").alias("was"))
+    return now.join(old, at, "left").filter("not (was <=> status)").select(*at, "was", "status")
 
 
 def run_summary(results: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.functions.text import functional_points
 from stratagraph.model import SOURCE_DEPENDS, TARGET_DEPENDS
+from stratagraph.sources.documents import shared_key
 
 # Sizes of changed elements and relationships by type.
 DEFAULT_SIZE = 1.5
@@ -24,11 +25,12 @@ def content_digest(rows: DataFrame, key: str = "id") -> Column:
 
 def diff(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     """(id, status, type, name) of added, removed and affected rows."""
-    a = before.select(F.col(key).alias("id"), content_digest(before).alias("old"), F.struct("type", "name").alias("was"))
-    b = after.select(F.col(key).alias("id"), content_digest(after).alias("new"), F.struct("type", "name").alias("is"))
-    both = a.join(b, "id", "full_outer")
+    of = shared_key(before, after)
+    a = before.select(*of, F.col(key).alias("id"), content_digest(before).alias("old"), F.struct("type", "name").alias("was"))
+    b = after.select(*of, F.col(key).alias("id"), content_digest(after).alias("new"), F.struct("type", "name").alias("is"))
+    both = a.join(b, [*of, "id"], "full_outer")
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "affected")
-    return both.withColumn("status", status).filter("status is not null").withColumn("x", F.coalesce("is", "was")).select("id", "status", "x.type", "x.name")
+    return both.withColumn("status", status).filter("status is not null").withColumn("x", F.coalesce("is", "was")).select(*of, "id", "status", "x.type", "x.name")
 
 
 def by_id(col: str = "id") -> list[Column]:
@@ -57,23 +59,43 @@ def total_size(elements: DataFrame, relationships: DataFrame) -> DataFrame:
 
 def context_elements(changed: DataFrame, relationships: DataFrame, current: DataFrame, base: DataFrame) -> DataFrame:
     """Ends of changed relationships that didn't change: (id, name, type)."""
-    ids = relationships.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct().join(changed.select("id"), "id", "left_anti")
-    now = current.select("id", F.struct("name", "type").alias("now"))
-    was = base.select("id", F.struct("name", "type").alias("was"))
-    return ids.join(now, "id", "left").join(was, "id", "left").withColumn("x", F.coalesce("now", "was")).select("id", "x.name", "x.type")
+    key = shared_key(changed, relationships, current, base)
+    ids = relationships.select(*key, F.explode(F.array("source_id", "target_id")).alias("id")).distinct().join(changed.select(*key, "id"), [*key, "id"], "left_anti")
+    now = current.select(*key, "id", F.struct("name", "type").alias("now"))
+    was = base.select(*key, "id", F.struct("name", "type").alias("was"))
+    out = ids.join(now, [*key, "id"], "left").join(was, [*key, "id"], "left").withColumn("x", F.coalesce("now", "was"))
+    return out.select(*key, "id", "x.name", "x.type")
 
 
 def tree_edges(entries: DataFrame, relationships: DataFrame) -> DataFrame:
     """(parent, child, label): what depends points to what it needs; entries
-    without an edge hang from the first one as "impact"."""
-    ids = entries.select("id")
-    both = relationships.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    without an edge hang from the first one (of their graph) as "impact"."""
+    key = shared_key(entries, relationships)
+    ids = entries.select(*key, "id")
+    both = relationships
+    for end in ("source_id", "target_id"):
+        both = both.join(ids.withColumnRenamed("id", end), [*key, end], "left_semi")
     down = F.col("type").isin(SOURCE_DEPENDS)
-    links = both.filter(F.col("type").isin(SOURCE_DEPENDS + TARGET_DEPENDS)).select(F.when(down, F.col("source_id")).otherwise(F.col("target_id")).alias("parent"), F.when(down, F.col("target_id")).otherwise(F.col("source_id")).alias("child"), F.col("type").alias("label"))
-    tied = links.select(F.explode(F.array("parent", "child")).alias("id")).distinct()
-    first = entries.orderBy(*by_id()).limit(1).select(F.col("id").alias("parent"))
-    loose = ids.join(tied, "id", "left_anti").crossJoin(F.broadcast(first)).filter("id <> parent")
-    return links.unionAll(loose.select("parent", F.col("id").alias("child"), F.lit("impact").alias("label")))
+    links = both.filter(F.col("type").isin(SOURCE_DEPENDS + TARGET_DEPENDS)).select(
+        *key, F.when(down, F.col("source_id")).otherwise(F.col("target_id")).alias("parent"), F.when(down, F.col("target_id")).otherwise(F.col("source_id")).alias("child"), F.col("type").alias("label")
+    )
+    tied = links.select(*key, F.explode(F.array("parent", "child")).alias("id")).distinct()
+    order = F.struct(F.expr("try_cast(id as double) is null"), F.expr("try_cast(id as double)"), "id")
+    first = entries.groupBy(*key).agg(F.min_by("id", order).alias("parent"))
+    loose = ids.join(tied, [*key, "id"], "left_anti")
+    loose = (loose.join(first, key) if key else loose.crossJoin(F.broadcast(first))).filter("id <> parent")  # one row a graph
+    return links.unionAll(loose.select(*key, "parent", F.col("id").alias("child"), F.lit("impact").alias("label")))
+
+
+def plantuml(entries: DataFrame, relationships: DataFrame, most: int = 1000) -> str:
+    """A diagram of the first ``most`` changes and the tree over them."""
+    colours = {"added": "#palegreen", "removed": "#pink", "affected": "#lightyellow"}
+    rows = entries.orderBy(*by_id()).limit(most).collect()
+    alias = {r["id"]: f"n{k}" for k, r in enumerate(rows)}
+    said = lambda x: str(x or "").replace("\\", "\\\\").replace('"', "'").replace("\n", " ")
+    out = ["@startuml", *[f'rectangle "{said(r["name"])} ({said(r["type"])})" as {alias[r["id"]]} {colours.get(r["status"], "")}'.rstrip() for r in rows]]
+    tree = tree_edges(entries.orderBy(*by_id()).limit(most), relationships).orderBy("parent", "child", "label").collect()
+    return "\n".join([*out, *[f"{alias[t['parent']]} --> {alias[t['child']]} : {said(t['label'])}" for t in tree], "@enduml"]) + "\n"
 
 
 def markdown(changes: DataFrame, most: int = 1000) -> str:

@@ -8,51 +8,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.functions.text import content_version
-from stratagraph.sources.documents import Graph
+from stratagraph.sources.documents import Graph, shared_key
 
 CHANNELS = ["Element", "ArchitectureRelationship", "View"]
 
 
 def identities(graph: Graph) -> DataFrame:
-    """(canonical_identity, channel, content_version) of every object."""
+    """(canonical_identity, channel, content_version) of every object, and its
+    ``graph_key`` where the tables have one."""
+    key = shared_key(graph.elements, graph.relationships, graph.views)
     parts = [
-        graph.elements.select(F.lit(CHANNELS[0]).alias("channel"), "id", content_version("id", "name", "type", "description").alias("content_version")),
-        graph.relationships.select(F.lit(CHANNELS[1]).alias("channel"), "id", content_version("id", "type", "source_id", "target_id", "statement")),
-        graph.views.select(F.lit(CHANNELS[2]).alias("channel"), F.col("view_id"), content_version("view_id", "view_name", "parent_element_id")),
+        graph.elements.select(*key, F.lit(CHANNELS[0]).alias("channel"), "id", content_version("id", "name", "type", "description").alias("content_version")),
+        graph.relationships.select(*key, F.lit(CHANNELS[1]).alias("channel"), "id", content_version("id", "type", "source_id", "target_id", "statement")),
+        graph.views.select(*key, F.lit(CHANNELS[2]).alias("channel"), F.col("view_id"), content_version("view_id", "view_name", "parent_element_id")),
     ]
     rows = reduce(DataFrame.unionAll, parts)
-    return rows.select(F.concat_ws(":", "channel", "id").alias("canonical_identity"), "channel", "content_version")
+    return rows.select(*key, F.concat_ws(":", "channel", "id").alias("canonical_identity"), "channel", "content_version")
+
+
+def _identity(*tables: DataFrame) -> list[str]:
+    return [*shared_key(*tables), "canonical_identity"]
 
 
 def pending(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """Objects that the index lacks in their present content: a run that broke
     off goes on with these, and an edit makes its object pending again."""
-    return wanted.join(index.select("canonical_identity", "content_version"), ["canonical_identity", "content_version"], "left_anti")
+    on = [*_identity(wanted, index), "content_version"]
+    return wanted.join(index.select(*on), on, "left_anti")
 
 
 def reconcile(wanted: DataFrame, index: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """(canonical_identity, action): upsert or tombstone, of touched objects or all."""
-    w = wanted.select("canonical_identity", F.col("content_version").alias("want"))
-    i = index.select("canonical_identity", F.col("content_version").alias("have"))
-    both = w.join(i, "canonical_identity", "full_outer")
+    on = _identity(wanted, index)
+    both = wanted.select(*on, F.col("content_version").alias("want")).join(index.select(*on, F.col("content_version").alias("have")), on, "full_outer")
     if touched is not None:
-        both = both.join(touched.select("canonical_identity"), "canonical_identity", "left_semi")
+        by = _identity(both, touched)
+        both = both.join(touched.select(*by), by, "left_semi")
     action = F.when(F.col("want").isNull(), "tombstone").when(~F.col("want").eqNullSafe(F.col("have")), "upsert")
-    return both.select("canonical_identity", action.alias("action")).filter("action is not null")
+    return both.select(*on, action.alias("action")).filter("action is not null")
 
 
 def apply_delta(index: DataFrame, upserts: DataFrame, tombstones: DataFrame) -> DataFrame:
     """The index after a delta: anti-joins and a union, no row read twice."""
-    gone = upserts.select("canonical_identity").unionAll(tombstones.select("canonical_identity"))
-    return index.join(gone, "canonical_identity", "left_anti").unionByName(upserts)
+    on = _identity(index, upserts, tombstones)
+    gone = upserts.select(*on).unionAll(tombstones.select(*on))
+    return index.join(gone, on, "left_anti").unionByName(upserts)
 
 
 def readiness(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """(channel, expected, current, stale, missing, extra, state) of each channel."""
-    w = wanted.select("canonical_identity", "channel", F.col("content_version").alias("want"))
-    i = index.select("canonical_identity", F.col("channel").alias("i_channel"), F.col("content_version").alias("have"))
-    both = w.join(i, "canonical_identity", "full_outer").withColumn("channel", F.coalesce("channel", "i_channel"))
-    both = both.groupBy("channel").agg(
+    on = _identity(wanted, index)
+    key = on[:-1]
+    w = wanted.select(*on, "channel", F.col("content_version").alias("want"))
+    i = index.select(*on, F.col("channel").alias("i_channel"), F.col("content_version").alias("have"))
+    both = w.join(i, on, "full_outer").withColumn("channel", F.coalesce("channel", "i_channel"))
+    both = both.groupBy(*key, "channel").agg(
         F.count("want").alias("expected"),
         F.count_if(F.col("want") == F.col("have")).alias("current"),
         F.count_if(F.col("want") != F.col("have")).alias("stale"),
@@ -64,8 +74,8 @@ def readiness(wanted: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def aligned(states: DataFrame) -> DataFrame:
-    """One row, aligned: every channel is there and Aligned."""
-    return states.agg(((F.count_distinct("channel") == len(CHANNELS)) & F.coalesce(F.bool_and(F.col("state") == "Aligned"), F.lit(False))).alias("aligned"))
+    """One row a graph, aligned: every channel is there and Aligned."""
+    return states.groupBy(*shared_key(states)).agg(((F.count_distinct("channel") == len(CHANNELS)) & F.coalesce(F.bool_and(F.col("state") == "Aligned"), F.lit(False))).alias("aligned"))
 
 
 def canonical_version(graph: Graph, name: str = "System") -> DataFrame:
@@ -90,8 +100,9 @@ def verify_projection(expected: Graph, actual: Graph) -> DataFrame:
     """(kind, id, side) of objects that only one side has."""
     out = []
     for kind, a, b, key in (("element", expected.elements, actual.elements, "id"), ("relationship", expected.relationships, actual.relationships, "id"), ("view", expected.views, actual.views, "view_id")):
-        x, y = a.select(F.col(key).alias("id")), b.select(F.col(key).alias("id"))
-        out += [x.exceptAll(y).select(F.lit(kind).alias("kind"), "id", F.lit("expected").alias("side")), y.exceptAll(x).select(F.lit(kind).alias("kind"), "id", F.lit("actual").alias("side"))]
+        of = shared_key(a, b)
+        x, y = a.select(*of, F.col(key).alias("id")), b.select(*of, F.col(key).alias("id"))
+        out += [x.exceptAll(y).select(*of, F.lit(kind).alias("kind"), "id", F.lit("expected").alias("side")), y.exceptAll(x).select(*of, F.lit(kind).alias("kind"), "id", F.lit("actual").alias("side"))]
     return reduce(DataFrame.unionAll, out)
 
 

@@ -9,11 +9,13 @@ Refused mutations come back as rows with a reason and nothing of them is applied
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.sources.documents import Graph
+from stratagraph.plans.fixpoint import Rounds
+from stratagraph.sources.documents import Graph, shared_key
 
 
 def last_states(log: DataFrame, fields: list[str]) -> DataFrame:
@@ -23,144 +25,317 @@ def last_states(log: DataFrame, fields: list[str]) -> DataFrame:
     unchanged). ``alive`` is null for ids that the log only updates, whose other
     fields come from the table.
     """
-    w = Window.partitionBy("id")
+    key = shared_key(log)
+    w = Window.partitionBy(*key, "id")
     ranked = log.withColumn("cut", F.max(F.when(F.col("type") == "remove", F.col("seq"))).over(w))
     live = (F.col("cut").isNull() | (F.col("seq") > F.col("cut"))) & (F.col("type") != "remove")
     first_add = F.min(F.when(live & (F.col("type") == "add"), F.col("seq")))
     aggs = [F.max_by(F.when(live, F.col(f)), F.when(live & F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in fields]
-    out = ranked.groupBy("id").agg(first_add.alias("added"), F.max("cut").alias("removed"), *aggs)
+    out = ranked.groupBy(*key, "id").agg(first_add.alias("added"), F.max("cut").alias("removed"), *aggs)
     alive = F.when(F.col("added").isNotNull(), True).when(F.col("removed").isNotNull(), False)
-    return out.select("id", alive.alias("alive"), *fields)
+    return out.select(*key, "id", alive.alias("alive"), *fields)
 
 
 def apply_log(rows: DataFrame, log: DataFrame, fields: list[str]) -> DataFrame:
     """Rows (id and fields) after an element log. An add of an id that is there
     does not overwrite it; an update of an id that is not there does nothing."""
+    key = shared_key(rows, log)
+    at = [*key, "id"]
     state = last_states(log, fields)
-    old = rows.select("id", F.lit(True).alias("there"), F.struct(*fields).alias("old"))
-    removed = log.filter("type = 'remove'").select("id").distinct().withColumn("gone", F.lit(True))
-    both = state.join(old, "id", "full_outer").join(removed, "id", "left")
+    old = rows.select(*at, F.lit(True).alias("there"), F.struct(*fields).alias("old"))
+    removed = log.filter("type = 'remove'").select(*at).distinct().withColumn("gone", F.lit(True))
+    both = state.join(old, at, "full_outer").join(removed, at, "left")
     stays = F.coalesce("there", F.lit(False)) & F.col("gone").isNull()
     keep = both.filter(stays | F.coalesce("alive", F.lit(False)))
-    return keep.select("id", *[F.when(stays, F.coalesce(F.col(f), F.col(f"old.{f}"))).otherwise(F.col(f)).alias(f) for f in fields])
+    return keep.select(*at, *[F.when(stays, F.coalesce(F.col(f), F.col(f"old.{f}"))).otherwise(F.col(f)).alias(f) for f in fields])
+
+
+def _key(graph: Graph, *more: DataFrame) -> list[str]:
+    return shared_key(graph.elements, graph.relationships, graph.views, graph.view_elements, graph.view_relationships, *more)
+
+
+def _without(table: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    return table.join(rows.select(*on), on, "left_anti").select(table.columns)
+
+
+def _ends(graph: Graph, key: list[str]) -> DataFrame:
+    """(relationship_id, element_id): both ends of each relationship."""
+    return graph.relationships.select(*key, F.col("id").alias("relationship_id"), F.explode(F.array("source_id", "target_id")).alias("element_id"))
+
+
+def _appended(members: DataFrame, rows: DataFrame, key: list[str], column: str) -> DataFrame:
+    """Members with new ones (view_id and ``column``) at the end of their lists."""
+    at = [*key, "view_id"]
+    new = rows.select(*at, column).distinct().join(members.select(*at, column), [*at, column], "left_anti")
+    top = members.groupBy(*at).agg(F.max("ord").alias("top"))
+    place = F.coalesce("top", F.lit(-1)) + F.row_number().over(Window.partitionBy(*at).orderBy(column))
+    add = new.join(top, at, "left").select(*at, column, place.cast("long").alias("ord"))
+    return members.select(*at, column, "ord").unionByName(add).select([c for c in members.columns if c in (*at, column, "ord")])
 
 
 def remove_elements(graph: Graph, ids: DataFrame) -> tuple[Graph, DataFrame]:
     """The graph without elements, their relationships and memberships, and the
     refused ones (id, reason): those that child views hang from."""
-    refused = ids.join(graph.views.select(F.col("parent_element_id").alias("id")), "id", "left_semi").select("id", F.lit("child views exist").alias("reason"))
-    gone = ids.join(refused.select("id"), "id", "left_anti").select("id")
-    end = lambda c: gone.select(F.col("id").alias(c))
-    rels = graph.relationships.join(end("source_id"), "source_id", "left_anti").join(end("target_id"), "target_id", "left_anti").select(graph.relationships.columns)
-    return (
-        replace(
-            graph,
-            elements=graph.elements.join(gone, "id", "left_anti").select(graph.elements.columns),
-            relationships=rels,
-            view_elements=graph.view_elements.join(end("element_id"), "element_id", "left_anti").select(graph.view_elements.columns),
-            view_relationships=graph.view_relationships.join(rels.select(F.col("id").alias("relationship_id")), "relationship_id", "left_semi").select(graph.view_relationships.columns),
-        ),
-        refused,
-    )
+    key = _key(graph, ids)
+    at = [*key, "id"]
+    refused = ids.join(graph.views.select(*key, F.col("parent_element_id").alias("id")), at, "left_semi").select(*at, F.lit("child views exist").alias("reason"))
+    gone = ids.join(refused.select(*at), at, "left_anti").select(*at)
+    end = lambda c: gone.withColumnRenamed("id", c)
+    rels = graph.relationships
+    for c in ("source_id", "target_id"):
+        rels = _without(rels, end(c), [*key, c])
+    drawn = graph.view_relationships.join(rels.select(*key, F.col("id").alias("relationship_id")), [*key, "relationship_id"], "left_semi").select(graph.view_relationships.columns)
+    held = _without(graph.view_elements, end("element_id"), [*key, "element_id"])
+    return replace(graph, elements=_without(graph.elements, gone, at), relationships=rels, view_elements=held, view_relationships=drawn), refused
 
 
 def remove_from_views(graph: Graph, scope: DataFrame) -> Graph:
     """Take elements out of views (view_id, element_id); an element in no view
-    afterwards goes altogether, and relationships in no view do too."""
-    held = graph.view_elements.join(scope, ["view_id", "element_id"], "left_anti").select(graph.view_elements.columns)
-    touched = scope.select(F.col("element_id").alias("id")).distinct()
-    gone = touched.join(held.select(F.col("element_id").alias("id")), "id", "left_anti")
-    ends = graph.relationships.select(F.col("id").alias("relationship_id"), F.explode(F.array("source_id", "target_id")).alias("element_id"))
-    cut = ends.join(scope, "element_id").select("view_id", "relationship_id").distinct()
-    drawn = graph.view_relationships.join(cut, ["view_id", "relationship_id"], "left_anti").select(graph.view_relationships.columns)
-    lost = cut.select(F.col("relationship_id").alias("id")).distinct().join(drawn.select(F.col("relationship_id").alias("id")), "id", "left_anti")
-    return replace(graph, elements=graph.elements.join(gone, "id", "left_anti").select(graph.elements.columns), relationships=graph.relationships.join(lost, "id", "left_anti").select(graph.relationships.columns), view_elements=held, view_relationships=drawn)
+    afterwards goes altogether, with its links' places in every view, and links
+    of the elements that are in no view then go too."""
+    key = _key(graph, scope)
+    at = [*key, "view_id"]
+    held = _without(graph.view_elements, scope, [*at, "element_id"])
+    touched = scope.select(*key, "element_id").distinct()
+    gone = touched.join(held.select(*key, "element_id"), [*key, "element_id"], "left_anti")
+    ends = _ends(graph, key)
+    drawn = _without(graph.view_relationships, ends.join(scope, [*key, "element_id"]).select(*at, "relationship_id").distinct(), [*at, "relationship_id"])
+    drawn = _without(drawn, ends.join(gone, [*key, "element_id"], "left_semi").select(*key, "relationship_id").distinct(), [*key, "relationship_id"])
+    related = ends.join(touched, [*key, "element_id"], "left_semi").select(*key, "relationship_id").distinct()
+    lost = related.join(drawn.select(*key, "relationship_id"), [*key, "relationship_id"], "left_anti").withColumnRenamed("relationship_id", "id")
+    elements = _without(graph.elements, gone.withColumnRenamed("element_id", "id"), [*key, "id"])
+    return replace(graph, elements=elements, relationships=_without(graph.relationships, lost, [*key, "id"]), view_elements=held, view_relationships=drawn)
+
+
+def add_elements(graph: Graph, rows: DataFrame, scope: DataFrame) -> Graph:
+    """Add elements (an id that is there keeps its row) to views (view_id, element_id)."""
+    key = _key(graph, rows, scope)
+    new = rows.join(graph.elements.select(*key, "id"), [*key, "id"], "left_anti").select(graph.elements.columns)
+    return replace(graph, elements=graph.elements.unionByName(new), view_elements=_appended(graph.view_elements, scope, key, "element_id"))
 
 
 def add_relationships(graph: Graph, rows: DataFrame, scope: DataFrame) -> Graph:
     """Add relationships (an id that is there keeps its row) to views (view_id,
     relationship_id), and both ends of each to the same views."""
-    new = rows.join(graph.relationships.select("id"), "id", "left_anti").select(graph.relationships.columns)
-    rels = graph.relationships.unionByName(new)
-    drawn = scope.join(graph.view_relationships, ["view_id", "relationship_id"], "left_anti")
-    top = graph.view_relationships.groupBy("view_id").agg(F.max("ord").alias("top"))
-    w = Window.partitionBy("view_id").orderBy("relationship_id")
-    add = drawn.join(top, "view_id", "left").select(F.lit(None).cast("string").alias("graph_key"), "view_id", "relationship_id", (F.coalesce("top", F.lit(-1)) + F.row_number().over(w)).cast("long").alias("ord"))
-    ends = scope.join(rels.select(F.col("id").alias("relationship_id"), F.explode(F.array("source_id", "target_id")).alias("element_id")), "relationship_id").select("view_id", "element_id").distinct()
-    fresh = ends.join(graph.view_elements, ["view_id", "element_id"], "left_anti")
-    last = graph.view_elements.groupBy("view_id").agg(F.max("ord").alias("top"))
-    v = Window.partitionBy("view_id").orderBy("element_id")
-    more = fresh.join(last, "view_id", "left").select(F.lit(None).cast("string").alias("graph_key"), "view_id", "element_id", (F.coalesce("top", F.lit(-1)) + F.row_number().over(v)).cast("long").alias("ord"))
-    keys = graph.views.select("view_id", F.col("graph_key").alias("key"))
-    fill = lambda t, c: t.join(keys, "view_id", "left").select(F.col("key").alias("graph_key"), "view_id", c, "ord")
+    key = shared_key(graph.relationships, graph.view_elements, graph.view_relationships, rows, scope)
+    if not key and "graph_key" in graph.views.columns:  # a scope of views alone: ids of views name their graphs
+        keys = graph.views.select("view_id", "graph_key")
+        rows = rows if "graph_key" in rows.columns else rows.join(scope.join(keys, "view_id").select(F.col("relationship_id").alias("id"), "graph_key").distinct(), "id")
+        scope = scope.join(keys, "view_id")
+        key = ["graph_key"]
+    new = rows.join(graph.relationships.select(*key, "id"), [*key, "id"], "left_anti").select(graph.relationships.columns)
+    told = rows.select(*key, F.col("id").alias("relationship_id"), F.explode(F.array("source_id", "target_id")).alias("element_id"))
+    ends = scope.join(told, [*key, "relationship_id"]).select(*key, "view_id", "element_id")
     return replace(
         graph,
-        relationships=rels,
-        view_elements=graph.view_elements.select("graph_key", "view_id", "element_id", "ord").unionByName(fill(more, "element_id")),
-        view_relationships=graph.view_relationships.select("graph_key", "view_id", "relationship_id", "ord").unionByName(fill(add, "relationship_id")),
+        relationships=graph.relationships.unionByName(new),
+        view_elements=_appended(graph.view_elements, ends, key, "element_id"),
+        view_relationships=_appended(graph.view_relationships, scope, key, "relationship_id"),
     )
 
 
 def remove_relationships(graph: Graph, ids: DataFrame) -> Graph:
     """Without relationships; ends that no other link of a view uses leave it."""
-    gone = ids.select(F.col("id").alias("relationship_id"))
-    left = graph.view_relationships.join(gone, "relationship_id", "left_anti").select(graph.view_relationships.columns)
-    ends = graph.relationships.select(F.col("id").alias("relationship_id"), F.explode(F.array("source_id", "target_id")).alias("element_id"))
-    was = graph.view_relationships.join(gone, "relationship_id", "left_semi").join(ends, "relationship_id").select("view_id", "element_id").distinct()
-    used = left.join(ends, "relationship_id").select("view_id", "element_id").distinct()
-    drop = was.join(used, ["view_id", "element_id"], "left_anti")
-    return replace(
-        graph,
-        relationships=graph.relationships.join(ids.select("id"), "id", "left_anti").select(graph.relationships.columns),
-        view_elements=graph.view_elements.join(drop, ["view_id", "element_id"], "left_anti").select(graph.view_elements.columns),
-        view_relationships=left,
-    )
+    key = _key(graph, ids)
+    return take_relationships(graph, graph.view_relationships.join(ids.select(*key, F.col("id").alias("relationship_id")), [*key, "relationship_id"], "left_semi"), ids)
+
+
+def take_relationships(graph: Graph, scope: DataFrame, ids: DataFrame) -> Graph:
+    """Take relationships out of views (view_id, relationship_id). Their ends leave
+    a view if no link left in it uses them; of ``ids``, those in no view go."""
+    key = _key(graph, scope, ids)
+    at = [*key, "view_id"]
+    left = _without(graph.view_relationships, scope, [*at, "relationship_id"])
+    ends = _ends(graph, key)
+    was = scope.select(*at, "relationship_id").join(ends, [*key, "relationship_id"]).select(*at, "element_id").distinct()
+    used = left.join(ends, [*key, "relationship_id"]).select(*at, "element_id").distinct()
+    drop = was.join(used, [*at, "element_id"], "left_anti")
+    gone = ids.select(*key, "id").join(left.select(*key, F.col("relationship_id").alias("id")), [*key, "id"], "left_anti")
+    return replace(graph, relationships=_without(graph.relationships, gone, [*key, "id"]), view_elements=_without(graph.view_elements, drop, [*at, "element_id"]), view_relationships=left)
+
+
+def update_rows(table: DataFrame, patch: DataFrame, on: list[str]) -> DataFrame:
+    """A table with a patch's fields where they are not null."""
+    fields = [c for c in patch.columns if c in table.columns and c not in on]
+    new = patch.select(*on, *[F.col(c).alias(f"patch_{c}") for c in fields])
+    return table.join(new, on, "left").select([F.coalesce(f"patch_{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns])
+
+
+def update_relationships(graph: Graph, patch: DataFrame) -> Graph:
+    """Patch relationships (id and fields): new ends join the views of the link,
+    old ones leave those where no other link uses them."""
+    key = _key(graph, patch)
+    at = [*key, "view_id"]
+    rels = update_rows(graph.relationships, patch, [*key, "id"])
+    mine = patch.select(*key, F.col("id").alias("relationship_id")).distinct()
+    seen = graph.view_relationships.join(mine, [*key, "relationship_id"], "left_semi").select(*at, "relationship_id")
+    now = _ends(replace(graph, relationships=rels), key)
+    old = seen.join(_ends(graph, key), [*key, "relationship_id"]).select(*at, "element_id").distinct()
+    used = graph.view_relationships.join(now, [*key, "relationship_id"]).select(*at, "element_id").distinct()
+    held = _appended(graph.view_elements, seen.join(now, [*key, "relationship_id"]).select(*at, "element_id"), key, "element_id")
+    return replace(graph, relationships=rels, view_elements=_without(held, old.join(used, [*at, "element_id"], "left_anti"), [*at, "element_id"]))
 
 
 def add_views(graph: Graph, rows: DataFrame) -> tuple[Graph, DataFrame]:
     """New views, and refused ones (id, reason): their ids are taken."""
-    refused = rows.join(graph.views.select("view_id"), "view_id", "left_semi").select(F.col("view_id").alias("id"), F.lit("view exists").alias("reason"))
-    new = rows.join(graph.views.select("view_id"), "view_id", "left_anti").select(graph.views.columns)
+    at = [*shared_key(graph.views, rows), "view_id"]
+    refused = rows.join(graph.views.select(*at), at, "left_semi").select(*at[:-1], F.col("view_id").alias("id"), F.lit("view exists").alias("reason"))
+    new = rows.join(graph.views.select(*at), at, "left_anti").select(graph.views.columns)
     return replace(graph, views=graph.views.unionByName(new)), refused
 
 
 def remove_views(graph: Graph, ids: DataFrame) -> Graph:
-    cut = lambda t: t.join(ids.select("view_id"), "view_id", "left_anti").select(t.columns)
-    return replace(graph, views=cut(graph.views), view_elements=cut(graph.view_elements), view_relationships=cut(graph.view_relationships))
+    at = [*_key(graph, ids), "view_id"]
+    return replace(graph, views=_without(graph.views, ids, at), view_elements=_without(graph.view_elements, ids, at), view_relationships=_without(graph.view_relationships, ids, at))
 
 
 def rename_views(graph: Graph, names: DataFrame) -> Graph:
     """Give views new ids (view_id, new_id) in all tables."""
+    at = [*_key(graph, names), "view_id"]
 
     def moved(t: DataFrame) -> DataFrame:
-        return t.join(names, "view_id", "left").withColumn("view_id", F.coalesce("new_id", "view_id")).select(t.columns)
+        return t.join(names.select(*at, "new_id"), at, "left").withColumn("view_id", F.coalesce("new_id", "view_id")).select(t.columns)
 
     return replace(graph, views=moved(graph.views), view_elements=moved(graph.view_elements), view_relationships=moved(graph.view_relationships))
 
 
+# A batch of mutations in order, as one request of a user makes it.
+
+#: Mutations of a batch, at most; a longer log of elements goes through ``apply_log``.
+MOST = 10_000
+#: A batch's columns besides seq, type, id and view_ids.
+FIELDS = ["kind", "name", "description", "parent", "source_id", "target_id", "parent_element_id"]
+BATCH = "seq long, type string, id string, kind string, name string, description string, parent string, source_id string, target_id string, parent_element_id string, view_ids array<string>"
+_TABLES = ("elements", "relationships", "views", "view_elements", "view_relationships")
+TYPES = [f"{verb}{what}" for what in ("Element", "Relationship", "View") for verb in ("add", "update", "remove")]
+
+
+def _runs(steps: list) -> list[tuple[str, int, int]]:
+    """Stretches of a batch of one type and no repeated id: (type, first, last)."""
+    out, seen = [], set()
+    for seq, kind, i in steps:
+        if out and out[-1][0] == kind and i not in seen:
+            out[-1][2] = seq
+            seen.add(i)
+        else:
+            out.append([kind, seq, seq])
+            seen = {i}
+    return [tuple(x) for x in out]
+
+
+def _shaped(rows: DataFrame, table: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A batch's rows as rows of a table; what they lack is null."""
+    have = {**{c: c for c in rows.columns}, **names}
+    return rows.select(*[F.col(have[c]).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in table.dtypes])
+
+
+def apply_batch(graph: Graph, batch: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
+    """The graph after a batch (``BATCH``, of one graph) of the nine types in
+    order, (kind, id) of what it touched, and (seq, id, reason) of refusals. With
+    one refusal nothing is applied.
+
+    ``kind`` is the type of a new element or relationship; updates may not give
+    one. Fields that are null stay as they are. Stretches of one type are applied
+    as joins, however many rows they have; the tables that they change are written
+    after each.
+    """
+    spark = batch.sparkSession
+    steps = [tuple(r) for r in batch.select("seq", "type", "id").orderBy("seq").limit(MOST + 1).collect()]
+    if len(steps) > MOST:
+        raise ValueError(f"a batch has at most {MOST} mutations")
+    tables, first, key = Rounds(spark), graph, _key(graph)
+    one = graph.views.select(*key).distinct() if key else None  # a batch is of one graph
+    refusals, touched = [], []
+    for kind, low, high in _runs(steps):
+        rows = batch.filter(F.col("seq").between(low, high))
+        rows = rows.crossJoin(F.broadcast(one)) if key else rows
+        scope = rows.select(*key, "seq", "id", F.explode("view_ids").alias("view_id"))
+        what = kind[len("update") :] if kind.startswith("update") else kind[len("remove") :] if kind.startswith("remove") else kind[len("add") :]
+        owner, column = {"Element": (graph.elements, "id"), "Relationship": (graph.relationships, "id"), "View": (graph.views, "view_id")}.get(what, (graph.views, "view_id"))
+        known = owner.select(*key, F.col(column).alias("id")).distinct()
+        say = lambda found, reason: refusals.append(found.select("seq", "id", F.lit(reason).alias("reason")))  # noqa: B023, E731
+        if kind not in TYPES:
+            say(rows, "unsupported type")
+            continue
+        if kind == "addView":
+            say(rows.join(known, [*key, "id"], "left_semi"), "view exists")
+        elif not kind.startswith("add"):
+            say(rows.join(known, [*key, "id"], "left_anti"), "does not exist")
+        if kind in ("updateElement", "updateRelationship"):
+            say(rows.filter("kind is not null"), "type cannot be updated")
+        if kind in ("addElement", "addRelationship"):
+            say(rows.filter("coalesce(size(view_ids), 0) < 1"), "needs a view")
+        say(scope.join(graph.views.select(*key, "view_id"), [*key, "view_id"], "left_anti"), "view does not exist")
+        touched.append(rows.select(*key, F.lit(what).alias("kind"), "id"))
+        before = graph
+        places = scope.select(*key, "view_id", F.col("id").alias(f"{what.lower()}_id")).distinct()
+        ids = rows.select(*key, "id")
+        if kind == "addElement":
+            graph = add_elements(graph, _shaped(rows.withColumn("ord", F.lit(1 << 50) + F.col("seq")), graph.elements, {"type": "kind"}), places)
+        elif kind == "updateElement":
+            graph = replace(graph, elements=update_rows(graph.elements, rows.select(*key, "id", "name", "description", "parent"), [*key, "id"]))
+            names = rows.filter("name is not null").select(*key, F.col("id").alias("parent_element_id"), F.col("name").alias("parent_element_name"))
+            graph = replace(graph, views=update_rows(graph.views, names, [*key, "parent_element_id"]))
+        elif kind == "removeElement":
+            say(rows.join(graph.views.select(*key, F.col("parent_element_id").alias("id")), [*key, "id"], "left_semi"), "child views exist")
+            rels = _ends(graph, key).join(ids.withColumnRenamed("id", "element_id"), [*key, "element_id"], "left_semi")
+            touched.append(rels.select(*key, F.lit("Relationship").alias("kind"), F.col("relationship_id").alias("id")))
+            everywhere = rows.filter("view_ids is null").select(*key, F.col("id").alias("element_id")).join(graph.views.select(*key, "view_id"), key) if key else rows.filter("view_ids is null").select(F.col("id").alias("element_id")).crossJoin(graph.views.select("view_id"))
+            graph = remove_from_views(graph, places.unionByName(everywhere))
+        elif kind == "addRelationship":
+            graph = add_relationships(graph, _shaped(rows.withColumn("ord", F.lit(1 << 50) + F.col("seq")), graph.relationships, {"type": "kind"}), places)
+        elif kind == "updateRelationship":
+            graph = update_relationships(graph, rows.select(*key, "id", "name", "description", "source_id", "target_id"))
+        elif kind == "removeRelationship":
+            shown = graph.view_relationships.select(*key, "view_id", "relationship_id")
+            whole = shown.join(rows.filter("view_ids is null").select(*key, F.col("id").alias("relationship_id")), [*key, "relationship_id"], "left_semi")
+            graph = take_relationships(graph, places.unionByName(whole).select(*key, "view_id", "relationship_id"), ids)
+        elif kind == "addView":
+            graph, _ = add_views(graph, _shaped(rows.withColumn("ord", F.lit(1 << 50) + F.col("seq")), graph.views, {"view_id": "id", "view_name": "name"}))
+        elif kind == "updateView":
+            patch = rows.select(*key, F.col("id").alias("view_id"), F.col("name").alias("view_name"), "parent_element_id")
+            graph = replace(graph, views=update_rows(graph.views, patch, [*key, "view_id"]))
+        else:
+            graph = remove_views(graph, ids.withColumnRenamed("id", "view_id"))
+        changed = {t: tables.save(getattr(graph, t)) for t in _TABLES if getattr(graph, t) is not getattr(before, t)}
+        graph = replace(graph, **changed)
+    none = batch.select("seq", "id", F.lit("").alias("reason")).limit(0)
+    refused = tables.save(reduce(DataFrame.unionAll, refusals, none).distinct())
+    stop = not refused.isEmpty()
+    seen = tables.save(reduce(DataFrame.unionAll, touched).distinct()) if touched and not stop else None
+    if seen is None:
+        seen = batch.select(*([F.lit("").alias("graph_key")] if key else []), F.lit("").alias("kind"), "id").limit(0)
+    return (first if stop else graph), seen, refused
+
+
 def subdiagrams(views: DataFrame) -> DataFrame:
     """(id, subdiagram_views): what elements' lists should be, from views' parents."""
-    return views.filter("parent_element_id is not null").groupBy(F.col("parent_element_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("view_id", "view_name"))).alias("subdiagram_views"))
+    return views.filter("parent_element_id is not null").groupBy(*shared_key(views), F.col("parent_element_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("view_id", "view_name"))).alias("subdiagram_views"))
 
 
 def subdiagram_repairs(elements: DataFrame, views: DataFrame) -> DataFrame:
     """(id, was, wanted) of elements whose lists differ from ``subdiagrams``.
     ``elements`` has id and subdiagram_views."""
+    key = shared_key(elements, views)
+    at = [*key, "id"]
     none = F.array().cast("array<struct<view_id:string,view_name:string>>")
-    was = elements.select("id", F.array_sort(F.coalesce("subdiagram_views", none)).alias("was"))
-    out = was.join(subdiagrams(views).withColumnRenamed("subdiagram_views", "wanted"), "id", "left").withColumn("wanted", F.coalesce("wanted", none))
+    was = elements.select(*at, F.array_sort(F.coalesce("subdiagram_views", none)).alias("was"))
+    wanted = subdiagrams(views).select(*at, F.col("subdiagram_views").alias("wanted"))
+    out = was.join(wanted, at, "left").withColumn("wanted", F.coalesce("wanted", none))
     return out.filter("was <> wanted")
 
 
 def missing_subdiagrams(elements: DataFrame, views: DataFrame) -> DataFrame:
     """(view_id, view_name, parent_element_id) of declared views that don't exist."""
-    told = elements.select(F.col("id").alias("parent_element_id"), F.explode("subdiagram_views").alias("v")).select("v.view_id", "v.view_name", "parent_element_id")
-    return told.join(views.select("view_id"), "view_id", "left_anti")
+    key = shared_key(elements, views)
+    told = elements.select(*key, F.col("id").alias("parent_element_id"), F.explode("subdiagram_views").alias("v")).select(*key, "v.view_id", "v.view_name", "parent_element_id")
+    return told.join(views.select(*key, "view_id"), [*key, "view_id"], "left_anti")
 
 
 def inverse(before: DataFrame, after: DataFrame, fields: list[str]) -> DataFrame:
     """The log (seq, type, id, fields) that takes ``after`` back to ``before``."""
-    a, b = before.select("id", F.struct(*fields).alias("a")), after.select("id", F.struct(*fields).alias("b"))
-    both = a.join(b, "id", "full_outer").filter("not (a <=> b)")
+    at = [*shared_key(before, after), "id"]
+    a, b = before.select(*at, F.struct(*fields).alias("a")), after.select(*at, F.struct(*fields).alias("b"))
+    both = a.join(b, at, "full_outer").filter("not (a <=> b)")
     kind = F.when(F.col("b").isNull(), "add").when(F.col("a").isNull(), "remove").otherwise("update")
-    return both.select(F.lit(0).cast("long").alias("seq"), kind.alias("type"), "id", *[F.col(f"a.{f}").alias(f) for f in fields])
+    return both.select(F.lit(0).cast("long").alias("seq"), kind.alias("type"), *at, *[F.col(f"a.{f}").alias(f) for f in fields])

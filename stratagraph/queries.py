@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.functions import text as tx
 from stratagraph.model import ELEMENT_TYPES
-from stratagraph.operators import closure, delivery, diff, lifecycle, metrics, mutate, retrieval, scan, traverse, validate, views
+from stratagraph.operators import catalog, closure, delivery, diff, handoff, lifecycle, metrics, mutate, retrieval, scan, traverse, validate, views
 from stratagraph.operators import search as ranked
 from stratagraph.plans import sqlapi
 from stratagraph.sources import star
@@ -103,7 +103,7 @@ grown AS (SELECT id FROM elements WHERE type = 'Business Role' UNION SELECT up.u
 SELECT id FROM grown""")
 def view_anchors(spark, d):
     g = star.graph(spark, d)
-    return traverse.view_anchors(g.elements.filter("type = 'Business Role'"), g.elements, g.views, g.view_elements)
+    return traverse.view_anchors(g.elements.filter("type = 'Business Role'"), g.elements, g.views, g.view_elements).drop("graph_key")
 
 
 @query(""",
@@ -117,12 +117,12 @@ def upstream_of_part(spark, d):
 
 @query("SELECT e.id, coalesce(p.name || '/', '') || e.name AS path FROM elements e LEFT JOIN elements p ON p.id = e.parent WHERE e.type IN ('Location', 'Grouping')")
 def element_paths(spark, d):
-    return traverse.paths(star.elements(spark, d).filter("type in ('Location', 'Grouping')").withColumn("parent", F.coalesce("parent", F.lit(""))))
+    return traverse.paths(star.elements(spark, d).filter("type in ('Location', 'Grouping')").withColumn("parent", F.coalesce("parent", F.lit("")))).drop("graph_key")
 
 
 @query("SELECT m.view_id, m.ord, m.element_id, e.name, e.type FROM view_elements m JOIN elements e ON e.id = m.element_id")
 def view_members(spark, d):
-    return views.members(star.graph(spark, d))
+    return views.members(star.graph(spark, d)).drop("graph_key")
 
 
 @query("""SELECT v.view_id, v.view_name, v.parent_element_id, p.type AS parent_type,
@@ -141,13 +141,13 @@ SELECT p.view_id, p.element_id AS id, e.name, e.type,
   floor(80 + 160 * cos(2.0 * 3.141592653589793 * i / greatest(n, 1)) + 0.5)::BIGINT AS x, floor(80 + 160 * sin(2.0 * 3.141592653589793 * i / greatest(n, 1)) + 0.5)::BIGINT AS y
 FROM placed p JOIN elements e ON e.id = p.element_id""")
 def view_graph_layout(spark, d):
-    return views.circle_layout(star.graph(spark, d))
+    return views.circle_layout(star.graph(spark, d)).drop("graph_key")
 
 
 @query("SELECT 'element' AS kind, id FROM elements WHERE parent = 'region-1' UNION ALL SELECT 'relationship', id FROM links WHERE source_id IN (SELECT id FROM elements WHERE parent = 'region-1') AND target_id IN (SELECT id FROM elements WHERE parent = 'region-1' OR id = 'region-1') UNION ALL SELECT 'element', 'region-1'")
 def subgraph_of_region(spark, d):
     g = star.graph(spark, d)
-    ids = g.elements.filter("parent = 'region-1' or id = 'region-1'").select("id")
+    ids = g.elements.filter("parent = 'region-1' or id = 'region-1'").select("graph_key", "id")
     s = views.subgraph(g, ids)
     return s.elements.select(F.lit("element").alias("kind"), "id").unionAll(s.relationships.select(F.lit("relationship"), "id"))
 
@@ -155,15 +155,17 @@ def subgraph_of_region(spark, d):
 # Integrity rules. Faults are planted in the graph, the same way on both sides.
 
 
-def _faulty(spark, d):
+def _faulty(spark, d, named=False):
     """The star graph with links to lost elements, wrong names and repeated ids."""
     from dataclasses import replace
 
-    g = star.graph(spark, d)
+    g = star.graph(spark, d, named=named)
     twice = g.elements.filter("type = 'Grouping'")
     r = g.relationships
     n = F.col("ord") % 97
-    r = r.withColumn("target_id", F.when(n == 3, F.lit("lost-1")).otherwise(F.col("target_id"))).withColumn("source_name", F.when(n == 5, F.lit("wrong")).otherwise(F.col("source_name")))
+    r = r.withColumn("target_id", F.when(n == 3, F.lit("lost-1")).otherwise(F.col("target_id")))
+    if named:
+        r = r.withColumn("source_name", F.when(n == 5, F.lit("wrong")).otherwise(F.col("source_name")))
     return replace(g, elements=g.elements.unionAll(twice), relationships=r)
 
 
@@ -186,13 +188,13 @@ def rule_dangling(spark, d):
 def rule_names(spark, d):
     from dataclasses import replace
 
-    g = _faulty(spark, d)
+    g = _faulty(spark, d, named=True)
     return validate.name_mismatches(replace(g, elements=star.elements(spark, d))).filter("rule = 'source_name'")
 
 
 @query(_FAULTY + " SELECT 'statement' AS rule, 'relationship' AS kind, id, 'statement must be ' || source_name || ' --(' || type || ')--> ' || target_name AS message FROM faulty WHERE source_name = 'wrong'")
 def rule_statement(spark, d):
-    return validate.statements(_faulty(spark, d))
+    return validate.statements(_faulty(spark, d, named=True))
 
 
 @query("""SELECT 'orphan_element' AS rule, 'element' AS kind, id, 'in no view' AS message FROM elements WHERE id NOT IN (SELECT element_id FROM view_elements)
@@ -282,7 +284,7 @@ def projection_verify(spark, d):
     from dataclasses import replace
 
     g = star.graph(spark, d)
-    return lifecycle.verify_projection(g, replace(g, elements=g.elements.filter("ord % 10 <> 0")))
+    return lifecycle.verify_projection(g, replace(g, elements=g.elements.filter("ord % 10 <> 0"))).drop("graph_key")
 
 
 # Vectors. The query vector is that of the first record.
@@ -333,13 +335,13 @@ rels AS (SELECT DISTINCT relationship_id FROM pe JOIN reached ON from_id = id WH
 @query(_CLOSURE + " SELECT id, depth FROM reached")
 def policy_closure(spark, d):
     g = star.graph(spark, d)
-    return closure.policy_closure(g.elements.filter("id in ('customer-1', 'nation-3')").select("id"), star.links(spark, d))[0]
+    return closure.policy_closure(g.elements.filter("id in ('customer-1', 'nation-3')").select("graph_key", "id"), star.links(spark, d))[0].drop("graph_key")
 
 
 @query(_FAULTY + " SELECT id, 'target' AS missing_end FROM faulty WHERE target_id = 'lost-1'")
 def endpoint_closure(spark, d):
     g = _faulty(spark, d)
-    return closure.endpoint_closure(g.relationships, star.elements(spark, d))[1]
+    return closure.endpoint_closure(g.relationships, star.elements(spark, d))[1].drop("graph_key")
 
 
 @query(_CLOSURE + """,
@@ -388,7 +390,7 @@ changes AS (
 
 @query(_DIFF + " SELECT id, status, type, name FROM changes")
 def graph_diff(spark, d):
-    return diff.diff(star.elements(spark, d), _after(spark, d))
+    return diff.diff(star.elements(spark, d), _after(spark, d)).drop("graph_key")
 
 
 @query(_DIFF + " SELECT greatest((SELECT 1.5 * count(*) FROM changes), (SELECT sum(CASE type WHEN 'Assignment' THEN 3 ELSE 1.5 END) FROM links WHERE ord % 101 = 0), 1.5)::DOUBLE AS total_g")
@@ -403,7 +405,7 @@ def diff_size(spark, d):
 l AS (SELECT * FROM links WHERE source_id IN (SELECT id FROM changes) AND target_id IN (SELECT id FROM changes))
 SELECT (SELECT min(id) FROM changes) AS parent, id AS child, 'impact' AS label FROM changes WHERE id <> (SELECT min(id) FROM changes)""")
 def diff_tree(spark, d):
-    return diff.tree_edges(diff.diff(star.elements(spark, d), _after(spark, d)), star.links(spark, d))
+    return diff.tree_edges(diff.diff(star.elements(spark, d), _after(spark, d)), star.links(spark, d)).drop("graph_key")
 
 
 @query(""",
@@ -432,7 +434,7 @@ s AS (
   UNION ALL SELECT 'relationship', id, name, type, ord, 1, CASE WHEN starts_with(lower(statement), 'order-1') THEN 25.0 WHEN contains(lower(statement), 'order-1') THEN 10.0 ELSE 0 END FROM relationships)
 SELECT kind, id, name, type, score::DOUBLE AS score FROM s WHERE score > 0 ORDER BY s.score DESC, rank, ord, id LIMIT 50""")
 def search_local(spark, d):
-    return ranked.search(star.graph(spark, d), " Order-1 ")
+    return ranked.search(star.graph(spark, d, named=True), " Order-1 ")
 
 
 @query("""SELECT doc_id, CASE WHEN length(t) <= 180 THEN t ELSE substr(t, 1, 177) || '...' END AS summary
@@ -518,7 +520,7 @@ UNION ALL SELECT 'relationship', id FROM links WHERE type = 'Assignment' AND sou
 UNION ALL SELECT 'refused', 'nation-1'""")
 def remove_elements(spark, d):
     g = star.graph(spark, d)
-    out, refused = mutate.remove_elements(g, g.elements.filter("id in ('supplier-1', 'supplier-2', 'customer-5', 'nation-1')").select("id"))
+    out, refused = mutate.remove_elements(g, g.elements.filter("id in ('supplier-1', 'supplier-2', 'customer-5', 'nation-1')").select("graph_key", "id"))
     e = out.elements.filter("type like 'Business%'").select(F.lit("element").alias("kind"), "id")
     return e.unionAll(out.relationships.filter("type = 'Assignment'").select(F.lit("relationship"), "id")).unionAll(refused.select(F.lit("refused"), "id"))
 
@@ -530,35 +532,44 @@ used AS (SELECT DISTINCT m.view_id, unnest([l.source_id, l.target_id]) AS elemen
 SELECT view_id, element_id FROM view_elements v WHERE NOT EXISTS (SELECT 1 FROM was w WHERE w.view_id = v.view_id AND w.element_id = v.element_id AND NOT EXISTS (SELECT 1 FROM used u WHERE u.view_id = w.view_id AND u.element_id = w.element_id))""")
 def remove_relationships(spark, d):
     g = star.graph(spark, d)
-    return mutate.remove_relationships(g, g.relationships.filter("id like 'ca-%0'").select("id")).view_elements.select("view_id", "element_id")
+    return mutate.remove_relationships(g, g.relationships.filter("id like 'ca-%0'").select("graph_key", "id")).view_elements.select("view_id", "element_id")
 
 
 @query("SELECT parent_element_id AS id, count(*) AS n FROM views WHERE parent_element_id IS NOT NULL AND ord % 3 <> 0 GROUP BY parent_element_id")
 def subdiagram_repair(spark, d):
     v = star.views(spark, d)
-    kept = mutate.subdiagrams(v.filter("ord % 3 = 0"))
+    kept = mutate.subdiagrams(v.filter("ord % 3 = 0")).drop("graph_key")
     e = star.elements(spark, d).filter("type in ('Location', 'Grouping')").select("id").join(kept, "id", "left")
-    return mutate.subdiagram_repairs(e, v).select("id", F.size("wanted").cast("long").alias("n"))
+    return mutate.subdiagram_repairs(e, v.drop("graph_key")).select("id", F.size("wanted").cast("long").alias("n"))
 
 
 # Index upkeep: the index lacks every fifth part and has stale and extra rows.
 
 
 def _index(spark, d):
-    want = lifecycle.identities(star.graph(spark, d))
+    want = lifecycle.identities(star.graph(spark, d, named=True)).drop("graph_key")
     n = F.pmod(F.crc32(F.col("canonical_identity").cast("binary")), F.lit(10))
     have = want.filter(n != 0).withColumn("content_version", F.when(n == 1, F.lit("old")).otherwise(F.col("content_version")))
     extra = spark.createDataFrame([("Element:gone", "Element", "x")], have.schema)
     return want, have.unionAll(extra)
 
 
-@query(None)
+_IDENTITIES = """,
+ids AS (SELECT 'Element' AS channel, 'Element:' || id AS canonical_identity FROM elements
+  UNION ALL SELECT 'ArchitectureRelationship', 'ArchitectureRelationship:' || id FROM links UNION ALL SELECT 'View', 'View:' || view_id FROM views),
+table32 AS (SELECT i, list_reduce([i] || range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM (SELECT unnest(range(256)) AS i)),
+steps AS (SELECT list(t ORDER BY i) AS t FROM table32),
+numbered AS (SELECT channel, canonical_identity, xor(list_reduce([4294967295] || list_transform(range(1, length(canonical_identity) + 1), lambda k: ascii(substr(canonical_identity, k, 1))::BIGINT),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10 AS n FROM ids, steps)"""
+
+
+@query(_IDENTITIES + " SELECT canonical_identity, channel FROM numbered WHERE n < 2")
 def backfill_pending(spark, d):
     want, have = _index(spark, d)
     return lifecycle.pending(want, have).select("canonical_identity", "channel")
 
 
-@query(None)
+@query(_IDENTITIES + " SELECT canonical_identity, 'upsert' AS action FROM numbered WHERE n < 2 UNION ALL SELECT 'Element:gone', 'tombstone'")
 def reconcile_delta(spark, d):
     want, have = _index(spark, d)
     return lifecycle.reconcile(want, have)
@@ -573,6 +584,285 @@ def readiness_alignment(spark, d):
     return lifecycle.readiness(r.drop("vec_id"), have.drop("vec_id"))
 
 
-@query(None)
+@query(""",
+ids AS (SELECT 'elements' AS kind, id FROM elements UNION ALL SELECT 'relationships', id FROM links UNION ALL SELECT 'views', view_id FROM views),
+item AS (SELECT kind, id, count(*) AS n, sha256(id)[1:4] AS part FROM ids GROUP BY kind, id),
+fine AS (SELECT part, sha256('[' || string_agg('{"kind":"' || kind || '","id":"' || id || '","n":' || n || '}', ',' ORDER BY kind, id) || ']') AS sha FROM item GROUP BY part),
+coarse AS (SELECT part[1:2] AS part, sha256('[' || string_agg('{"part":"' || part || '","sha":"' || sha || '"}', ',' ORDER BY part) || ']') AS sha FROM fine GROUP BY part[1:2])
+SELECT 'star' AS graph_key, 'canonical:' || sha256('{"name":"System","parts":[' || string_agg('{"part":"' || part || '","sha":"' || sha || '"}', ',' ORDER BY part) || ']}') AS canonical_version FROM coarse""")
 def canonical_version(spark, d):
     return lifecycle.canonical_version(star.graph(spark, d))
+
+
+# Whole tables: every customer's context, every part's upstream, every record.
+
+
+_ALL_CONTEXT = """,
+s AS (SELECT 'customer-' || c_custkey AS root FROM customer),
+p1 AS (SELECT DISTINCT s.root, e.to_id AS id FROM s JOIN semantic_edges e ON e.from_id = s.root AND e.kind = 'dependency'),
+p2 AS (SELECT DISTINCT p1.root, e.to_id AS id FROM p1 JOIN semantic_edges e ON e.from_id = p1.id AND e.kind = 'dependency'),
+ctx AS (
+  SELECT root, id, direction, min(depth) AS depth FROM (
+    SELECT root, root AS id, 0 AS depth, unnest(['dependency', 'dependent', 'association']) AS direction FROM s
+    UNION ALL SELECT root, id, 1, 'dependency' FROM p1 UNION ALL SELECT root, id, 2, 'dependency' FROM p2
+    UNION ALL SELECT s.root, e.to_id, 1, e.kind FROM s JOIN semantic_edges e ON e.from_id = s.root WHERE e.kind IN ('dependent', 'association')) GROUP BY root, id, direction)"""
+
+
+@query(_ALL_CONTEXT + " SELECT root, id, direction, depth FROM ctx")
+def ctx_intent_all(spark, d):
+    return traverse.intent_context(_customers(spark, d), _edges(spark, d))[0]
+
+
+@query(_ALL_CONTEXT + """,
+near AS (SELECT DISTINCT root, id, 'dependency' AS direction FROM ctx WHERE direction <> 'dependent' UNION ALL SELECT root, id, 'dependent' FROM ctx WHERE direction = 'dependent' AND depth >= 1)
+SELECT n.root, n.id, n.direction, count(DISTINCT e.relationship_id) AS remaining, list_sort(list(DISTINCT e.relationship_id)) AS relationship_ids
+FROM near n JOIN semantic_edges e ON e.from_id = n.id AND CASE WHEN e.kind = 'dependent' THEN 'dependent' ELSE 'dependency' END = n.direction
+WHERE NOT EXISTS (SELECT 1 FROM ctx c WHERE c.root = n.root AND c.id = e.to_id) GROUP BY n.root, n.id, n.direction""")
+def ctx_boundary_all(spark, d):
+    edges = _edges(spark, d)
+    return traverse.boundary(traverse.intent_context(_customers(spark, d), edges)[0], edges)
+
+
+@query(""",
+up AS (SELECT DISTINCT from_id AS id, to_id FROM semantic_edges WHERE kind = 'dependency' AND from_id <> to_id),
+grown AS (SELECT 'part-' || p_partkey AS root, 'part-' || p_partkey AS id, 0 AS depth FROM part UNION SELECT root, to_id, depth + 1 FROM grown JOIN up USING (id) WHERE depth < 6)
+SELECT root, id, min(depth) AS depth FROM grown GROUP BY root, id""")
+def upstream_of_parts(spark, d):
+    ids = star.table(spark, d, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"))
+    return traverse.upstream(spark, ids.select(F.col("id").alias("root"), "id"), _edges(spark, d))
+
+
+@query("SELECT canonical_identity, ord % 7 <> 0 AS found FROM records")
+def touched_queryable_all(spark, d):
+    r = star.semantic_records(spark, d)
+    return retrieval.queryable(r.filter("ord % 7 <> 0"), r)
+
+
+# Two graphs that share all ids. In the second, links of customers and suppliers
+# are associations, orders hang from no customer, and views are other.
+
+
+def _second(spark, d):
+    g = star.graph(spark, d)
+    keyed = lambda t: t.withColumn("graph_key", F.lit("second"))
+    kind = F.when(F.col("type") == "Assignment", "Association").otherwise(F.col("type"))
+    rels = g.relationships.filter("type <> 'Access'").withColumn("type", kind)
+    return type(g)(keyed(g.elements.filter("type <> 'Product'")), keyed(rels), keyed(g.views), keyed(g.view_elements.filter("view_id <> 'view-root'")), keyed(g.view_relationships))
+
+
+def _both(spark, d):
+    a, b = star.graph(spark, d), _second(spark, d)
+    return type(a)(*(getattr(a, t).unionByName(getattr(b, t)) for t in ("elements", "relationships", "views", "view_elements", "view_relationships")))
+
+
+_TWO = """,
+rels2 AS (
+  SELECT 'star' AS graph_key, id, ord, type, source_id, target_id FROM links
+  UNION ALL SELECT 'second', id, ord, CASE type WHEN 'Assignment' THEN 'Association' ELSE type END, source_id, target_id FROM links WHERE type <> 'Access'),
+elements2 AS (SELECT 'star' AS graph_key, * FROM elements UNION ALL SELECT 'second', * FROM elements WHERE type <> 'Product'),
+views2 AS (SELECT unnest(['star', 'second']) AS graph_key, * FROM views),
+members2 AS (SELECT 'star' AS graph_key, * FROM view_elements UNION ALL SELECT 'second', * FROM view_elements WHERE view_id <> 'view-root'),
+drawn2 AS (SELECT unnest(['star', 'second']) AS graph_key, * FROM view_relationships),
+dep2 AS (
+  SELECT graph_key, source_id AS from_id, target_id AS to_id, id FROM rels2 WHERE type IN ('Access', 'Assignment', 'Specialization', 'Composition', 'Aggregation')
+  UNION ALL SELECT graph_key, target_id, source_id, id FROM rels2 WHERE type IN ('Serving', 'Realization', 'Flow', 'Triggering', 'Influence'))"""
+
+
+@query(_TWO + """,
+r0 AS (SELECT graph_key, id AS root, id, 0 AS depth FROM elements2 WHERE type = 'Business Actor'),
+r1 AS (SELECT DISTINCT r.graph_key, r.root, e.to_id AS id, 1 AS depth FROM r0 r JOIN dep2 e ON e.graph_key = r.graph_key AND e.from_id = r.id),
+r2 AS (SELECT DISTINCT r.graph_key, r.root, e.to_id AS id, 2 AS depth FROM r1 r JOIN dep2 e ON e.graph_key = r.graph_key AND e.from_id = r.id)
+SELECT graph_key, root, id, min(depth) AS depth FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY graph_key, root, id""")
+def two_graphs_context(spark, d):
+    g = _both(spark, d)
+    starts = g.elements.filter("type = 'Business Actor'").select("graph_key", F.col("id").alias("root"), "id")
+    return traverse.traverse(starts, traverse.semantic_edges(g.relationships), 2)
+
+
+@query(_TWO + """
+SELECT v.graph_key, v.view_id, v.view_name, v.parent_element_id, p.type AS parent_type,
+  (SELECT count(*) FROM members2 m JOIN elements2 e ON e.graph_key = m.graph_key AND e.id = m.element_id WHERE m.graph_key = v.graph_key AND m.view_id = v.view_id) AS n_elements,
+  (SELECT count(*) FROM drawn2 m JOIN rels2 r ON r.graph_key = m.graph_key AND r.id = m.relationship_id WHERE m.graph_key = v.graph_key AND m.view_id = v.view_id) AS n_relationships,
+  (SELECT count(*) FROM members2 m JOIN views2 c ON c.graph_key = m.graph_key AND c.parent_element_id = m.element_id WHERE m.graph_key = v.graph_key AND m.view_id = v.view_id) AS n_children
+FROM views2 v LEFT JOIN elements2 p ON p.graph_key = v.graph_key AND p.id = v.parent_element_id""")
+def two_graphs_views(spark, d):
+    return views.view_context(_both(spark, d)).drop("n_missing")
+
+
+@query(_TWO + """,
+pe2 AS (
+  SELECT graph_key, source_id AS from_id, target_id AS to_id FROM rels2 WHERE type IN ('Triggering', 'Access', 'Association')
+  UNION ALL SELECT graph_key, target_id, source_id FROM rels2 WHERE type IN ('Serving', 'Realization', 'Assignment', 'Association')),
+c0 AS (SELECT graph_key, id FROM elements2 WHERE id IN ('customer-1', 'nation-3')),
+c1 AS (SELECT DISTINCT c.graph_key, to_id AS id FROM c0 c JOIN pe2 ON pe2.graph_key = c.graph_key AND from_id = c.id),
+c2 AS (SELECT DISTINCT c.graph_key, to_id AS id FROM c1 c JOIN pe2 ON pe2.graph_key = c.graph_key AND from_id = c.id)
+SELECT graph_key, id, min(depth) AS depth FROM (SELECT *, 0 AS depth FROM c0 UNION ALL SELECT *, 1 FROM c1 UNION ALL SELECT *, 2 FROM c2) GROUP BY graph_key, id""")
+def two_graphs_closure(spark, d):
+    g = _both(spark, d)
+    return closure.policy_closure(g.elements.filter("id in ('customer-1', 'nation-3')").select("graph_key", "id"), g.relationships)[0]
+
+
+@query(_TWO + """,
+hit AS (SELECT graph_key, id FROM rels2 WHERE id LIKE 'ca-%0' AND graph_key = 'second'),
+ends AS (SELECT graph_key, id, unnest([source_id, target_id]) AS element_id FROM rels2),
+was AS (SELECT DISTINCT m.graph_key, m.view_id, e.element_id FROM drawn2 m JOIN hit ON hit.graph_key = m.graph_key AND hit.id = m.relationship_id JOIN ends e ON e.graph_key = m.graph_key AND e.id = m.relationship_id),
+used AS (SELECT DISTINCT m.graph_key, m.view_id, e.element_id FROM drawn2 m JOIN ends e ON e.graph_key = m.graph_key AND e.id = m.relationship_id WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.graph_key = m.graph_key AND hit.id = m.relationship_id))
+SELECT graph_key, view_id, element_id FROM members2 v WHERE NOT EXISTS (
+  SELECT 1 FROM was w WHERE w.graph_key = v.graph_key AND w.view_id = v.view_id AND w.element_id = v.element_id
+  AND NOT EXISTS (SELECT 1 FROM used u WHERE u.graph_key = w.graph_key AND u.view_id = w.view_id AND u.element_id = w.element_id))""")
+def two_graphs_removal(spark, d):
+    g = _both(spark, d)
+    ids = g.relationships.filter("id like 'ca-%0' and graph_key = 'second'").select("graph_key", "id")
+    return mutate.remove_relationships(g, ids).view_elements.select("graph_key", "view_id", "element_id")
+
+
+# Drawings, trees and sizes with links in them.
+
+
+@query("""SELECT m.view_id, m.ord AS place, l.id, l.type, l.source_id, l.target_id FROM view_relationships m JOIN links l ON l.id = m.relationship_id
+WHERE EXISTS (SELECT 1 FROM view_elements e WHERE e.view_id = m.view_id AND e.element_id = l.source_id) AND EXISTS (SELECT 1 FROM view_elements e WHERE e.view_id = m.view_id AND e.element_id = l.target_id)""")
+def view_graph_edges(spark, d):
+    return views.drawn_edges(star.graph(spark, d)).drop("graph_key")
+
+
+_LINKED = """,
+entry AS (SELECT id FROM elements WHERE type IN ('Location', 'Grouping') OR (type = 'Business Actor' AND ord % 3 = 0) OR (type = 'Product' AND ord % 10 = 0) OR (type = 'Business Role' AND ord % 2 = 0)),
+edge AS (
+  SELECT source_id AS parent, target_id AS child, type AS label FROM links WHERE type IN ('Access', 'Assignment', 'Specialization', 'Composition', 'Aggregation') AND source_id IN (FROM entry) AND target_id IN (FROM entry)
+  UNION ALL SELECT target_id, source_id, type FROM links WHERE type IN ('Serving', 'Realization', 'Flow', 'Triggering', 'Influence') AND source_id IN (FROM entry) AND target_id IN (FROM entry)),
+tied AS (SELECT parent AS id FROM edge UNION SELECT child FROM edge)
+SELECT parent, child, label FROM edge UNION ALL SELECT (SELECT min(id) FROM entry), id, 'impact' FROM entry WHERE id NOT IN (FROM tied) AND id <> (SELECT min(id) FROM entry)"""
+
+
+@query(_LINKED)
+def diff_tree_linked(spark, d):
+    e = star.elements(spark, d).filter("type in ('Location', 'Grouping') or (type = 'Business Actor' and ord % 3 = 0) or (type = 'Product' and ord % 10 = 0) or (type = 'Business Role' and ord % 2 = 0)")
+    return diff.tree_edges(e.select("id"), star.links(spark, d))
+
+
+@query("SELECT (1.5 * sum(length(p) - length(replace(p, 'x', ''))) FILTER (true) + 2 * count(*) FILTER (k = 1))::DOUBLE AS total_g FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN repeat('x', (p_partkey % 4)::INTEGER) ELSE '' END AS p, p_partkey % 2 AS k FROM part)")
+def diff_size_points(spark, d):
+    """Even parts are processes with as many points as their key modulo four; others are interfaces."""
+    n = F.col("p_partkey")
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n % 4, F.lit(1))), lambda k: F.concat(F.lit("FP"), k.cast("string"))), " ")
+    kind = F.when(n % 2 == 0, "Business Process").otherwise("Application Interface")
+    rows = star.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), kind.alias("type"), F.lit("n").alias("name"), F.when(n % 4 > 0, words).otherwise("").alias("description"))
+    return diff.total_size(rows, star.links(spark, d).limit(0))
+
+
+# Purposes: suppliers are seeds of audits, customers of repairs; two policies hang
+# from the selector, and regions lead to one of them.
+
+
+def _purpose_links(spark, d):
+    made = [("g1", "Triggering", "grag-purpose-closure", "grag-audit-policy"), ("g2", "Triggering", "grag-purpose-closure", "grag-repair-policy"), ("g3", "Triggering", "grag-seed-retrieval", "grag-purpose-closure")]
+    more = spark.createDataFrame([(k, *r) for k, r in enumerate(made)], "ord long, id string, type string, source_id string, target_id string")
+    base = star.links(spark, d).select("ord", "id", "type", "source_id", "target_id")
+    region = star.table(spark, d, "region").select(F.lit(9).cast("long"), F.concat(F.lit("gr-"), F.col("r_regionkey").cast("string")), F.lit("Flow"), F.concat(F.lit("region-"), F.col("r_regionkey").cast("string")), F.lit("grag-audit-policy"))
+    return base.unionAll(more.select(base.columns)).unionAll(region)
+
+
+@query(""",
+pl AS (
+  SELECT id, type, source_id, target_id FROM links UNION ALL SELECT 'g1', 'Triggering', 'grag-purpose-closure', 'grag-audit-policy'
+  UNION ALL SELECT 'g2', 'Triggering', 'grag-purpose-closure', 'grag-repair-policy' UNION ALL SELECT 'g3', 'Triggering', 'grag-seed-retrieval', 'grag-purpose-closure'
+  UNION ALL SELECT 'gr-' || r_regionkey, 'Flow', 'region-' || r_regionkey, 'grag-audit-policy' FROM region),
+pol AS (SELECT * FROM (VALUES ('intent-decision', 'grag-intent-decision-policy'), ('implementation-design', 'grag-implementation-policy'), ('coding-repair', 'grag-repair-policy'), ('audit', 'grag-audit-policy'), ('graph-tidy', 'grag-graph-tidy-policy')) t(purpose, anchor)),
+st AS (
+  SELECT purpose, anchor, source_id AS f, target_id AS t FROM pol, pl WHERE type IN ('Triggering', 'Access', 'Association') AND NOT (type = 'Triggering' AND source_id = 'grag-purpose-closure' AND target_id <> anchor)
+  UNION ALL SELECT purpose, anchor, target_id, source_id FROM pol, pl WHERE type IN ('Serving', 'Realization', 'Assignment', 'Association') OR (type = 'Triggering' AND source_id = 'grag-seed-retrieval')
+  UNION ALL SELECT purpose, anchor, source_id, target_id FROM pol, pl WHERE type IN ('Flow', 'Influence', 'Composition', 'Aggregation', 'Specialization') AND target_id = anchor),
+z0 AS (
+  SELECT 'audit' AS purpose, 'supplier-' || s_suppkey AS id FROM supplier UNION SELECT 'coding-repair', 'customer-' || c_custkey FROM customer UNION SELECT 'audit', 'region-1'
+  UNION SELECT purpose, anchor FROM pol UNION SELECT purpose, 'grag-purpose-closure' FROM pol WHERE anchor IN ('grag-audit-policy', 'grag-repair-policy')),
+z1 AS (SELECT DISTINCT z.purpose, t AS id FROM z0 z JOIN st ON st.purpose = z.purpose AND f = z.id),
+z2 AS (SELECT DISTINCT z.purpose, t AS id FROM z1 z JOIN st ON st.purpose = z.purpose AND f = z.id)
+SELECT purpose, id, min(depth) AS depth FROM (SELECT *, 0 AS depth FROM z0 UNION ALL SELECT *, 1 FROM z1 UNION ALL SELECT *, 2 FROM z2) GROUP BY purpose, id""")
+def purpose_scopes(spark, d):
+    e = star.elements(spark, d)
+    audit = e.filter("type = 'Business Role' or id = 'region-1'").select(F.lit("audit").alias("purpose"), "id")
+    repair = e.filter("type = 'Business Actor'").select(F.lit("coding-repair").alias("purpose"), "id")
+    return closure.purpose_scope(closure.purpose_policies(spark), audit.unionAll(repair), _purpose_links(spark, d))[0].drop("reason")
+
+
+@query("SELECT canonical_identity, CASE WHEN n % 2 = 0 THEN 'unknown' ELSE 'version differs' END AS problem FROM (SELECT 'Element:part-' || p_partkey AS canonical_identity, p_partkey % 6 AS n FROM part) WHERE n IN (1, 2)")
+def seed_authority(spark, d):
+    n = F.col("p_partkey") % 6
+    rows = star.table(spark, d, "part").select(F.concat(F.lit("Element:part-"), F.col("p_partkey").cast("string")).alias("canonical_identity"), n.alias("n"))
+    return closure.unauthorised(rows.withColumn("content_version", F.when(F.col("n") == 1, "v0").otherwise("v1")).drop("n"), rows.filter("n <> 2").select("canonical_identity", F.lit("v1").alias("content_version")))
+
+
+# Exports and handoffs: pages of the star schema as packages, tasks and claims.
+
+
+@query("""SELECT s_nationkey::BIGINT AS package_id, bucket, count(*) AS n, list(id ORDER BY id) AS ids FROM (
+  SELECT s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Class' WHEN s_suppkey % 3 = 1 THEN 'Actor' ELSE 'Unknown' END AS bucket, 'supplier-' || s_suppkey AS id FROM supplier) GROUP BY s_nationkey, bucket""")
+def package_buckets(spark, d):
+    n = F.col("s_suppkey") % 3
+    rows = star.table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("package_id"), F.when(n == 0, "Class").otherwise("").alias("meta_type"), F.when(n == 1, "Actor").when(n == 0, "Other").alias("type"), F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("id"))
+    return catalog.buckets(rows, "package_id")
+
+
+@query("""SELECT id, CASE WHEN min(rank) = 1 THEN 'owned' WHEN min(rank) = 2 THEN 'diagram_reference' ELSE 'connector' END AS scope FROM (
+  SELECT 'part-' || l_partkey AS id, CASE WHEN l_quantity > 45 THEN 1 WHEN l_quantity > 10 THEN 2 ELSE 3 END AS rank FROM lineitem) GROUP BY id""")
+def package_scopes(spark, d):
+    q = F.col("l_quantity")
+    rows = star.table(spark, d, "lineitem").select(F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("id"), F.when(q > 45, "owned").when(q > 10, "diagram_reference").otherwise("connector").alias("scope"))
+    return catalog.merged_scopes(rows, "id")
+
+
+@query("""SELECT rule, id, count(*) AS n FROM (
+  SELECT 'missing_element' AS rule, 'customer-' || (user_id * 7) AS id FROM events WHERE user_id * 7 NOT IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT 'no_testcase', 'customer-' || (user_id * 7) FROM events WHERE user_id * 7 IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)) GROUP BY rule, id""")
+def handoff_claims(spark, d):
+    e = star.table(spark, d, "customer").select(F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), (F.col("c_custkey") % 4).cast("int").alias("n_testcases"))
+    rows = star.table(spark, d, "events").select(F.lit("h").alias("document"), F.col("event_id").alias("place"), F.concat(F.lit("customer-"), (F.col("user_id") * 7).cast("string")).alias("element_id"))
+    return handoff.claims(rows, e).groupBy("rule", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'order-' || o_custkey AS document, 'missing_task' AS rule, o_orderkey::VARCHAR AS id, 'needs ' || (o_orderkey + 1) || ', which is missing' AS message FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey = o.o_orderkey + 1)""")
+def handoff_tasks(spark, d):
+    o = star.table(spark, d, "orders")
+    rows = o.select(F.concat(F.lit("order-"), F.col("o_custkey").cast("string")).alias("document"), F.col("o_orderkey").cast("string").alias("task_id"), F.array((F.col("o_orderkey") + 1).cast("string")).alias("needs"))
+    return handoff.tasks(rows)
+
+
+# A batch of all nine kinds of mutations, over all suppliers and nations.
+
+
+def _batch(spark, d):
+    def rows(df, seq, verb, i, **fields):
+        cols = {c.split()[0]: c.split(maxsplit=1)[1] for c in mutate.BATCH.split(", ")}
+        given = {"seq": seq, "type": F.lit(verb), "id": i, **fields}
+        return df.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in cols.items()])
+
+    s, n = star.table(spark, d, "supplier"), star.table(spark, d, "nation")
+    k, key = F.col("s_suppkey"), F.col("n_nationkey")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    return (
+        rows(n, key + 1000, "addView", name("view-new-", key), name=F.lit("new"), parent_element_id=name("nation-", key))
+        .unionAll(rows(s, k + 1_000_000, "addElement", name("added-", k), kind=F.lit("Business Role"), name=name("added ", k), view_ids=F.array(name("view-new-", F.col("s_nationkey")))))
+        .unionAll(rows(s, k + 2_000_000, "addRelationship", name("ar-", k), kind=F.lit("Assignment"), source_id=name("added-", k), target_id=name("nation-", F.col("s_nationkey")), view_ids=F.array(name("view-new-", F.col("s_nationkey")))))
+        .unionAll(rows(s, k + 3_000_000, "updateElement", name("added-", k), name=name("renamed ", k)))
+        .unionAll(rows(s.filter("s_suppkey % 2 = 0"), k + 4_000_000, "updateRelationship", name("ar-", k), source_id=name("supplier-", k)))
+        .unionAll(rows(s.filter("s_suppkey % 3 = 0"), k + 5_000_000, "removeRelationship", name("ar-", k)))
+        .unionAll(rows(s.filter("s_suppkey % 5 = 0"), k + 6_000_000, "removeElement", name("supplier-", k)))
+        .unionAll(rows(n, key + 7_000_000, "updateView", name("view-new-", key), name=name("view of ", key)))
+        .unionAll(rows(n.filter("n_nationkey % 5 = 4"), key + 8_000_000, "removeView", name("view-nation-", key)))
+    )
+
+
+@query("""
+, s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 2 = 0 AS moved, s_suppkey % 3 = 0 AS cut, s_suppkey % 5 = 0 AS gone FROM supplier),
+link AS (SELECT k, n, CASE WHEN moved THEN 'supplier-' || k ELSE 'added-' || k END AS source FROM s WHERE NOT cut AND NOT (moved AND gone))
+SELECT 'view-new-' || n AS view_id, 'element' AS kind, source AS id FROM link
+UNION SELECT 'view-new-' || n, 'element', 'nation-' || n FROM s WHERE NOT cut
+UNION SELECT 'view-new-' || n, 'relationship', 'ar-' || k FROM link
+UNION SELECT 'view-new-' || n_nationkey, 'view', 'view of ' || n_nationkey FROM nation""")
+def mutation_batch(spark, d):
+    g, _, refused = mutate.apply_batch(star.graph(spark, d), _batch(spark, d))
+    new = lambda t: t.filter("view_id like 'view-new-%'")
+    out = new(g.view_elements).select("view_id", F.lit("element").alias("kind"), F.col("element_id").alias("id"))
+    out = out.unionAll(new(g.view_relationships).select("view_id", F.lit("relationship"), "relationship_id")).unionAll(new(g.views).select("view_id", F.lit("view"), "view_name"))
+    return out.unionAll(refused.select(F.lit("refused"), F.lit("refused"), "reason"))

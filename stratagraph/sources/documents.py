@@ -21,6 +21,11 @@ class Graph:
     view_relationships: DataFrame
 
 
+def shared_key(*tables: DataFrame) -> list[str]:
+    """``["graph_key"]`` if all tables have it; tables without it are of one graph."""
+    return ["graph_key"] if all("graph_key" in t.columns for t in tables) else []
+
+
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row for each JSON document, with its path as ``graph_key``."""
     rows = spark.read.option("multiLine", True).schema(DOCUMENT).json(path)
@@ -89,6 +94,9 @@ def discover(spark: SparkSession, root: str, name: str = "SystemArchitecture.jso
     home = F.regexp_replace("path_", "/?design/KG/[^/]+$", "")
     rows = rows.withColumn("home", home).withColumn("levels", F.size(F.split(F.regexp_replace("inner", "/?design/KG/[^/]+$", ""), "/")))
     rows = rows.filter(F.col("levels") <= depth)
-    outer = rows.select(F.col("home").alias("outer_home"))
-    rows = rows.join(outer, F.col("home").startswith(F.concat("outer_home", F.lit("/"))), "left_anti")
+    # Each project's own ancestors are few, so they meet other projects by equality.
+    steps = F.split("home", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
+    inside = rows.select("home", F.explode(above).alias("outer_home")).filter("home <> outer_home").join(rows.select(F.col("home").alias("outer_home")).distinct(), "outer_home", "left_semi")
+    rows = rows.join(inside.select("home").distinct(), "home", "left_anti")
     return rows.select(F.substring(F.sha1("path_"), 1, 12).alias("project_id"), F.element_at(F.split("home", "/"), -1).alias("project"), "path").orderBy("project", "path")

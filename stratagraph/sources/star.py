@@ -115,8 +115,11 @@ def view_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts).withColumn("graph_key", F.lit(KEY))
 
 
-def graph(spark: SparkSession, sf_dir: str, illegal: bool = False) -> Graph:
-    return Graph(elements(spark, sf_dir), relationships(spark, sf_dir, illegal), views(spark, sf_dir), view_elements(spark, sf_dir), view_relationships(spark, sf_dir))
+def graph(spark: SparkSession, sf_dir: str, illegal: bool = False, named: bool = False) -> Graph:
+    """The whole graph. Names and statements of relationships cost two joins with
+    all elements, so they are there only if asked for."""
+    rels = (relationships if named else links)(spark, sf_dir, illegal)
+    return Graph(elements(spark, sf_dir), rels, views(spark, sf_dir), view_elements(spark, sf_dir), view_relationships(spark, sf_dir))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
