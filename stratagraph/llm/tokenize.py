@@ -51,6 +51,8 @@ class Encoder(dict):
         self.model, self.space = self.tokenizer.model, space
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        lead = os.path.commonprefix(added)  # such as "<|": seldom in a text, and quick to look for
+        self._lead = lead[: next((k for k, c in enumerate(lead) if c.isalpha()), len(lead))]
         self._older: dict[str, bytes] = {}
         self._bytes, self.known = 0, True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
@@ -96,7 +98,7 @@ class Encoder(dict):
         """Ids of a text as bytes of ``kind``; null counts as empty."""
         if not text:
             return b""
-        if not self.known or (self._added and self._added.search(text)):
+        if not self.known or (self._added and self._lead in text and self._added.search(text)):
             return self.whole(text)
         if self.space == "drop":
             if _ODD.search(text):
