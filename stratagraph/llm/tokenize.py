@@ -19,7 +19,7 @@ import numpy as np
 import regex
 
 #: Bytes of words and ids in a generation; what an entry takes besides them.
-KEPT_BYTES, ENTRY_BYTES = 96 << 20, 200
+KEPT_BYTES, ENTRY_BYTES = 128 << 20, 200
 #: Both ways must give its ids alike, or the file is not one that is known here.
 PROBE = "It's A TEST of 12,345 words -- \u00e9\u00df, (x+y)=3.  Two  spaces\nand\ta line's end's 'll"
 PATTERNS = {
