@@ -10,10 +10,12 @@ SCHEMA = "vec_id long, embedding array<float>, label string, cls int, id string"
 def expected(rows, threshold=0.9):
     good = [(i, np.array(v, np.float64)) for i, v in rows if v and all(x is not None for x in v) and np.isfinite(v).all() and any(v)]
     links, ids = {}, [i for i, _ in rows]
-    for a, (i, v) in enumerate(good):
-        for j, u in good[:a]:
-            if len(u) == len(v) and v @ u >= threshold * np.linalg.norm(v) * np.linalg.norm(u):
-                links.setdefault(i, set()).add(j), links.setdefault(j, set()).add(i)
+    for n in {len(v) for _, v in good}:
+        some = [(i, v / np.linalg.norm(v)) for i, v in good if len(v) == n]
+        units = np.stack([v for _, v in some])
+        for a, b in np.argwhere(np.triu(units @ units.T >= threshold, 1)):
+            i, j = some[a][0], some[b][0]
+            links.setdefault(i, set()).add(j), links.setdefault(j, set()).add(i)
     out = []
     for i in ids:
         seen, todo = {i}, [i]
