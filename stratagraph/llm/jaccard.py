@@ -108,7 +108,7 @@ def _sign(n: int, threshold: float, class_bytes: int):
                 words = Words(part.column(2), lower=True)
                 h, first = shingles(words, n)
                 sets = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                own = [hashlib.blake2b(words.hashes[a:b].tobytes(), digest_size=8).digest() for a, b in zip(words.row_start[:-1], words.row_start[1:], strict=True)]
+                own = [hashlib.blake2b(b" ".join((t.as_py() or "").encode().lower().split()), digest_size=16).digest() for t in part.column(2)]
                 full = [k for k, s in enumerate(sets) if len(s)]
                 trees: list = [None] * len(sets)
                 probes: list = [None] * len(sets)
