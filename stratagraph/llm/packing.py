@@ -32,6 +32,8 @@ from stratagraph.llm.tokenize import encoder
 WINDOW = 4096
 SHARD_TOKENS = 1 << 21
 K1, B = 1.2, 0.75
+#: A term that one in so many documents of a shard has is added as a whole row.
+DENSE = 6
 
 
 def tokenized(docs: DataFrame, tokenizer: str, space: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,14 +95,30 @@ class Shard:
         self.owner, self.weight = owner[order], np.concatenate(weights)[order]
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.n, self.terms = len(docs), terms
+        # Terms of many documents: a weight for each document of the shard, which
+        # is added as a whole. They are few, since the shard's tokens are bounded.
+        self.dense: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(np.diff(self.first) > max(self.n // DENSE, 64)).tolist():
+            row = self.dense[t] = np.zeros(self.n, np.float32)
+            row[self.owner[self.first[t] : self.first[t + 1]]] = self.weight[self.first[t] : self.first[t + 1]]
+
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """What each unused document scores for all terms of the seed."""
+        terms = self.terms[seed].tolist()
+        spans = [slice(self.first[t], self.first[t + 1]) for t in terms if t not in self.dense]
+        score = np.zeros(self.n, np.float32)
+        if spans:
+            score += np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        for t in terms:
+            row = self.dense.get(t)
+            if row is not None:
+                score += row
+        score[~unused] = 0
+        return score
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first."""
-        spans = [slice(a, b) for a, b in zip(self.first[self.terms[seed]], self.first[self.terms[seed] + 1], strict=True)]
-        if not spans:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-        score[~unused] = 0
+        score = self.scores(seed, unused)
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
 
@@ -142,16 +160,19 @@ class Packer:
             used += n
             yield out
             if used < WINDOW:
-                near = index.neighbours(seed, unused)
-                near = near[near != seed]
+                score = index.scores(seed, unused)
                 spare = None
-                while used < WINDOW and len(near):
-                    fits = np.flatnonzero(left[near] <= WINDOW - used)
-                    if spare is None and (not len(fits) or fits[0]):
-                        spare = near[0]
-                    if not len(fits):
+                while used < WINDOW:
+                    k = int(score.argmax())
+                    if spare is None and score[k] and left[k] > WINDOW - used:
+                        spare = k
+                    if spare is not None:
+                        # The best that fits; what doesn't fit now never will.
+                        score[left > WINDOW - used] = 0
+                        k = int(score.argmax())
+                    if not score[k]:
                         break
-                    k, near = near[fits[0]], near[fits[0] + 1 :]
+                    score[k] = 0
                     n, out = piece(k, WINDOW, used)
                     self.came["retrieved"] += 1
                     used += n
