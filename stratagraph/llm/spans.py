@@ -46,10 +46,12 @@ def overlaps(a: int, b: int, spans) -> bool:
 
 def sampled(docs: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
     """(h, text) of at most ``most`` documents with text: those of the smallest
-    hashes. The ids are few by that bound, so they may be broadcast."""
+    hashes of id and text, each once however often it is repeated. The hashes are
+    few by that bound, so they may be broadcast."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter((F.col("text") != "") & F.col("id").isNotNull())
-    ids = rows.select(F.xxhash64("id").alias("h"), F.col("id").alias("s_id")).orderBy("h", "s_id").limit(most).distinct()
-    return rows.join(F.broadcast(ids), F.col("id") == F.col("s_id")).select("h", "text")
+    rows = rows.select(F.xxhash64("id", "text").alias("h"), "text")
+    least = rows.select(F.col("h").alias("s_h")).distinct().orderBy("s_h").limit(most)
+    return rows.join(F.broadcast(least), F.col("h") == F.col("s_h")).select("h", "text").dropDuplicates(["h"])
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
