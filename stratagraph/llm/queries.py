@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratagraph.llm import exact_dedup, jaccard, lattice, mixing, packing, pii, quality, secrets, substring, token_files
+from stratagraph.llm import exact_dedup, importance, jaccard, lattice, licenses, mixing, packing, pii, quality, secrets, substring, token_files, trie
 from stratagraph.llm.scratch import Scratch
 
 
@@ -68,6 +68,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).drop("ids")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -80,8 +92,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_retrieval_packing": op8_retrieval_packing,
         "op9_secrets": op9_secrets,
         "op10_token_files": op10_token_files,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_licenses": op12_licenses,
+        "op13_importance": op13_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op7_poisson_mix": mixing.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op7_poisson_mix": mixing.ORACLE, "op11_prefix_trie": trie.ORACLE, "op12_licenses": licenses.ORACLE, "op13_importance": importance.ORACLE}
