@@ -17,6 +17,9 @@ by segments of bounded length. Then, as in a prefix-filtered similarity join:
    (position); a pair is taken at its first shared word only, so it comes once;
 4. what is left is verified by the intersection of both sets.
 
+Of the pairs found, one gives no label if its common words are among those of another
+template in a block that meets its own with a larger share (version 3, not 2).
+
 Phrases are templates that must stand word for word: their blocks come through
 the same join, and places are then found inside the blocks. Built-in functions
 alone run. Counts of template words are as few as the templates have words; so are
@@ -140,8 +143,21 @@ def similar_blocks(made: DataFrame, index: DataFrame, broadcast: bool) -> DataFr
     pairs = pairs.filter(F.size("tokens") >= F.col("need"))
     pairs = pairs.filter(1 + F.least(n - F.col("at"), F.size("tokens") - there) >= F.col("need"))
     pairs = pairs.filter(~F.arrays_overlap("tokens", F.slice("own", F.lit(1), F.col("at") - 1)))
-    shared = F.size(F.array_intersect("tokens", "own"))
-    return pairs.withColumn("shared", shared).filter(F.col("shared") >= F.col("need")).withColumn("containment", F.col("shared") / n)
+    pairs = pairs.withColumn("common", F.array_intersect("tokens", "own"))
+    return pairs.filter(F.size("common") >= F.col("need")).withColumn("containment", F.size("common") / n)
+
+
+def best(pairs: DataFrame, longest: int) -> DataFrame:
+    """Without pairs whose common words another template has as well, in a block that
+    meets theirs, with a larger share: such a one is the better reading."""
+    start = F.col("block") * (F.col("length") / 2).cast("int")
+    spans = pairs.withColumn("start", start).withColumn("end", F.col("start") + F.col("length"))
+    areas = F.sequence(F.floor(F.col("start") / longest) - 2, F.floor(F.col("end") / longest))  # of all that begin near
+    better = spans.select("key", F.explode(areas).alias("area"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("common").alias("more"), F.col("containment").alias("larger"))
+    meet = (F.col("o_start") <= F.col("end")) & (F.col("start") <= F.col("o_end"))
+    also = meet & (F.col("larger") > F.col("containment")) & (F.size(F.array_except("common", "more")) == 0)
+    spans = spans.withColumn("area", F.floor(F.col("start") / longest))
+    return spans.alias("p").join(better.alias("b"), [F.col("p.key") == F.col("b.key"), F.col("p.area") == F.col("b.area"), also], "left_anti")
 
 
 def _places() -> Column:
@@ -174,7 +190,9 @@ def find_licenses(
         prefixes.setdefault(r["length"], []).append(order[r["token"] - 1])
     # Columns that one expression makes and several use are written once.
     made = scratch.save(blocks(found, order, {n: sorted(set(ws)) for n, ws in prefixes.items()}))
-    pairs = similar_blocks(made, index, len(rows) <= BROADCAST).withColumn("places", F.when(F.col("phrase"), _places()))
+    pairs = similar_blocks(made, index, len(rows) <= BROADCAST)
+    pairs = pairs.select("key", "template", "length", "block", "label", "phrase", "common", "containment", F.when(F.col("phrase"), _places()).alias("places"))
+    pairs = best(scratch.save(pairs.dropDuplicates(["key", "template", "block"])), longest)  # equal rows find the same
     base = F.col("phrase") & (F.size("places") > 0)
     of_doc = pairs.groupBy("key").agg(
         F.sum(F.when(F.col("phrase"), F.size("places")).otherwise(0)).alias("n_base"),
@@ -205,9 +223,13 @@ lengths AS (SELECT DISTINCT length FROM t),
 b AS (
   SELECT doc_id, length, pos // (length // 2) - k AS block, list(DISTINCT word) AS words FROM h, lengths, (VALUES (0), (1)) o(k)
   WHERE pos // (length // 2) - k >= 0 GROUP BY ALL),
-m AS (
-  SELECT doc_id, label, len(list_intersect(words, run)) / len(list_distinct(run)) AS containment FROM b JOIN t USING (length)
+n AS (
+  SELECT doc_id, length, block, label, list_intersect(words, run) AS common, len(list_intersect(words, run)) / len(list_distinct(run)) AS containment FROM b JOIN t USING (length)
   WHERE len(list_intersect(words, run)) >= ceil({CONTAINMENT} * len(list_distinct(run)) - 1e-9)),
+m AS (
+  SELECT * FROM n WHERE NOT EXISTS (
+    SELECT 1 FROM n o WHERE o.doc_id = n.doc_id AND o.block * (o.length // 2) <= n.block * (n.length // 2) + n.length AND n.block * (n.length // 2) <= o.block * (o.length // 2) + o.length
+      AND o.containment > n.containment AND len(list_intersect(n.common, o.common)) = len(n.common))),
 f AS (
   SELECT w.doc_id, t.label, unnest(list_filter(range(len(ws)), lambda i: list_slice(ws, i + 1, i + len(run)) = run)) AS pos FROM w, t WHERE phrase),
 ma AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(containment) AS score FROM m GROUP BY doc_id),
