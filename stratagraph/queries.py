@@ -866,3 +866,6 @@ def mutation_batch(spark, d):
     out = new(g.view_elements).select("view_id", F.lit("element").alias("kind"), F.col("element_id").alias("id"))
     out = out.unionAll(new(g.view_relationships).select("view_id", F.lit("relationship"), "relationship_id")).unionAll(new(g.views).select("view_id", F.lit("view"), "view_name"))
     return out.unionAll(refused.select(F.lit("refused"), F.lit("refused"), "reason"))
+
+
+from stratagraph import modelling_queries  # noqa: E402, F401 -- registers its queries here
