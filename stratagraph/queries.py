@@ -868,4 +868,4 @@ def mutation_batch(spark, d):
     return out.unionAll(refused.select(F.lit("refused"), F.lit("refused"), "reason"))
 
 
-from stratagraph import modelling_queries  # noqa: E402, F401 -- registers its queries here
+from stratagraph import modelling_queries, upkeep_queries  # noqa: E402, F401 -- they register their queries here
