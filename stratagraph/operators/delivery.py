@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.plans.fixpoint import Rounds
+from stratagraph.plans.fixpoint import MERGE, Rounds
 from stratagraph.sources.documents import shared_key
 
 
@@ -34,14 +34,16 @@ def delivery_status(spark: SparkSession, results: DataFrame, edges: DataFrame) -
     state = tested.filter("passed").join(tally(need, "n"), at, "left").select(*at, F.coalesce("n", F.lit(0)).alias("open"))
     state = tables.save(state)
     new = tables.save(state.filter("open = 0").select(*at))
-    done = new
+    done, rounds = new, 0
     while True:
         met = tally(need.join(new.withColumnRenamed("element_id", "to_id"), [*key, "to_id"]), "met")
         state = tables.save(state.filter("open > 0").join(met, at, "left").select(*at, (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
         new = tables.save(state.filter("open = 0").select(*at))
         if new.isEmpty():
             break
-        done = done.unionAll(new)
+        done, rounds = done.unionAll(new), rounds + 1
+        if rounds % MERGE == 0:
+            done = tables.save(done)
     ok = done.withColumn("ok", F.lit(True))
     return ids.join(ok, at, "left").select(*at, F.when(F.col("ok"), "delivered").otherwise("not_delivered").alias("status"))
 

@@ -190,9 +190,15 @@ def test_text_functions(spark):
 
 
 def test_sensitive_fields_of_json(spark):
-    text = json.dumps({"api_key": "x", "a": [{"mail": "me@site.org"}, "plain"], "commit": "0" * 40, "path": "C:\\x", "n": 5, "tel": "13800000000"})
+    text = json.dumps({"api_key": "x", "a": [{"mail": "me@site.org"}, "plain sk-abcdefgh1234", ["x"], None, {}], "commit": "0" * 40, "path": "C:\\x", "n": 5, "tel": "13800000000"})
     got = ids(scan.sensitive(scan.json_fields(spark.createDataFrame([(text,), (None,)], "json string"))), "type", "path")
-    assert got == [("commit_key", "$.commit"), ("credential_key", "$.api_key"), ("email", "$.a[0].mail"), ("git_hash", "$.commit"), ("path", "$.path"), ("phone", "$.tel")]
+    assert got == [("commit_key", "commit"), ("credential_key", "api_key"), ("email", "a[0].mail"), ("git_hash", "commit"), ("path", "path"), ("phone", "tel")]
+    deep = {"key": "last token"}
+    for k in range(30):
+        deep = [deep] if k % 2 else {"name": "my token", "in": deep}
+    got = scan.json_fields(spark.createDataFrame([(7, json.dumps(deep)), (8, "[]"), (9, '"top"')], "doc_id long, json string")).collect()
+    assert {r["doc_id"] for r in got} == {7} and sum(r["key"] == "name" for r in got) == 15
+    assert [r["path"] for r in got if r["value"] == "last token"] == ["[0].in" * 15 + ".key"]
 
 
 def test_log_and_its_inverse(spark):
