@@ -1,38 +1,60 @@
-"""Graphs as stored tables, one partition a graph, with the state of their upkeep.
+"""Graphs as stored tables, with the state of their upkeep.
 
-A projection is a folder of Parquet tables partitioned by ``graph_key``. Writing
-a graph replaces its partitions and no others. A write marks the graph dirty
-first and clean last, with the digest of what was written, so that one that
-broke off is found and done again.
+A write puts all tables of the graphs that it has into a folder of its own and then
+points these graphs there (``sources.snapshots`` with one version a graph), so that a
+table in which a graph has no rows any more has none, and readers see a graph before or
+after. It marks the graphs dirty first and clean last, with the digest of what was
+written, so that one that broke off is found and done again. Keys of graphs are texts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.operators.lifecycle import canonical_version, counts, verify_projection
+from stratagraph.operators.lifecycle import counts, verify_projection
 from stratagraph.plans.fixpoint import Rounds
 from stratagraph.sources.documents import Graph
+from stratagraph.sources.snapshots import TABLES, Snapshots
+from stratagraph.sources.steps import exists
 
-TABLES = ("elements", "relationships", "views", "view_elements", "view_relationships")
 STATE = "graph_key string, dirty boolean, digest string, elements long, relationships long, views long"
 
 
-def read_projection(spark: SparkSession, path: str) -> Graph:
-    return Graph(*(spark.read.parquet(f"{path}/{t}") for t in TABLES))
+def _kept(spark: SparkSession, path: str) -> Snapshots:
+    return Snapshots(spark, path, keep=1)
+
+
+def read_projection(spark: SparkSession, path: str, keys: DataFrame | None = None) -> Graph:
+    """All graphs, or those of ``keys`` (graph_key)."""
+    return _kept(spark, path).as_of(keys=keys)
+
+
+def content(graph: Graph) -> DataFrame:
+    """(graph_key, table, n, digest) of each table's rows, with all their columns, in any
+    order: four sums modulo 2^32 of the rows' SHA-256."""
+    parts = []
+    for t in TABLES:
+        rows = getattr(graph, t)
+        body = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])), 256)
+        parts.append(rows.select("graph_key", F.lit(t).alias("table"), body.alias("body")))
+    sums = [F.hex(F.pmod(F.sum(F.conv(F.substring("body", 8 * k + 1, 8), 16, 10).cast("long")), F.lit(1 << 32))) for k in range(4)]
+    return reduce(DataFrame.unionAll, parts).groupBy("graph_key", "table").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(":", *sums).alias("digest"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def digests(graph: Graph) -> DataFrame:
+    """(graph_key, digest): one digest of a graph's five tables."""
+    whole = content(graph).groupBy("graph_key").agg(F.array_sort(F.collect_list(F.struct("table", "n", "digest"))).alias("x"))  # five rows
+    return whole.select("graph_key", F.sha2(F.to_json("x"), 256).alias("digest"))
 
 
 def sync_state(spark: SparkSession, path: str) -> DataFrame:
     """The last state of each graph: a log of states, of which the newest counts."""
-    if not _exists(spark, f"{path}/state"):
+    if not exists(spark, f"{path}/state"):
         return spark.createDataFrame([], STATE)
-    log = spark.read.parquet(f"{path}/state")
+    log = spark.read.schema(f"{STATE}, at timestamp").parquet(f"{path}/state")
     fields = [c.split()[0] for c in STATE.split(", ")][1:]
     return log.groupBy("graph_key").agg(F.max_by(F.struct(*fields), "at").alias("x")).select("graph_key", "x.*")
 
@@ -48,39 +70,35 @@ def mark_dirty(graphs: DataFrame, path: str) -> None:
 
 
 def write_projection(graph: Graph, path: str) -> DataFrame:
-    """Write graphs, check what was written, and mark them clean. Returns what
-    differs (graph_key, kind, id, side): with a row there the graph stays dirty."""
+    """Write graphs in place of what is there of them, check what was written, and mark
+    them clean. Returns what differs (graph_key, kind, id, side), for tables whose rows
+    differ in content a row without id: with a row there the graph stays dirty."""
     spark = graph.elements.sparkSession
-    keys = graph.elements.select("graph_key").unionAll(graph.views.select("graph_key")).distinct()
+    tables = Rounds(spark)
+    keys = tables.save(reduce(DataFrame.unionAll, [getattr(graph, t).select("graph_key") for t in TABLES]).distinct())
     mark_dirty(keys, path)
-    for t in TABLES:
-        rows = getattr(graph, t)
-        rows.write.mode("overwrite").partitionBy("graph_key").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{t}")
-    written = read_projection(spark, path)
-    mine = lambda t: t.join(F.broadcast(keys), "graph_key", "left_semi")  # noqa: E731 -- graphs of one write
-    written = Graph(*(mine(getattr(written, t)) for t in TABLES))
-    off = verify_projection(graph, written)
+    _kept(spark, path).save(graph)
+    written = read_projection(spark, path, keys)
+    mine, theirs = content(graph), content(written)
+    at = ["graph_key", "table"]
+    both = mine.join(theirs.select(*at, F.col("n").alias("m"), F.col("digest").alias("d")), at, "full_outer").filter("not (digest <=> d) or not (n <=> m)")
+    differs = both.select("graph_key", F.concat(F.lit("rows of "), "table").alias("kind"), F.lit(None).cast("string").alias("id"), F.lit("both").alias("side"))
+    off = tables.save(verify_projection(graph, written).unionByName(differs))
     bad = off.select("graph_key").distinct()
-    good = canonical_version(written).join(counts(written), "graph_key").join(bad, "graph_key", "left_anti")
-    _mark(good.select("graph_key", F.lit(False).alias("dirty"), F.col("canonical_version").alias("digest"), "elements", "relationships", "views"), path)
+    good = digests(written).join(counts(written), "graph_key", "left").fillna(0, ["elements", "relationships", "views"]).join(bad, "graph_key", "left_anti")
+    _mark(good.select("graph_key", F.lit(False).alias("dirty"), "digest", "elements", "relationships", "views"), path)
     return off
 
 
-def clear_graphs(spark: SparkSession, keys: list[str], path: str) -> None:
-    """Take graphs out of a projection: the folders of their partitions go."""
-    sc = spark.sparkContext
-    for t in TABLES:
-        files = spark.read.parquet(f"{path}/{t}").filter(F.col("graph_key").isin(keys)).select(F.regexp_replace(F.input_file_name(), "/[^/]+$", "").alias("f")).distinct()
-        for r in files.collect():  # one folder a graph
-            p = sc._jvm.org.apache.hadoop.fs.Path(sc._jvm.java.net.URI(r["f"]))
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+def clear_graphs(graphs: DataFrame, path: str) -> None:
+    """Take graphs (graph_key) out of a projection."""
+    _kept(graphs.sparkSession, path).forget(graphs)
 
 
 def stale(canonical: Graph, state: DataFrame) -> DataFrame:
     """(graph_key) whose projection is dirty, missing or of another content."""
-    now = canonical_version(canonical).select("graph_key", "canonical_version")
-    both = now.join(state.select("graph_key", "dirty", "digest"), "graph_key", "left")
-    return both.filter(F.coalesce("dirty", F.lit(True)) | ~F.col("digest").eqNullSafe(F.col("canonical_version"))).select("graph_key")
+    both = digests(canonical).withColumnRenamed("digest", "now").join(state.select("graph_key", "dirty", "digest"), "graph_key", "left")
+    return both.filter(F.coalesce("dirty", F.lit(True)) | ~F.col("digest").eqNullSafe(F.col("now"))).select("graph_key")
 
 
 def recover(canonical: Graph, path: str) -> DataFrame:

@@ -3,19 +3,20 @@
 A save writes the five tables of some graphs into a folder of its own and, last, one
 row a graph into the list of versions. A graph's version counts from that row on. The
 newest ``keep`` versions of each graph stay; older ones are struck from the list at
-once, and a folder goes when no graph's version is left in it.
+once, and a folder goes at a later save when no graph's version is left in it.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratagraph.plans.fixpoint import Rounds
 from stratagraph.sources.documents import Graph
-from stratagraph.sources.steps import delete, exists
+from stratagraph.sources.steps import exists, file_system
 
 TABLES = ("elements", "relationships", "views", "view_elements", "view_relationships")
 KEEP = 10
@@ -31,12 +32,13 @@ class Snapshots:
         return self._log().groupBy("graph_key", "version").agg(F.bool_or("gone").alias("gone"), F.max("at").alias("at"), F.max("folder").alias("folder")).filter("not gone").drop("gone")
 
     def save(self, graph: Graph, at: str | None = None) -> None:
-        """A new version of every graph that has elements or views. ``at``: its time,
+        """A new version of every graph that has a row in any table. ``at``: its time,
         else now. Versions beyond the newest ``keep`` of these graphs go."""
         folder = uuid.uuid4().hex
         for t in TABLES:
-            getattr(graph, t).write.parquet(f"{self.path}/data/{folder}/{t}")
-        keys = graph.elements.select("graph_key").unionByName(graph.views.select("graph_key")).distinct()
+            rows = getattr(graph, t)
+            rows.withColumn("graph_key", F.col("graph_key").cast("string")).write.parquet(f"{self.path}/data/{folder}/{t}")
+        keys = reduce(DataFrame.unionAll, [self._rows(t, folder).select("graph_key") for t in TABLES]).distinct()
         last = self._log().groupBy("graph_key").agg(F.max("version").alias("last"))
         when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
         rows = keys.join(last, "graph_key", "left").select("graph_key", (F.coalesce("last", F.lit(0)) + 1).alias("version"), when.alias("at"), F.lit(folder).alias("folder"), F.lit(False).alias("gone"))
@@ -46,14 +48,29 @@ class Snapshots:
     def expire(self) -> None:
         """Strike versions beyond the newest ones of each graph, drop empty folders."""
         newest = Window.partitionBy("graph_key").orderBy(F.desc("version"))
-        all_ = Rounds(self.spark).save(self.versions().withColumn("n", F.row_number().over(newest)))
-        old = all_.filter(F.col("n") > self.keep)
+        self._strike(self.versions().withColumn("out", F.row_number().over(newest) > self.keep))
+
+    def forget(self, graphs: DataFrame) -> None:
+        """Strike all versions of some graphs (graph_key)."""
+        named = graphs.select("graph_key").distinct().withColumn("out", F.lit(True))
+        self._strike(self.versions().join(named, "graph_key", "left").withColumn("out", F.coalesce("out", F.lit(False))))
+
+    def _strike(self, versions: DataFrame) -> None:
+        all_ = Rounds(self.spark).save(versions)
+        old = all_.filter("out")
         if old.isEmpty():
             return
+        self.clean()  # what was struck before: readers have had a save's time to end
         self._append(old.select("graph_key", "version", "at", "folder", F.lit(True).alias("gone")))
-        empty = all_.groupBy("folder").agg(F.bool_and(F.col("n") > self.keep).alias("out")).filter("out")
-        for r in empty.select("folder").toLocalIterator():  # a few a save: each save fills one
-            delete(self.spark, f"{self.path}/data/{r['folder']}")
+
+    def clean(self) -> None:
+        """Delete folders in which no graph has a version, those of broken-off saves too.
+        One process at a time may write."""
+        p, fs = file_system(self.spark, f"{self.path}/data")
+        live = {r["folder"] for r in self.versions().select("folder").distinct().collect()}  # one a save that is of use
+        for status in fs.listStatus(p):
+            if status.getPath().getName() not in live:
+                fs.delete(status.getPath(), True)
 
     def as_of(self, at: str | None = None, keys: DataFrame | None = None) -> Graph:
         """Each graph (of ``keys``, if given) in its last version up to a time."""
@@ -83,11 +100,14 @@ class Snapshots:
             out.append(rows.join(chosen, ["graph_key", "folder"], "left_semi").select([c.name for c in schema]))
         return Graph(*out)
 
+    def _rows(self, table: str, folder: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/data/{folder}/{table}")
+
     def _schema(self, table: str):
         any_ = self.versions().select("folder").first()
         if any_ is None:
             raise ValueError("no snapshot was saved")
-        return self.spark.read.parquet(f"{self.path}/data/{any_['folder']}/{table}").schema
+        return self._rows(table, any_["folder"]).schema
 
     def _log(self) -> DataFrame:
         if not exists(self.spark, f"{self.path}/versions"):

@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 _DONE = "step string, at timestamp"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
+    p, fs = file_system(spark, path)
     return fs.exists(p)
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    p, fs = _fs(spark, path)
+    p, fs = file_system(spark, path)
     fs.delete(p, True)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratagraph.operators.backfill import Backfill
 from stratagraph.plans.fixpoint import Rounds
 from stratagraph.queries import query
-from stratagraph.sources import index_store, star
+from stratagraph.sources import index_store, projection, star
 from stratagraph.sources.snapshots import Snapshots
 
 # A backfill of all vectors. The provider fails for every seventh record at first (without
@@ -131,3 +131,17 @@ def snapshot_restored(spark, d):
     now = kept.as_of()
     versions = kept.versions().select(F.lit("version").alias("kind"), F.col("graph_key").alias("id"), F.col("version").cast("string").alias("text"))
     return now.elements.select(F.lit("element").alias("kind"), "id", F.col("name").alias("text")).unionByName(now.view_elements.select(F.lit("member").alias("kind"), F.col("view_id").alias("id"), F.col("element_id").alias("text"))).unionByName(versions)
+
+
+@query("""SELECT 'element' AS kind, id, name AS text FROM elements WHERE type <> 'Business Role'
+  UNION ALL SELECT 'view', view_id, view_name FROM views UNION ALL SELECT 'member', view_id, element_id FROM view_elements WHERE element_id NOT LIKE 'supplier-%'""")
+def projection_rewritten(spark, d):
+    """A graph written again without its suppliers, relationships and drawn relationships."""
+    path, g = f"{Rounds(spark).root}/projection", star.graph(spark, d)
+    projection.write_projection(g, path)
+    less = g.elements.filter("type <> 'Business Role'")
+    projection.write_projection(replace(g, elements=less, relationships=g.relationships.limit(0), view_elements=g.view_elements.filter("element_id not like 'supplier-%'"), view_relationships=g.view_relationships.limit(0)), path)
+    now = projection.read_projection(spark, path)
+    row = lambda t, kind, a, b: t.select(F.lit(kind).alias("kind"), F.col(a).alias("id"), F.col(b).alias("text"))
+    members = [row(now.view_elements, "member", "view_id", "element_id"), row(now.relationships, "relationship", "id", "type"), row(now.view_relationships, "drawn", "view_id", "relationship_id")]
+    return reduce(DataFrame.unionAll, members, row(now.elements, "element", "id", "name").unionAll(row(now.views, "view", "view_id", "view_name")))

@@ -111,7 +111,7 @@ def test_projections_are_written_per_graph_and_recovered(spark, tmp_path):
     key = part(g, "one").elements.first()["graph_key"]
     projection.mark_dirty(spark.createDataFrame([(key,)], "graph_key string"), path)
     assert ids(projection.stale(edited, projection.sync_state(spark, path)), "graph_key") == [(key,)]
-    projection.clear_graphs(spark, [key], path)
+    projection.clear_graphs(spark.createDataFrame([(key,)], "graph_key string"), path)
     spark.catalog.clearCache()
     assert part(projection.read_projection(spark, path), "one").elements.count() == 0
 
@@ -121,3 +121,33 @@ def test_diagram_text_of_changes(spark):
     r = spark.createDataFrame([("r", "Access", "a", "b")], "id string, type string, source_id string, target_id string")
     text = diff.plantuml(e, r)
     assert text.startswith("@startuml") and "rectangle \"A 'x' (Goal)\" as n0 #palegreen" in text and "n0 --> n1 : Access" in text
+
+
+def test_a_rewrite_leaves_nothing_of_what_a_graph_lost(spark, tmp_path):
+    path = str(tmp_path / "projection")
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    keys = ("007", "b")  # texts, though one looks like a number
+    g = Graph(
+        make([(k, 0, "e", f"{k} e", "Node", None, "") for k in keys], "graph_key string, ord long, id string, name string, type string, parent string, description string"),
+        make([(k, 0, "r", "s", "n", "Flow", "e", "e") for k in keys], "graph_key string, ord long, id string, statement string, name string, type string, source_id string, target_id string"),
+        make([(k, 0, "v", "V", None, None) for k in keys], "graph_key string, ord long, view_id string, view_name string, parent_element_id string, parent_element_name string"),
+        make([(k, "v", "e", 0) for k in keys], "graph_key string, view_id string, element_id string, ord long"),
+        make([(k, "v", "r", 0) for k in keys], "graph_key string, view_id string, relationship_id string, ord long"),
+    )
+    only = lambda t, k: t.filter(F.col("graph_key") == k)
+    first = Graph(*(only(getattr(g, t), "007") for t in projection.TABLES))
+    assert projection.write_projection(g, path).isEmpty()
+    # Members and relationships go from one graph; the other stays as it is.
+    less = replace(first, view_elements=first.view_elements.limit(0), relationships=first.relationships.limit(0), view_relationships=first.view_relationships.limit(0))
+    assert projection.write_projection(less, path).isEmpty()
+    now = projection.read_projection(spark, path)
+    assert [[r["graph_key"] for r in getattr(now, t).orderBy("graph_key").collect()] for t in projection.TABLES] == [["007", "b"], ["b"], ["007", "b"], ["b"], ["b"]]
+    state = projection.sync_state(spark, path)
+    assert state.filter("dirty").isEmpty() and {r["graph_key"]: r["relationships"] for r in state.collect()} == {"007": 0, "b": 1}
+    now = Graph(*(make(t.collect(), t.schema) for t in (getattr(now, n) for n in projection.TABLES)))
+    # Content and members count, not ids alone; recovery ends.
+    named = replace(now, elements=now.elements.withColumn("name", F.lit("other")))
+    assert sorted(r[0] for r in projection.recover(named, path).collect()) == ["007", "b"]
+    assert projection.recover(named, path).isEmpty()
+    moved = replace(named, view_elements=named.view_elements.withColumn("ord", F.lit(9).cast("long")))
+    assert [r[0] for r in projection.recover(moved, path).collect()] == ["b"] and projection.recover(moved, path).isEmpty()

@@ -142,6 +142,7 @@ def test_snapshots_of_graphs_with_versions_of_their_own(spark, tmp_path):
     assert names(kept.as_of()) == {("007", "b"), ("h", "x"), ("h", "y")}
     kept.save(graph(spark, h=["z"]), "2024-01-05")
     kept.save(graph(spark, h=["q"]), "2024-01-06")
+    kept.clean()
     folders = list((tmp_path / "data").iterdir())
     assert len(folders) == len({r["folder"] for r in kept.versions().collect()}) == 4  # nothing is left of what went
 
