@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.operators import records, resolve
 from stratagraph.operators.backfill import Backfill
 from stratagraph.plans.fixpoint import Rounds
 from stratagraph.queries import query
@@ -19,14 +20,14 @@ from stratagraph.sources.snapshots import Snapshots
 
 
 def _backfill(spark, d) -> Backfill:
-    records = star.semantic_records(spark, d)
+    vectors = star.semantic_records(spark, d)
 
     def provider(batch: DataFrame) -> DataFrame:
-        rows = batch.join(records.select("canonical_identity", "vector", "ord"), "canonical_identity").filter("not (attempt = 1 and ord % 35 = 0)")
+        rows = batch.join(vectors.select("canonical_identity", "vector", "ord"), "canonical_identity").filter("not (attempt = 1 and ord % 35 = 0)")
         fails = F.col("ord") % F.when(F.col("attempt") == 1, 7).otherwise(21) == 0
         return rows.select("canonical_identity", F.when(~fails, F.col("vector")).alias("vector"), F.when(fails, F.when(F.col("attempt") == 1, "RATE_LIMITED").otherwise("TIMEOUT")).alias("category"))
 
-    wanted = records.select("canonical_identity", "channel", F.concat(F.lit("content:"), F.col("ord").cast("string")).alias("content_version"))
+    wanted = vectors.select("canonical_identity", "channel", F.concat(F.lit("content:"), F.col("ord").cast("string")).alias("content_version"))
     fill = Backfill(wanted, f"{Rounds(spark).root}/backfill", "canonical:1", batches=4)
     fill.run(provider)
     return fill
@@ -145,3 +146,48 @@ def projection_rewritten(spark, d):
     row = lambda t, kind, a, b: t.select(F.lit(kind).alias("kind"), F.col(a).alias("id"), F.col(b).alias("text"))
     members = [row(now.view_elements, "member", "view_id", "element_id"), row(now.relationships, "relationship", "id", "type"), row(now.view_relationships, "drawn", "view_id", "relationship_id")]
     return reduce(DataFrame.unionAll, members, row(now.elements, "element", "id", "name").unionAll(row(now.views, "view", "view_id", "view_name")))
+
+
+# Records with planted faults, by their number.
+
+
+def _faulty(spark, d) -> DataFrame:
+    r = star.semantic_records(spark, d)
+    fault = lambda n, x, other: F.when(F.col("ord") % n == 0, x).otherwise(other)
+    return r.select(
+        "ord", fault(11, F.lit("  "), F.col("canonical_identity")).alias("canonical_identity"), fault(13, F.lit("Other"), F.col("channel")).alias("channel"), *[F.lit("1").alias(c) for c in ("canonical_version", "content_version", "index_version", "provider")],
+        fault(23, F.lit("other"), F.lit("m")).alias("model"), F.lit("1").alias("model_version"), fault(17, F.lit(0), F.size("vector")).alias("dimensions"),
+        fault(19, F.concat(F.slice("vector", 1, F.size("vector") - 1), F.array(F.lit(None).cast("double"))), F.col("vector")).alias("vector"), fault(29, F.lit("run"), F.lit(None)).alias("run_id"),
+    )
+
+
+@query("""SELECT ord, array_to_string(list_filter([
+  CASE WHEN ord % 11 = 0 THEN 'canonical_identity is blank' END, CASE WHEN ord % 13 = 0 THEN 'unknown channel' END, CASE WHEN ord % 17 = 0 THEN 'bad dimensions' END,
+  CASE WHEN ord % 17 = 0 OR ord % 19 = 0 THEN 'bad vector' END, CASE WHEN ord % 17 = 0 OR ord % 23 = 0 THEN 'other profile' END, CASE WHEN ord % 29 = 0 THEN 'run id' END], lambda x: x IS NOT NULL), ', ') AS reasons
+  FROM records WHERE ord % 11 = 0 OR ord % 13 = 0 OR ord % 17 = 0 OR ord % 19 = 0 OR ord % 23 = 0 OR ord % 29 = 0""")
+def records_quarantined(spark, d):
+    rows = _faulty(spark, d)
+    size = len(rows.select("vector").first()["vector"])
+    profile = {"provider": "1", "model": "m", "model_version": "1", "dimensions": size}
+    bad = records.quarantine(records.checked(rows, profile), f"{Rounds(spark).root}/checked")[1]
+    return bad.select("ord", F.array_join("reasons", ", ").alias("reasons"))
+
+
+# Requests for all elements: by id, by an id that is not there, by name, by a name that is
+# not there. Customers are named by their market segment, so these names are shared.
+
+
+@query(""",
+e AS (SELECT ord, id, type, CASE WHEN type = 'Business Actor' THEN description ELSE name END AS name FROM elements),
+q AS (SELECT id AS request_id, CASE ord % 4 WHEN 0 THEN id WHEN 1 THEN id || '-gone' END AS by_id, CASE ord % 4 WHEN 2 THEN name WHEN 3 THEN name || CASE WHEN ord % 3 = 0 THEN ' gone' ELSE '' END END AS by_name FROM e),
+n AS (SELECT name, count(*) AS n, min(id) AS one, list(id ORDER BY ord) AS ids FROM e GROUP BY name),
+a AS (SELECT q.*, CASE WHEN by_id IS NOT NULL THEN CASE WHEN i.id IS NULL THEN 0 ELSE 1 END ELSE coalesce(n.n, 0) END AS m, i.id AS hit, one, ids FROM q LEFT JOIN e i ON i.id = q.by_id LEFT JOIN n ON n.name = q.by_name)
+SELECT request_id, CASE WHEN m = 1 THEN 'passed' WHEN m > 1 THEN 'ambiguous' ELSE 'failed' END AS status, CASE WHEN m = 1 THEN coalesce(hit, one) END AS element_id, m::BIGINT AS n_matches,
+  CASE WHEN m > 1 THEN array_to_string(ids[1:20], ',') ELSE '' END AS candidates FROM a""")
+def resolve_elements(spark, d):
+    e = star.elements(spark, d).withColumn("name", F.when(F.col("type") == "Business Actor", F.col("description")).otherwise(F.col("name")))
+    kind = F.col("ord") % 4
+    by_id = F.when(kind == 0, F.col("id")).when(kind == 1, F.concat("id", F.lit("-gone")))
+    by_name = F.when(kind == 2, F.col("name")).when(kind == 3, F.concat("name", F.when(F.col("ord") % 3 == 0, " gone").otherwise("")))
+    out = resolve.resolve(e.select("graph_key", F.col("id").alias("request_id"), by_id.alias("element_id"), by_name.alias("element_name")), e)
+    return out.select("request_id", "status", "element_id", "n_matches", F.array_join(F.transform("candidates", lambda c: c["id"]), ",").alias("candidates"))
