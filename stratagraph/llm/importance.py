@@ -41,7 +41,8 @@ def features(found: Column, runs: int = RUNS) -> Column:
     """All runs of 1 to ``runs`` words, joined by a space."""
     out = found
     for n in range(2, runs + 1):
-        longer = F.transform(F.sequence(F.lit(1), F.size(found) - n + 1), lambda i, n=n: F.array_join(F.slice(found, i, n), " "))
+        run = [lambda i, k=k: F.get(found, i + k) for k in range(n)]
+        longer = F.transform(F.sequence(F.lit(0), F.size(found) - n), lambda i: F.concat_ws(" ", *[at(i) for at in run]))  # noqa: B023
         out = F.when(F.size(found) >= n, F.concat(out, longer)).otherwise(out)
     return out
 

@@ -87,7 +87,8 @@ def segments(docs: DataFrame, vocabulary: list[str], overlap: int, id_col: str,
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), text))
     rows = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
-    number = lambda s: F.transform(F.slice("words", s * size + 1, size + overlap), lambda w, i: F.struct((s * size + i).alias("pos"), w.alias("word")))
+    stretch = lambda s: F.sequence(s * size, F.greatest(s * size, F.least(F.size("words"), s * size + size + overlap) - 1))
+    number = lambda s: F.transform(stretch(s), lambda i: F.struct(i.alias("pos"), F.get("words", i).alias("word")))
     kept = lambda s: F.filter(number(s), lambda h: h["word"].isin(vocabulary))
     last = F.floor(F.greatest(F.size("words") - 1, F.lit(0)) / size).cast("int")
     parts = F.transform(F.sequence(F.lit(0), last), lambda s: F.struct(s.alias("seg"), kept(s).alias("hits")))
