@@ -240,14 +240,14 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def _blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
+def _blocks(members: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
     """(cls, pairs): the pairs of blocks in which each class is compared.
 
     ``members``: grp, tree, cls, size. Bands of sets hold sizes within the
     threshold's ratio, so that a similar pair is in one band or in two that follow
     each other. A band with more than a block is dealt over blocks by a hash.
     """
-    band = F.floor(F.log("size") / -math.log(THRESHOLD) + 1e-9)
+    band = F.floor(F.log("size") / -math.log(threshold) + 1e-9)
     banded = scratch.save(members.withColumn("band", band))
     heavy = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
     counts = scratch.save(banded.groupBy("grp", "band").agg(heavy.alias("n"), F.count(F.lit(1)).alias("rows"), F.sum("size").alias("weight")))
@@ -334,7 +334,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of = clusters.join(chained, "cluster")
     dense = of.filter("not chained").join(classes.select("cls", "size"), "cls").select(F.hex("cluster").alias("grp"), F.lit(-1).alias("tree"), "cls", "size")
     loose = met.join(of.filter("chained").select(F.col("cls").alias("a")), "a").select(F.concat_ws("/", F.lit("node"), "tree", "prefix").alias("grp"), "tree", F.col("a").alias("cls"), "size")
-    plan = scratch.save(_blocks(dense.unionAll(loose), scratch))
+    plan = scratch.save(_blocks(dense.unionAll(loose), scratch, threshold))
     marks = F.concat(*[F.unhex(F.lpad(F.hex(prefix(t)), 16, "0")) for t in range(TREES)])
     placed = plan.join(classes.select("cls", "rep", "rep_mark", "copies", marks.alias("nodes")), "cls")
     same = placed["rep"].eqNullSafe(rows["id"]) & (placed["rep_mark"] == rows["mark"])

@@ -17,8 +17,8 @@ words are settled first: all but the smallest id go whole.
 
 A word is a run of bytes other than space and 0x09-0x0D. Null counts as empty.
 Texts shorter than a window keep all words; long ones are read whole. Rows of
-one id never remove words of each other; a row is known by its id and the digest
-of its words, so however many rows one id has, they spread over tasks. Null ids keep all words. An empty table gives an empty table;
+one id never remove words of each other; a row is known by its id and a hash of
+its text, so however many rows one id has, they spread over tasks and meet no other. Null ids keep all words. An empty table gives an empty table;
 other columns are ignored.
 """
 
@@ -163,11 +163,6 @@ def _blank(words: Words) -> np.ndarray:
     return np.cumsum(edge[:-1], dtype=np.int8) == 0
 
 
-def _key(sha) -> int:
-    """Tells apart the rows of one id in fewer bytes than the whole digest."""
-    return int.from_bytes(sha.digest()[:8], "little", signed=True)
-
-
 def _parse(size: int, rounds: int):
     def run(batches):
         for batch in batches:
@@ -178,9 +173,9 @@ def _parse(size: int, rounds: int):
                 cut = np.searchsorted(starts, words.row_start)
                 names = [np.unique(found[i:j]).view(np.int64).tolist() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 text = [(t.as_py() or "").encode() for t in part.column(1)]
-                sha = [hashlib.sha256(b" ".join(t.split())) for t in text]
+                sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in text]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(words.row_start), pa.int64()), pa.array([x.hexdigest() for x in sha]), pa.array(list(map(_key, sha)), pa.int64()), pa.array(names, pa.list_(pa.int64()))],
+                    [part.column(0), pa.array(np.diff(words.row_start), pa.int64()), pa.array(sha), part.column(2), pa.array(names, pa.list_(pa.int64()))],
                     names=["id", "n_words", "sha", "key", "anchors"],
                 )
 
@@ -213,13 +208,6 @@ def _windows(size: int, rounds: int):
     return run
 
 
-def _own(batches):
-    """Rows whose words are those that were marked, if an id has several rows."""
-    for batch in batches:
-        key = [_key(hashlib.sha256(b" ".join((t.as_py() or "").encode().split()))) for t in batch.column(3)]
-        yield batch.filter(pa.array([a == b.as_py() for a, b in zip(key, batch.column(1), strict=True)], pa.bool_()))
-
-
 def _strip(size: int):
     """What is left of documents without the words of repeated windows."""
 
@@ -246,6 +234,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept_text is null where no word goes."""
     scratch = Scratch(docs.sparkSession, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("text"))  # tells rows of one id apart
     parsed = scratch.save(rows.mapInArrow(_parse(size, rounds), "id long, n_words long, sha string, key long, anchors array<long>"))
     facts = parsed.select("id", "n_words", "sha", "key")
     repeated = not facts.groupBy("id").count().filter("count > 1").isEmpty()
@@ -257,10 +246,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = scratch.save(solo.select("id", "key", F.explode("anchors").alias("anchor")))
     shared = scratch.save(entries.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"))
     marks = entries.join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors"))
-    marks = scratch.save(marks.select(F.col("id").alias("m_id"), "key", "anchors"))
+    marks = scratch.save(marks.select(F.col("id").alias("m_id"), F.col("key").alias("m_key"), "anchors"))
     scratch.drop(entries), scratch.drop(shared)
-    held = rows.join(marks, F.col("id") == F.col("m_id")).select("id", "key", "anchors", "text")
-    held = scratch.save(held.mapInArrow(_own, "id long, key long, anchors array<long>, text string").dropDuplicates(["id", "key"]) if repeated else held)
+    held = rows.join(marks, (F.col("id") == F.col("m_id")) & (F.col("key") == F.col("m_key"))).select("id", "key", "anchors", "text")
+    held = scratch.save(held.dropDuplicates(["id", "key"]) if repeated else held)
     scratch.drop(marks)
     found = held.mapInArrow(_windows(size, rounds), "id long, key long, at int, h1 long, h2 long")
     least = scratch.save(found.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").drop("last_id"))

@@ -8,14 +8,14 @@ def grams(text, n=5):
     return {tuple(words[k : k + n]) for k in range(max(len(words) - n + 1, 1 if words else 0))}
 
 
-def expected(texts):
+def expected(texts, threshold=0.8):
     sets = [grams(t) for _, t in texts]
     n = len(texts)
     links = [[] for _ in range(n)]
     for i in range(n):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and both >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            if both and both >= threshold * len(sets[i] | sets[j]) - 1e-9:
                 links[i].append(j), links[j].append(i)
     out = []
     for i in range(n):
@@ -100,3 +100,10 @@ def test_a_chain_of_documents_is_compared_node_by_node(make):
     some = [(i, " ".join(stream[i * 12 : i * 12 + 64])) for i in range(480)]
     some += [(1000 + i, " ".join([*stream[i * 12 : i * 12 + 62], f"x{rng.randrange(9)}"])) for i in range(0, 480, 7)]
     assert run(make(some)) == expected(some)
+
+
+def test_another_threshold_loses_no_link_between_bands_of_sizes(make):
+    words = [f"w{k}" for k in range(330)]
+    some = [(i, " ".join(words[: 20 + i])) for i in range(300)]
+    out = jaccard.similar_documents(make(some), threshold=0.5).select("doc_id", "n_links", "group_id", "kept").collect()
+    assert sorted((tuple(r) for r in out), key=repr) == expected(some, 0.5)

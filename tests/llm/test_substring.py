@@ -75,3 +75,12 @@ def test_many_rows_of_one_id_and_a_very_long_word(make):
     words = " ".join(f"w{k}" for k in range(70))
     some = [(5, f"{words} {k}") for k in range(20)] + [(7, f"{long} {words} {long}"), (8, f"{words} {long} {words}"), (None, words), (5, f"{words} 3")]
     assert run(make(some)) == expected(some)
+
+
+def test_rows_of_one_id_meet_only_themselves(spark, make):
+    """As many rows come out of the join with the marks as go in, not their square."""
+    words = " ".join(f"w{k}" for k in range(70))
+    some = [(5, f"{words} {k}") for k in range(400)] + [(9, words)]
+    out = substring.substring_dedup(make(some))
+    assert out.count() == 401 and out.filter("n_removed > 0").count() == 1
+    assert sorted((tuple(r) for r in out.drop("kept_text").collect()), key=repr) == expected(some)
