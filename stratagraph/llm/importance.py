@@ -53,7 +53,8 @@ def bucket_array(found: Column, runs: int = RUNS, buckets: int = BUCKETS) -> Col
 
 def totals(texts: DataFrame, text_col: str = "text", runs: int = RUNS, buckets: int = BUCKETS) -> dict[int, int]:
     """Features of all texts in each bucket that has some."""
-    found = texts.select(F.explode(bucket_array(words(F.col(text_col)), runs, buckets)).alias("bucket"))
+    # Words are a column first: an expression inside a lambda is evaluated for each item.
+    found = texts.select(words(F.col(text_col)).alias("words")).select(F.explode(bucket_array(F.col("words"), runs, buckets)).alias("bucket"))
     return dict(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect())
 
 
