@@ -36,25 +36,41 @@ MAGIC = b"PFORTOK1"
 BLOCK = 512
 PERCENT = 90
 SHARD_TOKENS = 1 << 20
+#: Blocks that are packed or unpacked at a time.
+SOME = 256
 _HEAD = np.dtype([("docs", "<u8"), ("tokens", "<u8"), ("blocks", "<u8"), ("packed", "<u8"), ("exceptions", "<u8")])
 _INDEX = np.dtype([("start", "<u8"), ("base", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
 
-def _bits(width: int) -> int:
-    """Bits of the smallest whole number of two or four bytes that holds ``width``."""
-    return 16 if width <= 16 else 32
+def _lanes(width: int):
+    """Where each of eight numbers of ``width`` bits lies in their ``width`` bytes:
+    (its place among the eight, first byte, bits before it there, bytes it touches)."""
+    for k in range(8):
+        first, shift = divmod(k * width, 8)
+        yield k, first, shift, (shift + width + 7) // 8
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
     """Bytes of each row: its numbers at ``width`` bits, lowest first."""
-    bits = np.unpackbits(rows.astype(f"<u{_bits(width) // 8}")[:, :, None].view(np.uint8), axis=2, bitorder="little")
-    return np.packbits(bits[:, :, :width].reshape(len(rows), -1), axis=1, bitorder="little")
+    eights = rows.reshape(-1, 8).astype("<u4" if width <= 25 else "<u8")
+    out = np.zeros((len(eights), width), np.uint8)
+    for k, first, shift, touched in _lanes(width):
+        x = eights[:, k] << eights.dtype.type(shift)
+        for byte in range(touched):
+            out[:, first + byte] |= (x >> eights.dtype.type(8 * byte)).astype(np.uint8)
+    return out.reshape(len(rows), -1)
 
 
 def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
-    bits = np.zeros((len(packed), BLOCK, _bits(width)), np.uint8)
-    bits[:, :, :width] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), BLOCK, width)
-    return np.packbits(bits, axis=2, bitorder="little").view(f"<u{_bits(width) // 8}")[:, :, 0]
+    eights = packed.reshape(-1, width)
+    kind = np.dtype("<u4" if width <= 25 else "<u8")
+    out = np.empty((len(eights), 8), np.uint32)
+    for k, first, shift, touched in _lanes(width):
+        x = np.zeros(len(eights), kind)
+        for byte in range(touched):
+            x |= eights[:, first + byte].astype(kind) << kind.type(8 * byte)
+        out[:, k] = (x >> kind.type(shift)) & kind.type((1 << width) - 1)
+    return out.reshape(len(packed), BLOCK)
 
 
 def encode_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -67,14 +83,10 @@ def encode_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     rows = full.reshape(n, BLOCK)
     base = rows.min(axis=1) if n else np.zeros(0, np.uint32)
     rows = rows - base[:, None]
+    # The smallest width that holds PERCENT of a block is that of one number of it.
     need = -(-BLOCK * PERCENT // 100)
-    width = np.full(n, 32, np.uint8)
-    top = rows.max(axis=1) if n else base
-    for w in range(int(top.max()).bit_length() if n else 0, -1, -1):
-        fits = np.count_nonzero(rows <= np.uint32((1 << w) - 1), axis=1) >= need
-        if not fits.any():
-            break
-        width[fits] = w
+    most = np.partition(rows, need - 1, axis=1)[:, need - 1] if n else base
+    width = np.frexp(most.astype(np.float64))[1].astype(np.uint8)
     limit = np.left_shift(np.uint64(1), width.astype(np.uint64))
     odd = rows >= limit[:, None]
     index = np.zeros(n, _INDEX)
@@ -85,9 +97,10 @@ def encode_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     low = np.where(odd, 0, rows).astype(np.uint32)
     for w in np.unique(width[width > 0]):
         at = np.flatnonzero(width == w)
-        place = index["start"][at].astype(np.int64)[:, None] + np.arange(int(w) * (BLOCK // 8))
-        for a in range(0, len(at), 64):  # the bits of 64 blocks at a time
-            packed[place[a : a + 64]] = _pack(low[at[a : a + 64]], int(w))
+        for c in range(0, len(at), SOME):
+            some = at[c : c + SOME]
+            place = index["start"][some].astype(np.int64)[:, None] + np.arange(int(w) * (BLOCK // 8))
+            packed[place] = _pack(low[some], int(w))
     block, place = np.nonzero(odd)
     head = np.array([(len(doc_ids), len(ids), n, len(packed), len(block))], _HEAD)
     null = np.array([i is None for i in doc_ids], np.uint8)
@@ -126,8 +139,8 @@ class Image:
         rows = np.zeros((b - a, BLOCK), np.uint32)
         for w in np.unique(index["width"][index["width"] > 0]):
             at = np.flatnonzero(index["width"] == w)
-            for c in range(0, len(at), 64):
-                some = at[c : c + 64]
+            for c in range(0, len(at), SOME):
+                some = at[c : c + SOME]
                 place = index["start"][some].astype(np.int64)[:, None] + np.arange(int(w) * (BLOCK // 8))
                 rows[some] = _unpack(self.packed[place], int(w))
         before = int(self.index["exceptions"][:a].sum())
