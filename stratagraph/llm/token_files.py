@@ -164,8 +164,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, space: str, end_id:
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([no]), pa.array([total]), pa.array([data], pa.binary())], names=["part", "shard", "n_tokens", "image"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
-                x = enc.encode(text.as_py()) + end
+            for i, x in zip(batch.column(0), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                x += end
                 ids.append(i.as_py()), lengths.append(len(x) // enc.kind.itemsize), held.append(x)
                 total += lengths[-1]
                 if total >= SHARD_TOKENS:

@@ -16,10 +16,14 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Bytes of words and ids in a generation; what an entry takes besides them.
 KEPT_BYTES, ENTRY_BYTES = 128 << 20, 200
+#: Characters whose words are taken together.
+TOGETHER = 1 << 23
 #: Both ways must give its ids alike, or the file is not one that is known here.
 PROBE = "It's A TEST of 12,345 words -- \u00e9\u00df, (x+y)=3.  Two  spaces\nand\ta line's end's 'll"
 PATTERNS = {
@@ -113,6 +117,55 @@ class Encoder(dict):
         # A space begins the word after it.
         return self[words[0]] + b"".join(map(self.__getitem__, map(" ".__add__, words[1:])))
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text. Words after a space are numbered by Arrow, about
+        ``TOGETHER`` characters of them at a time, so that each distinct one is looked
+        up once; longer texts are cut at spaces. Texts that are not words between
+        single spaces go through ``encode``."""
+        out, apart, some, size = [[] for _ in texts], set(), [], 0
+        for d, text in enumerate(texts):
+            if not text or not self.known or self.space != "prefix" or (self._added and self._lead in text and self._added.search(text)):
+                apart.add(d)
+                continue
+            at = text.find(" ")
+            head = text if at < 0 else text[:at]
+            if at >= 0 and (not head or head[-1].isspace()):
+                apart.add(d)
+                continue
+            out[d].append(self[head])
+            while at >= 0:
+                end = text.find(" ", at + 1 + TOGETHER)
+                some.append((d, text[at + 1 : end if end >= 0 else None]))
+                size += len(some[-1][1])
+                if size >= TOGETHER:
+                    self._together(some, out, apart)
+                    some, size = [], 0
+                at = end
+        if some:
+            self._together(some, out, apart)
+        return [self.encode(texts[d]) if d in apart else b"".join(x) for d, x in enumerate(out)]
+
+    def _together(self, some: list[tuple[int, str]], out: list[list[bytes]], apart: set[int]) -> None:
+        """Append the ids of pieces, all of whose words follow a space, to their texts'."""
+        lists = pc.split_pattern(pa.array([x for _, x in some], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        codes, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        odd = np.array([not w or w != w.strip() for w in distinct])
+        ids = [b"" if o else self[" " + w] for w, o in zip(distinct, odd, strict=True)]
+        lengths = np.array([len(x) for x in ids]) // self.kind.itemsize
+        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(ids), self.kind)
+        n = lengths[codes]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        all_ids = flat[np.repeat(starts[codes] - stops[:-1], n) + np.arange(stops[-1])]
+        n_odd = np.concatenate([[0], np.cumsum(odd[codes])])[bounds]
+        cuts = stops[bounds]
+        for k, (d, _) in enumerate(some):
+            if n_odd[k] < n_odd[k + 1]:
+                apart.add(d)
+            else:
+                out[d].append(all_ids[cuts[k] : cuts[k + 1]].tobytes())
+
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 

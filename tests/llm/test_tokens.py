@@ -29,6 +29,15 @@ def test_encoder_gives_the_ids_of_the_library(both, text):
     assert np.frombuffer(enc.encode(text), enc.kind).tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), st.text(max_size=40), st.text("aB1' .\n\t\x85é<|>", max_size=40)), max_size=6), together=st.integers(1, 30))
+def test_texts_encoded_together_have_their_own_ids(both, texts, together):
+    enc, _ = both
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("stratagraph.llm.tokenize.TOGETHER", together)
+        assert enc.encode_all(texts) == [enc.encode(t) for t in texts]
+
+
 def test_added_tokens_and_small_caches(both, monkeypatch):
     enc, lib = both
     monkeypatch.setattr("stratagraph.llm.tokenize.KEPT_BYTES", 500)
