@@ -64,11 +64,13 @@ def _ends(graph: Graph, key: list[str]) -> DataFrame:
 
 
 def _appended(members: DataFrame, rows: DataFrame, key: list[str], column: str) -> DataFrame:
-    """Members with new ones (view_id and ``column``) at the end of their lists."""
+    """Members with new ones (view_id and ``column``) at the end of their lists, in
+    the order of their ``step``, if rows have one, then of ids."""
     at = [*key, "view_id"]
-    new = rows.select(*at, column).distinct().join(members.select(*at, column), [*at, column], "left_anti")
+    step = F.col("step") if "step" in rows.columns else F.lit(0)
+    new = rows.groupBy(*at, column).agg(F.min(step).alias("step")).join(members.select(*at, column), [*at, column], "left_anti")
     top = members.groupBy(*at).agg(F.max("ord").alias("top"))
-    place = F.coalesce("top", F.lit(-1)) + F.row_number().over(Window.partitionBy(*at).orderBy(column))
+    place = F.coalesce("top", F.lit(-1)) + F.row_number().over(Window.partitionBy(*at).orderBy("step", column))
     add = new.join(top, at, "left").select(*at, column, place.cast("long").alias("ord"))
     return members.select(*at, column, "ord").unionByName(add).select([c for c in members.columns if c in (*at, column, "ord")])
 
@@ -90,8 +92,8 @@ def remove_elements(graph: Graph, ids: DataFrame) -> tuple[Graph, DataFrame]:
 
 
 def remove_from_views(graph: Graph, scope: DataFrame) -> Graph:
-    """Take elements out of views (view_id, element_id); an element in no view
-    afterwards goes altogether, with its links' places in every view, and links
+    """Take elements out of views (view_id, element_id; a null view takes it out of
+    none); an element in no view afterwards goes altogether, with its links' places in every view, and links
     of the elements that are in no view then go too."""
     key = _key(graph, scope)
     at = [*key, "view_id"]
@@ -124,8 +126,9 @@ def add_relationships(graph: Graph, rows: DataFrame, scope: DataFrame) -> Graph:
         scope = scope.join(keys, "view_id")
         key = ["graph_key"]
     new = rows.join(graph.relationships.select(*key, "id"), [*key, "id"], "left_anti").select(graph.relationships.columns)
-    told = rows.select(*key, F.col("id").alias("relationship_id"), F.explode(F.array("source_id", "target_id")).alias("element_id"))
-    ends = scope.join(told, [*key, "relationship_id"]).select(*key, "view_id", "element_id")
+    told = rows.select(*key, F.col("id").alias("relationship_id"), F.posexplode(F.array("source_id", "target_id")).alias("place", "element_id"))
+    step = F.struct(F.col("step") if "step" in scope.columns else F.lit(0), "place").alias("step")
+    ends = scope.join(told, [*key, "relationship_id"]).select(*key, "view_id", "element_id", step)
     return replace(
         graph,
         relationships=graph.relationships.unionByName(new),
@@ -201,8 +204,6 @@ def rename_views(graph: Graph, names: DataFrame) -> Graph:
 
 # A batch of mutations in order, as one request of a user makes it.
 
-#: Mutations of a batch, at most; a longer log of elements goes through ``apply_log``.
-MOST = 10_000
 #: A batch's columns besides seq, type, id and view_ids.
 FIELDS = ["kind", "name", "description", "parent", "source_id", "target_id", "parent_element_id"]
 BATCH = "seq long, type string, id string, kind string, name string, description string, parent string, source_id string, target_id string, parent_element_id string, view_ids array<string>"
@@ -210,17 +211,30 @@ _TABLES = ("elements", "relationships", "views", "view_elements", "view_relation
 TYPES = [f"{verb}{what}" for what in ("Element", "Relationship", "View") for verb in ("add", "update", "remove")]
 
 
-def _runs(steps: list) -> list[tuple[str, int, int]]:
-    """Stretches of a batch of one type and no repeated id: (type, first, last)."""
-    out, seen = [], set()
-    for seq, kind, i in steps:
-        if out and out[-1][0] == kind and i not in seen:
-            out[-1][2] = seq
-            seen.add(i)
-        else:
-            out.append([kind, seq, seq])
-            seen = {i}
-    return [tuple(x) for x in out]
+def _runs(batch: DataFrame, tables: Rounds) -> tuple[DataFrame, list[tuple[int, int, str]]]:
+    """The batch with ``stretch`` and ``turn``, and (stretch, turn, type) in order.
+
+    A stretch is all successive steps of one type; a turn of it has each id once.
+    Steps of one type and different ids give the same rows in any order, so turns may
+    run one after the other. The driver sees one row a stretch and range of steps.
+    """
+    here = Window.partitionBy("range_no").orderBy("seq")
+    dealt = tables.save(batch.repartitionByRange("seq").withColumn("range_no", F.spark_partition_id()))
+    opens = F.when(F.col("type").eqNullSafe(F.lag("type").over(here)) & (F.row_number().over(here) > 1), 0).otherwise(1)
+    dealt = dealt.withColumn("opens", opens).withColumn("part", F.sum("opens").over(here)).drop("opens")
+    parts = dealt.groupBy("range_no", "part").agg(F.min("seq").alias("low"), F.first("type").alias("type")).orderBy("low").collect()
+    named, kind, n = [], None, 0
+    for p in parts:
+        n += not named or p["type"] != kind
+        kind = p["type"]
+        named.append((p["range_no"], p["part"], n))
+    names = batch.sparkSession.createDataFrame(named, "range_no int, part long, stretch long")
+    nth = F.row_number().over(Window.partitionBy("stretch", "id").orderBy("seq"))
+    # Repeated adds of an element join one turn, as their memberships keep the order of steps.
+    turn = F.when(F.col("type") == "addElement", 1).otherwise(nth)
+    placed = tables.save(dealt.join(names, ["range_no", "part"]).withColumn("nth", nth).withColumn("turn", turn).drop("range_no", "part"))
+    runs = placed.groupBy("stretch", "turn").agg(F.first("type").alias("type")).collect()
+    return placed, sorted((r["stretch"], r["turn"], r["type"] or "") for r in runs)
 
 
 def _shaped(rows: DataFrame, table: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -229,25 +243,23 @@ def _shaped(rows: DataFrame, table: DataFrame, names: dict[str, str]) -> DataFra
     return rows.select(*[F.col(have[c]).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in table.dtypes])
 
 
-def apply_batch(graph: Graph, batch: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
+def apply_batch(graph: Graph, batch: DataFrame, limit: int | None = None) -> tuple[Graph, DataFrame, DataFrame]:
     """The graph after a batch (``BATCH``, of one graph) of the nine types in
     order, (kind, id) of what it touched, and (seq, id, reason) of refusals. With
-    one refusal nothing is applied.
+    one refusal nothing is applied. A view that the batch makes larger is refused
+    (seq: null) if it then has more than ``limit`` elements.
 
     ``kind`` is the type of a new element or relationship; updates may not give
     one. Fields that are null stay as they are. Stretches of one type are applied
     as joins, however many rows they have; the tables that they change are written
-    after each.
+    after each. New members of views stand in the order of steps.
     """
-    spark = batch.sparkSession
-    steps = [tuple(r) for r in batch.select("seq", "type", "id").orderBy("seq").limit(MOST + 1).collect()]
-    if len(steps) > MOST:
-        raise ValueError(f"a batch has at most {MOST} mutations")
-    tables, first, key = Rounds(spark), graph, _key(graph)
+    tables, first, key = Rounds(batch.sparkSession), graph, _key(graph)
+    placed, runs = _runs(batch, tables)
     one = graph.views.select(*key).distinct() if key else None  # a batch is of one graph
     refusals, touched = [], []
-    for kind, low, high in _runs(steps):
-        rows = batch.filter(F.col("seq").between(low, high))
+    for stretch, turn, kind in runs:
+        rows = placed.filter((F.col("stretch") == stretch) & (F.col("turn") == turn))
         rows = rows.crossJoin(F.broadcast(one)) if key else rows
         scope = rows.select(*key, "seq", "id", F.explode("view_ids").alias("view_id"))
         what = kind[len("update") :] if kind.startswith("update") else kind[len("remove") :] if kind.startswith("remove") else kind[len("add") :]
@@ -268,10 +280,10 @@ def apply_batch(graph: Graph, batch: DataFrame) -> tuple[Graph, DataFrame, DataF
         say(scope.join(graph.views.select(*key, "view_id"), [*key, "view_id"], "left_anti"), "view does not exist")
         touched.append(rows.select(*key, F.lit(what).alias("kind"), "id"))
         before = graph
-        places = scope.select(*key, "view_id", F.col("id").alias(f"{what.lower()}_id")).distinct()
+        places = scope.select(*key, "view_id", F.col("id").alias(f"{what.lower()}_id"), F.col("seq").alias("step"))
         ids = rows.select(*key, "id")
         if kind == "addElement":
-            graph = add_elements(graph, _shaped(rows.withColumn("ord", F.lit(1 << 50) + F.col("seq")), graph.elements, {"type": "kind"}), places)
+            graph = add_elements(graph, _shaped(rows.filter("nth = 1").withColumn("ord", F.lit(1 << 50) + F.col("seq")), graph.elements, {"type": "kind"}), places)
         elif kind == "updateElement":
             graph = replace(graph, elements=update_rows(graph.elements, rows.select(*key, "id", "name", "description", "parent"), [*key, "id"]))
             names = rows.filter("name is not null").select(*key, F.col("id").alias("parent_element_id"), F.col("name").alias("parent_element_name"))
@@ -280,8 +292,11 @@ def apply_batch(graph: Graph, batch: DataFrame) -> tuple[Graph, DataFrame, DataF
             say(rows.join(graph.views.select(*key, F.col("parent_element_id").alias("id")), [*key, "id"], "left_semi"), "child views exist")
             rels = _ends(graph, key).join(ids.withColumnRenamed("id", "element_id"), [*key, "element_id"], "left_semi")
             touched.append(rels.select(*key, F.lit("Relationship").alias("kind"), F.col("relationship_id").alias("id")))
-            everywhere = rows.filter("view_ids is null").select(*key, F.col("id").alias("element_id")).join(graph.views.select(*key, "view_id"), key) if key else rows.filter("view_ids is null").select(F.col("id").alias("element_id")).crossJoin(graph.views.select("view_id"))
-            graph = remove_from_views(graph, places.unionByName(everywhere))
+            whole = rows.filter("view_ids is null").select(*key, F.col("id").alias("element_id"))
+            held = graph.view_elements.join(whole, [*key, "element_id"], "left_semi").select(*key, "view_id", "element_id")
+            drawn = graph.view_relationships.join(_ends(graph, key).join(whole, [*key, "element_id"], "left_semi"), [*key, "relationship_id"]).select(*key, "view_id", "element_id")
+            alone = whole.select(*key, F.lit(None).cast("string").alias("view_id"), "element_id")
+            graph = remove_from_views(graph, places.drop("step").unionByName(held).unionByName(drawn).unionByName(alone).distinct())
         elif kind == "addRelationship":
             graph = add_relationships(graph, _shaped(rows.withColumn("ord", F.lit(1 << 50) + F.col("seq")), graph.relationships, {"type": "kind"}), places)
         elif kind == "updateRelationship":
@@ -289,7 +304,7 @@ def apply_batch(graph: Graph, batch: DataFrame) -> tuple[Graph, DataFrame, DataF
         elif kind == "removeRelationship":
             shown = graph.view_relationships.select(*key, "view_id", "relationship_id")
             whole = shown.join(rows.filter("view_ids is null").select(*key, F.col("id").alias("relationship_id")), [*key, "relationship_id"], "left_semi")
-            graph = take_relationships(graph, places.unionByName(whole).select(*key, "view_id", "relationship_id"), ids)
+            graph = take_relationships(graph, places.drop("step").unionByName(whole).select(*key, "view_id", "relationship_id"), ids)
         elif kind == "addView":
             graph, _ = add_views(graph, _shaped(rows.withColumn("ord", F.lit(1 << 50) + F.col("seq")), graph.views, {"view_id": "id", "view_name": "name"}))
         elif kind == "updateView":
@@ -299,6 +314,10 @@ def apply_batch(graph: Graph, batch: DataFrame) -> tuple[Graph, DataFrame, DataF
             graph = remove_views(graph, ids.withColumnRenamed("id", "view_id"))
         changed = {t: tables.save(getattr(graph, t)) for t in _TABLES if getattr(graph, t) is not getattr(before, t)}
         graph = replace(graph, **changed)
+    if limit is not None:
+        size = lambda g, n: g.view_elements.groupBy(*key, "view_id").agg(F.count(F.lit(1)).alias(n))
+        grown = size(graph, "n").filter(F.col("n") > limit).join(size(first, "was"), [*key, "view_id"], "left").filter("n > coalesce(was, 0)")
+        refusals.append(grown.select(F.lit(None).cast("long").alias("seq"), F.col("view_id").alias("id"), F.lit(f"more than {limit} elements").alias("reason")))
     none = batch.select("seq", "id", F.lit("").alias("reason")).limit(0)
     refused = tables.save(reduce(DataFrame.unionAll, refusals, none).distinct())
     stop = not refused.isEmpty()
@@ -308,6 +327,16 @@ def apply_batch(graph: Graph, batch: DataFrame) -> tuple[Graph, DataFrame, DataF
     return (first if stop else graph), seen, refused
 
 
+def changes(before: Graph, after: Graph) -> DataFrame:
+    """(kind, id, change) of elements, relationships and views that came or went."""
+    key, out = _key(before), []
+    for kind, table, column in (("element", "elements", "id"), ("relationship", "relationships", "id"), ("view", "views", "view_id")):
+        a, b = (getattr(g, table).select(*key, F.col(column).alias("id")).distinct() for g in (before, after))
+        for new, old, change in ((b, a, "created"), (a, b, "removed")):
+            out.append(new.join(old, [*key, "id"], "left_anti").select(*key, F.lit(kind).alias("kind"), "id", F.lit(change).alias("change")))
+    return reduce(DataFrame.unionAll, out)
+
+
 def subdiagrams(views: DataFrame) -> DataFrame:
     """(id, subdiagram_views): what elements' lists should be, from views' parents."""
     return views.filter("parent_element_id is not null").groupBy(*shared_key(views), F.col("parent_element_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("view_id", "view_name"))).alias("subdiagram_views"))
