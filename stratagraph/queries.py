@@ -868,4 +868,17 @@ def mutation_batch(spark, d):
     return out.unionAll(refused.select(F.lit("refused"), F.lit("refused"), "reason"))
 
 
+@query("""
+, s AS (SELECT s_suppkey AS k, s_suppkey % 2 = 0 AS moved, s_suppkey % 3 = 0 AS cut, s_suppkey % 5 = 0 AS gone FROM supplier)
+SELECT 'element' AS kind, 'added-' || k AS id, 'created' AS change FROM s
+UNION SELECT 'element', 'supplier-' || k, 'removed' FROM s WHERE gone
+UNION SELECT 'relationship', 'ar-' || k, 'created' FROM s WHERE NOT cut AND NOT (moved AND gone)
+UNION SELECT 'relationship', r.id, 'removed' FROM relationships r JOIN s ON gone AND 'supplier-' || k IN (r.source_id, r.target_id)
+UNION SELECT 'view', 'view-new-' || n_nationkey, 'created' FROM nation
+UNION SELECT 'view', 'view-nation-' || n_nationkey, 'removed' FROM nation WHERE n_nationkey % 5 = 4""")
+def mutation_batch_changes(spark, d):
+    before = star.graph(spark, d)
+    return mutate.changes(before, mutate.apply_batch(before, _batch(spark, d))[0]).drop("graph_key")
+
+
 from stratagraph import modelling_queries, upkeep_queries  # noqa: E402, F401 -- they register their queries here

@@ -127,6 +127,36 @@ def test_batches_follow_the_rules_in_order(spark, tmp_path):
             assert {(m["type"][-4:], m["id"]) for m in batch} <= {(r["kind"][-4:], r["id"]) for r in touched.collect()}
 
 
+def test_new_members_stand_in_the_order_of_steps_and_views_have_limits(spark, tmp_path):
+    path = tmp_path / "SystemArchitecture.json"
+    path.write_text(json.dumps(DOC))
+    g = explode_documents(read_documents(spark, str(path)))
+    add = lambda k, i, *views: (k, "addElement", i, "Goal", i, *[None] * 5, list(views))
+    steps = [add(1, "z", "sub"), add(2, "y", "top"), add(3, "z", "top"), add(4, "x", "top"), (5, "addRelationship", "r9", "Flow", None, None, None, "x", "c", None, ["sub"])]
+    df = spark.createDataFrame(steps, mutate.BATCH)
+    out, _, refused = mutate.apply_batch(g, df, limit=7)
+    held = lambda v: [r["element_id"] for r in out.view_elements.filter(F.col("view_id") == v).orderBy("ord").collect()]
+    assert refused.count() == 0
+    assert held("top") == ["p", "a", "b", "c", "y", "z", "x"] and held("sub") == ["a", "b", "z", "x", "c"]
+    assert sorted((r["kind"], r["id"], r["change"]) for r in mutate.changes(g, out).collect()) == [*(("element", i, "created") for i in "xyz"), ("relationship", "r9", "created")]
+    out, touched, refused = mutate.apply_batch(g, df, limit=6)
+    assert [tuple(r) for r in refused.collect()] == [(None, "top", "more than 6 elements")]
+    assert state(out) == state(g) and touched.count() == 0
+
+
+def test_a_batch_has_any_number_of_steps(spark, tmp_path):
+    path = tmp_path / "SystemArchitecture.json"
+    path.write_text(json.dumps(DOC))
+    g = explode_documents(read_documents(spark, str(path)))
+    n, cols = 30_000, {c.split()[0]: c.split(maxsplit=1)[1] for c in mutate.BATCH.split(", ")}
+    k = F.col("id")
+    row = {"seq": k, "type": F.when(k < n // 2, "addElement").otherwise("updateElement"), "id": F.concat(F.lit("n"), (k % (n // 2)).cast("string")), "name": k.cast("string"), "kind": F.when(k < n // 2, "Goal"), "view_ids": F.when(k < n // 2, F.array(F.lit("top")))}
+    out, _, refused = mutate.apply_batch(g, spark.range(n).select(*[row.get(c, F.lit(None)).cast(t).alias(c) for c, t in cols.items()]))
+    assert refused.count() == 0
+    assert out.elements.filter("id like 'n%' and cast(name as long) = cast(substr(id, 2) as long) + 15000").count() == n // 2
+    assert [r["element_id"] for r in out.view_elements.filter("view_id = 'top' and ord in (4, 15003)").orderBy("ord").collect()] == ["n0", "n14999"]
+
+
 def test_types_are_fixed_and_views_are_needed(spark, tmp_path):
     path = tmp_path / "SystemArchitecture.json"
     path.write_text(json.dumps(DOC))
