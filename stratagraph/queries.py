@@ -881,4 +881,4 @@ def mutation_batch_changes(spark, d):
     return mutate.changes(before, mutate.apply_batch(before, _batch(spark, d))[0]).drop("graph_key")
 
 
-from stratagraph import modelling_queries, upkeep_queries  # noqa: E402, F401 -- they register their queries here
+from stratagraph import gate_queries, modelling_queries, upkeep_queries  # noqa: E402, F401 -- they register their queries here
