@@ -36,7 +36,7 @@ def _measured(spark, d) -> tuple[DataFrame, DataFrame]:
         .select("s", "benchmark_id", F.posexplode(F.array(*map(F.lit, PURPOSES))).alias("place", "purpose"))
         .filter("not (s % 13 = 11 and place = 4)")
         .selectExpr(
-            "benchmark_id", "place", "CASE WHEN s % 26 = 25 AND place = 0 THEN ' ' ELSE purpose END AS purpose", "NOT (s % 13 = 6 AND place = 4) AS has_results",
+            "benchmark_id", "place", "CASE WHEN s % 39 = 0 AND place = 0 THEN ' ' ELSE purpose END AS purpose", "NOT (s % 13 = 6 AND place = 4) AS has_results",
             "CASE WHEN s % 13 = 7 AND place = 2 THEN -1L END AS cardinality", "CASE WHEN s % 13 = 8 AND place = 0 OR s % 26 = 2 AND place = 1 THEN 1.5D ELSE 0.5D + place / 16D END AS precision",
             "CASE WHEN s % 13 = 9 AND place = 1 THEN NULL WHEN s % 13 = 10 AND place = 3 THEN 1L ELSE 0L END AS forced_hits",
         )
@@ -51,7 +51,7 @@ def _requests(spark, d) -> DataFrame:
 _MEASURED = """,
 sup AS (SELECT s_suppkey AS s, 'supplier-' || s_suppkey AS benchmark_id FROM supplier),
 pur AS (
-  SELECT s, benchmark_id, place, CASE WHEN s % 26 = 25 AND place = 0 THEN 'purpose-1' ELSE purpose END AS purpose,
+  SELECT s, benchmark_id, place, CASE WHEN s % 39 = 0 AND place = 0 THEN 'purpose-1' ELSE purpose END AS purpose,
     CASE WHEN s % 13 = 8 AND place = 0 OR s % 26 = 2 AND place = 1 THEN 1.5 ELSE 0.5 + place / 16.0 END::DOUBLE AS precision,
     CASE WHEN s % 13 = 9 AND place = 1 THEN NULL WHEN s % 13 = 10 AND place = 3 THEN 1 ELSE 0 END AS forced
   FROM sup, (VALUES (0, 'intent-decision'), (1, 'implementation-design'), (2, 'coding-repair'), (3, 'audit'), (4, 'graph-tidy')) t(place, purpose)
