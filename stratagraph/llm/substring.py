@@ -10,9 +10,10 @@ that window occurs; the least name of the highest round that has one in the
 window is its anchor. Equal windows have equal anchors.
 
 Anchors that occur in two documents mark documents to look into; of their
-windows those with such an anchor are verified by a BLAKE2 digest of their very
-words, so no weak hash can remove a word. A window repeats when a document of a
-smaller id has it. Documents of equal
+windows those with such an anchor get a name, a rolling hash, and once a BLAKE2
+digest of their very words: a name stands for its windows where they all have one
+digest, and digests themselves decide where they have several, so no weak hash can
+remove a word. A window repeats when a document of a smaller id has it. Documents of equal
 words are settled first: all but the smallest id go whole.
 
 A word is a run of bytes other than space and 0x09-0x0D. Null counts as empty.
@@ -182,28 +183,62 @@ def _parse(size: int, rounds: int):
     return run
 
 
-def _windows(size: int, rounds: int):
-    """Windows of marked documents whose anchor another document has."""
+def _runs(size: int, rounds: int):
+    """Marked documents with the windows whose anchor another document has: first and
+    number of each run of them, one after the other."""
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, 3, ROWS):
-                words = Words(part.column(3))
+            for part in pieces(batch, 2, ROWS):
+                words = Words(part.column(2))
                 starts = windows(words, size)
                 found = anchors(words, starts, size, rounds).view(np.int64)
                 cut = np.searchsorted(starts, words.row_start)
-                names = part.column(2).to_pylist()
-                keep = np.zeros(len(starts), bool)
-                for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                    keep[i:j] = np.isin(found[i:j], np.array(names[k], np.int64))
-                starts = starts[keep]
-                row = np.searchsorted(words.row_start, starts, side="right") - 1
-                ids, keys = (np.array(part.column(k).to_pylist(), np.int64)[row] for k in (0, 1))
-                at = (starts - words.row_start[row]).astype(np.int32)
-                two = _window_digests(words, starts, size)
+                out = []
+                for names, row, i, j in zip(part.column(3).to_pylist(), words.row_start, cut[:-1], cut[1:], strict=False):
+                    at = starts[i:j][np.isin(found[i:j], np.array(names, np.int64))] - row
+                    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+                    out.append(np.stack([at[first], np.diff(first, append=len(at))], axis=1).ravel().astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(out, pa.list_(pa.int32()))], names=["id", "key", "text", "runs"])
+
+    return run
+
+
+def _window_names(words: Words, starts: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """A number of ``bits`` bits for each window, of its words' hashes: a rolling polynomial."""
+    base = 0x9E3779B97F4A7C15
+    power = np.full(len(words.hashes) + 1, base, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
+    sums = np.zeros(len(words.hashes) + 1, np.uint64)
+    np.cumsum(words.hashes * power[:-1], out=sums[1:])
+    back = np.full(len(power), pow(base, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    name = mix((sums[starts + size] - sums[starts]) * np.cumprod(back)[starts])
+    return (name >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _windows(size: int, bits: int, digests: bool):
+    """Windows of the runs by name, with the digest of their words if it is asked for."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, 2, ROWS):
+                words = Words(part.column(2))
+                runs = part.column(3)
+                pairs = runs.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2).astype(np.int64)
+                many = np.diff(runs.offsets.to_numpy()) // 2
+                row = np.repeat(np.repeat(np.arange(len(many)), many), pairs[:, 1])
+                ends = np.cumsum(pairs[:, 1])
+                at = np.arange(len(row)) + np.repeat(pairs[:, 0] - (ends - pairs[:, 1]), pairs[:, 1])
+                starts = at + words.row_start[row]
+                ids, keys = (part.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1))
+                cols = {"id": ids, "key": keys, "at": at.astype(np.int32), "name": _window_names(words, starts, size, bits)}
+                if digests:
+                    two = _window_digests(words, starts, size)
+                    cols |= {"h1": two[:, 0], "h2": two[:, 1]}
                 for b in range(0, len(at), 1 << 17):
-                    s = slice(b, b + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(keys[s]), pa.array(at[s]), pa.array(two[s, 0]), pa.array(two[s, 1])], names=["id", "key", "at", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[b : b + (1 << 17)]) for c in cols.values()], names=list(cols))
 
     return run
 
@@ -229,9 +264,10 @@ def _strip(size: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, rounds: int = ROUNDS, bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every row;
-    kept_text is null where no word goes."""
+    kept_text is null where no word goes. ``bits`` is the size of windows' names: with
+    fewer, more windows share a name and are told apart by their digests, at some cost."""
     scratch = Scratch(docs.sparkSession, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))  # tells rows of one id apart
@@ -248,15 +284,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = entries.join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors"))
     marks = scratch.save(marks.select(F.col("id").alias("m_id"), F.col("key").alias("m_key"), "anchors"))
     scratch.drop(entries), scratch.drop(shared)
-    held = rows.join(marks, (F.col("id") == F.col("m_id")) & (F.col("key") == F.col("m_key"))).select("id", "key", "anchors", "text")
-    held = scratch.save(held.dropDuplicates(["id", "key"]) if repeated else held)
+    held = rows.join(marks, (F.col("id") == F.col("m_id")) & (F.col("key") == F.col("m_key"))).select("id", "key", "text", "anchors")
+    held = held.dropDuplicates(["id", "key"]) if repeated else held
+    held = scratch.save(held.mapInArrow(_runs(size, rounds), "id long, key long, text string, runs array<int>"))
     scratch.drop(marks)
-    found = held.mapInArrow(_windows(size, rounds), "id long, key long, at int, h1 long, h2 long")
-    least = scratch.save(found.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").drop("last_id"))
-    again = found.join(least, ["h1", "h2"]).filter("id > first_id")
+    named, digested = (held.mapInArrow(_windows(size, bits, d), f"id long, key long, at int, name long{', h1 long, h2 long' if d else ''}") for d in (False, True))
+    ends = [F.min("id").alias("first_id"), F.max("id").alias("last_id")]
+    of_words = [f(h).alias(f"{n}_{h}") for h in ("h1", "h2") for n, f in (("least", F.min), ("most", F.max))]
+    mixed = (F.col("least_h1") != F.col("most_h1")) | (F.col("least_h2") != F.col("most_h2"))
+    least = scratch.save(digested.groupBy("name").agg(*ends, *of_words).filter("first_id < last_id").select("name", "first_id", mixed.alias("mixed")))
+    again = named.join(least.filter("not mixed"), "name").filter("id > first_id").select("id", "key", "at")
+    if not least.filter("mixed").isEmpty():  # one name for windows of other words: their digests decide
+        unlike = digested.join(least.filter("mixed").select("name"), "name", "left_semi")
+        by_words = scratch.save(unlike.groupBy("h1", "h2").agg(*ends).filter("first_id < last_id").drop("last_id"))
+        again = again.unionByName(unlike.join(by_words, ["h1", "h2"]).filter("id > first_id").select("id", "key", "at"))
     # Written on its own: the windows' shuffle is gone before texts are shuffled.
     cut = scratch.save(again.groupBy("id", "key").agg(F.collect_set("at").alias("at")))
-    left = held.drop("anchors").join(cut, ["id", "key"]).select("id", "key", "text", "at")
+    left = held.drop("runs").join(cut, ["id", "key"]).select("id", "key", "text", "at")
     left = left.mapInArrow(_strip(size), "id long, key long, n_removed long, kept_text string, kept_sha256 string")
     left = left.select(F.col("id").alias("l_id"), F.col("key").alias("l_key"), "n_removed", "kept_text", "kept_sha256")
     out = facts.join(copies, is_copy, "left").join(left, (F.col("id") == F.col("l_id")) & (F.col("key") == F.col("l_key")), "left")

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from stratagraph.llm import substring
+import pyarrow as pa
+
+from stratagraph.llm import substring, textcols
 
 
 def expected(texts, size=50):
@@ -47,12 +49,20 @@ def test_shared_passages_runs_and_twins(make):
         parts.insert(rng.randrange(3), "same " * rng.randrange(120))
         some.append((i % 50, " ".join(parts)))
     assert run(make(some)) == expected(some)
+    assert run(make(some), bits=3) == expected(some)  # windows of other words share names
 
 
 def test_small_windows(make):
     rng = random.Random(4)
     some = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(60)))) for i in range(40)]
     assert run(make(some), size=6) == expected(some, 6)
+    assert run(make(some), size=6, bits=5) == expected(some, 6)
+
+
+def test_names_roll_over_the_words_of_a_window():
+    words = textcols.Words(pa.array(["a b c a b c a", "", "x b c a"]))
+    names = substring._window_names(words, substring.windows(words, 3), 3, 64).tolist()
+    assert names[0] == names[3] and names[1] == names[4] == names[6] and names[2] not in (names[0], names[1]) and len(set(names)) == 4
 
 
 def thue_morse(n):
