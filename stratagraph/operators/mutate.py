@@ -243,7 +243,45 @@ def _shaped(rows: DataFrame, table: DataFrame, names: dict[str, str]) -> DataFra
     return rows.select(*[F.col(have[c]).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in table.dtypes])
 
 
+def part(graph: Graph, batch: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
+    """The part of a graph that a batch can change, and the other elements and relationships.
+
+    Elements are those that the batch names. Relationships are those that it names, those
+    of elements that it removes, and those drawn in the views that it names or in which its
+    relationships are drawn. All rows of an id are in one part. Views and members are whole.
+    """
+    tables = Rounds(batch.sparkSession)
+    of = lambda what: batch.filter(F.col("type").endswith(what)).select("id")
+    named = tables.save(of("Relationship").distinct())
+    drawn = graph.view_relationships.select("view_id", F.col("relationship_id").alias("id"))
+    seen = batch.select(F.explode("view_ids").alias("view_id")).unionAll(drawn.join(named, "id", "left_semi").select("view_id")).distinct()
+    ids = tables.save(named.unionAll(drawn.join(seen, "view_id", "left_semi").select("id")).distinct())
+    gone = tables.save(batch.filter("type = 'removeElement'").select("id").distinct())
+
+    def split(table: DataFrame, marks: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+        rows = table
+        for n, (column, rows_of) in enumerate(marks.items()):
+            rows = rows.join(rows_of.select(F.col("id").alias(column), F.lit(True).alias(f"mark_{n}")), column, "left")
+        hit = F.coalesce(*[F.col(f"mark_{n}") for n in range(len(marks))], F.lit(False))
+        return tables.save(rows.filter(hit).select(table.columns)), rows.filter(~hit).select(table.columns)
+
+    elements, other = split(graph.elements, {"id": tables.save(of("Element").distinct())})
+    relationships, rest = split(graph.relationships, {"id": ids, "source_id": gone, "target_id": gone})
+    return replace(graph, elements=elements, relationships=relationships), other, rest
+
+
 def apply_batch(graph: Graph, batch: DataFrame, limit: int | None = None) -> tuple[Graph, DataFrame, DataFrame]:
+    """The graph after a batch, as ``apply_to_part`` says it, with the rows that the
+    batch cannot change: these are neither shuffled nor written."""
+    near, elements, relationships = part(graph, batch)
+    after, touched, refused = apply_to_part(near, batch, limit)
+    if after is near:
+        return graph, touched, refused
+    whole = replace(after, elements=elements.unionByName(after.elements), relationships=relationships.unionByName(after.relationships))
+    return whole, touched, refused
+
+
+def apply_to_part(graph: Graph, batch: DataFrame, limit: int | None = None) -> tuple[Graph, DataFrame, DataFrame]:
     """The graph after a batch (``BATCH``, of one graph) of the nine types in
     order, (kind, id) of what it touched, and (seq, id, reason) of refusals. With
     one refusal nothing is applied. A view that the batch makes larger is refused

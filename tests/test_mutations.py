@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from stratagraph.operators import mutate
-from stratagraph.sources.documents import explode_documents, read_documents
+from stratagraph.sources.documents import Graph, explode_documents, read_documents
 
 DOC = {
     "name": "S", "description": "d", "attributes": [],
@@ -179,3 +179,25 @@ def test_one_graph_never_changes_another(spark, tmp_path):
     assert out.elements.count() == 7 and out.relationships.count() == 3
     scope = g.view_elements.filter("element_id = 'b' and graph_key like '%/one/%'").select("graph_key", "view_id", "element_id")
     assert state(two(mutate.remove_from_views(g, scope))) == state(two(g))
+
+
+def test_a_batch_moves_only_what_it_can_change(spark):
+    far = [("g", 10 + k, f"far-{k}", "Flow", "x", f"y{k}") for k in range(5)]
+    g = Graph(
+        spark.createDataFrame([("g", k, i, i, "Node", None, "") for k, i in enumerate("abcxy")], "graph_key string, ord long, id string, name string, type string, parent string, description string"),
+        spark.createDataFrame([("g", 0, "r", "Flow", "a", "b"), ("g", 1, "s", "Flow", "b", "c"), ("g", 2, "t", "Flow", "c", "x"), *far], "graph_key string, ord long, id string, type string, source_id string, target_id string"),
+        spark.createDataFrame([("g", 0, "v", "V", None, None), ("g", 1, "w", "W", None, None)], "graph_key string, ord long, view_id string, view_name string, parent_element_id string, parent_element_name string"),
+        spark.createDataFrame([("g", "v", "a", 0), ("g", "v", "b", 1), ("g", "v", "c", 2), ("g", "w", "x", 0)], "graph_key string, view_id string, element_id string, ord long"),
+        spark.createDataFrame([("g", "v", "r", 0), ("g", "v", "s", 1), ("g", "w", "far-0", 0)], "graph_key string, view_id string, relationship_id string, ord long"),
+    )
+    empty = dict.fromkeys(c.split()[0] for c in mutate.BATCH.split(", "))
+    steps = [{**empty, "seq": 1, "type": "removeRelationship", "id": "r"}, {**empty, "seq": 2, "type": "removeElement", "id": "c"}]
+    batch = spark.createDataFrame([tuple(s.values()) for s in steps], mutate.BATCH)
+    near, elements, rest = mutate.part(g, batch)
+    assert {r["id"] for r in near.elements.collect()} == {"c"} and {r["id"] for r in elements.collect()} == set("abxy")
+    # s is drawn beside r, so it keeps its end b there; nothing needs far-0, which another view has.
+    assert {r["id"] for r in near.relationships.collect()} == {"r", "s", "t"} and {r["id"] for r in rest.collect()} == {f[2] for f in far}
+    after, _, refused = mutate.apply_batch(g, batch)
+    assert refused.count() == 0 and {r["id"] for r in after.relationships.collect()} == {f[2] for f in far}
+    assert {(r["view_id"], r["element_id"]) for r in after.view_elements.collect()} == {("v", "b"), ("w", "x")}
+    assert {tuple(r)[1:] for r in mutate.changes(g, after).collect()} == {("relationship", i, "removed") for i in "rst"} | {("element", "c", "removed")}
