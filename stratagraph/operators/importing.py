@@ -6,7 +6,7 @@ is made when it, or the first element below it, comes in the document, its paren
 before it. Ids that the repository has already keep theirs and are not made again.
 An element below or on a cycle of parents is rejected. Of rows with one id the last
 one's content counts, at the first one's place. Levels are rounds of joins; numbers
-are given over ranges of the order.
+are given over ranges of the order, things at one place by their ids.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def _elements(elements: DataFrame, existing: DataFrame, key: list[str], tables:
     hung = new.join(ids, [*key, "parent"], "left").withColumn("told", F.col("parent"))
     hung = hung.withColumn("parent", F.when(F.col("makes"), F.col("parent"))).drop("makes")
     leveled = _first_needed(_levels(hung, key, tables), key, tables)
-    made = tables.save(numbered(leveled, [*[F.col(k) for k in key], F.col("needed"), F.col("level")], tables, "new_id", first))
+    made = tables.save(numbered(leveled, [*[F.col(k) for k in key], F.col("needed"), F.col("level"), F.col("id")], tables, "new_id", first))
     known = made.select(*at, "new_id").unionByName(there)
     owners = known.select(*key, F.col("id").alias("told"), F.col("new_id").alias("owner_id"))
     # Elements that the document does not have are no owners, though the repository may have them.
@@ -128,7 +128,7 @@ def import_graph(graph: Graph, existing: DataFrame | None = None, subdiagrams: D
     told = tables.save(told)
     missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(e).isNull(), F.lit(e)) for e in ("source", "target")])), " and ")
     whole = told.filter("source is not null and target is not null")
-    relationships = tables.save(numbered(whole, [*order, F.col("ord")], tables, "new_id", first))
+    relationships = tables.save(numbered(whole, [*order, F.col("ord"), F.col("id")], tables, "new_id", first))
     rejects = rejects.unionByName(_rejected(graph.relationships.filter(_blank("id")), key, "relationship", F.col("id"), "no id"))
     rejects = rejects.unionByName(_rejected(told.filter("source is null or target is null"), key, "relationship", F.col("id"), F.concat(F.lit("missing "), missing)))
 
@@ -137,7 +137,7 @@ def import_graph(graph: Graph, existing: DataFrame | None = None, subdiagrams: D
     said = subdiagrams.join(ids, [*key, "id"], "left_semi").groupBy(*key, "view_id").agg(F.min_by(F.struct("ord", "view_name", "id"), "ord").alias("f"))
     owner = subdiagrams.filter(~_blank("view_id")).groupBy(*key, "view_id").agg(F.max_by("id", "ord").alias("owner"))
     extra = said.join(views, [*key, "view_id"], "left_anti").select(*key, "view_id", "f.ord", "f.view_name", F.col("f.id").alias("parent_element_id"), F.lit(1).alias("declared"))
-    views = numbered(views.unionByName(extra), [*order, F.col("declared"), F.col("ord")], tables, "new_id", first)
+    views = numbered(views.unionByName(extra), [*order, F.col("declared"), F.col("ord"), F.col("view_id")], tables, "new_id", first)
     by = lambda column, name: ids.select(*key, F.col("id").alias(column), F.col("new_id").alias(name))
     views = views.join(owner, [*key, "view_id"], "left").join(by("parent_element_id", "a"), [*key, "parent_element_id"], "left").join(by("owner", "b"), [*key, "owner"], "left")
     views = tables.save(views.select("new_id", *key, "view_id", "view_name", F.coalesce("a", "b").alias("owner_id")))

@@ -73,3 +73,12 @@ def test_nothing_to_import(spark):
     none = Graph(*(getattr(g, t).limit(0) for t in ("elements", "relationships", "views", "view_elements", "view_relationships")))
     made = importing.import_graph(none)
     assert made.elements.count() == 0 and made.rejects.count() == 0 and made.views.filter(F.lit(True)).count() == 0
+
+
+def test_relationships_at_one_place_are_numbered_by_id(spark):
+    ends = [(7, f"{kind}-{k:03d}", "", "t", "a", "b") for k in range(40) for kind in ("sp", "op")]
+    for rows in (ends, ends[::-1]):
+        g = graph(spark, [("g", 1, "a", "A", "t", None), ("g", 2, "b", "B", "t", None)], [("g", *r) for r in rows])
+        got = importing.import_graph(g).relationships.orderBy("new_id").collect()
+        assert [r["id"] for r in got] == sorted(r[1] for r in ends)
+        assert [r["new_id"] for r in got] == list(range(1, 81))
