@@ -11,7 +11,7 @@ are given over ranges of the order, things at one place by their ids.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,24 +23,6 @@ from stratagraph.sources.documents import Graph, shared_key
 REJECT = ["kind", "id", "view_id", "reason"]
 
 
-@dataclass(frozen=True)
-class Imported:
-    """What an import made; all tables carry the documents' ``graph_key``, if any.
-
-    elements (new_id, id, name, type, owner_id, level, made), relationships (new_id, id,
-    name, type, source_id, target_id: new ids), views (new_id, view_id, view_name,
-    owner_id), view_elements (diagram_id, element_id, ord, left, top, right, bottom),
-    view_relationships (diagram_id, connector_id), rejects (kind, id, view_id, reason).
-    """
-
-    elements: DataFrame
-    relationships: DataFrame
-    views: DataFrame
-    view_elements: DataFrame
-    view_relationships: DataFrame
-    rejects: DataFrame
-
-
 # The grid on which an import puts a diagram's elements.
 COLUMNS, LEFT, TOP, ACROSS, DOWN, WIDTH, HEIGHT = 5, 40, 40, 260, 150, 180, 80
 
@@ -96,7 +78,7 @@ def _elements(elements: DataFrame, existing: DataFrame, key: list[str], tables:
     hung = new.join(ids, [*key, "parent"], "left").withColumn("told", F.col("parent"))
     hung = hung.withColumn("parent", F.when(F.col("makes"), F.col("parent"))).drop("makes")
     leveled = _first_needed(_levels(hung, key, tables), key, tables)
-    made = tables.save(numbered(leveled, [*[F.col(k) for k in key], F.col("needed"), F.col("level"), F.col("id")], tables, "new_id", first))
+    made = numbered(leveled, [*[F.col(k) for k in key], F.col("needed"), F.col("level"), F.col("id")], tables, "new_id", first)
     known = made.select(*at, "new_id").unionByName(there)
     owners = known.select(*key, F.col("id").alias("told"), F.col("new_id").alias("owner_id"))
     # Elements that the document does not have are no owners, though the repository may have them.
@@ -108,6 +90,111 @@ def _elements(elements: DataFrame, existing: DataFrame, key: list[str], tables:
     return tables.save(out.unionByName(kept)), rejects
 
 
+class Imported:
+    """What an import makes, each table when it is first asked for; all carry the
+    documents' ``graph_key``, if any.
+
+    elements (new_id, id, name, type, owner_id, level, made), relationships (new_id, id,
+    name, type, source_id, target_id: new ids), views (new_id, view_id, view_name,
+    owner_id), view_elements (diagram_id, element_id, ord, left, top, right, bottom),
+    view_relationships (diagram_id, connector_id), rejects (kind, id, view_id, reason).
+    """
+
+    def __init__(self, graph: Graph, existing: DataFrame, subdiagrams: DataFrame, key: list[str], first: int):
+        self.graph, self.existing, self.subdiagrams, self.key, self.first = graph, existing, subdiagrams, key, first
+        self.tables, self.order = Rounds(graph.elements.sparkSession), [F.col(k) for k in key]
+
+    @cached_property
+    def _made(self) -> tuple[DataFrame, DataFrame]:
+        return _elements(self.graph.elements, self.existing, self.key, self.tables, self.first)
+
+    @property
+    def elements(self) -> DataFrame:
+        return self._made[0]
+
+    def _new(self, column: str, name: str) -> DataFrame:
+        return self.elements.select(*self.key, F.col("id").alias(column), F.col("new_id").alias(name))
+
+    def _told(self, relationships: DataFrame) -> DataFrame:
+        """Relationships with the new ids of their ends, null where there are none."""
+        told = relationships.filter(~_blank("id")).select(*self.key, "id", "ord", "name", "type", "source_id", "target_id")
+        for end in ("source", "target"):
+            told = told.join(self._new(f"{end}_id", end), [*self.key, f"{end}_id"], "left")
+        return told
+
+    def _numbered(self, *columns: str) -> DataFrame:
+        whole = self._told(self.graph.relationships).filter("source is not null and target is not null")
+        whole = self.tables.save(whole.select(*self.key, "id", "ord", *columns))  # read for the ranges, then dealt to them
+        return numbered(whole, [*self.order, F.col("ord"), F.col("id")], self.tables, "new_id", self.first)
+
+    @cached_property
+    def relationships(self) -> DataFrame:
+        made = self._numbered("name", "type", "source", "target")
+        return made.select("new_id", *self.key, "id", "name", "type", F.col("source").alias("source_id"), F.col("target").alias("target_id"))
+
+    @cached_property
+    def views(self) -> DataFrame:
+        key = self.key
+        views = self.graph.views.filter(~_blank("view_id")).groupBy(*key, "view_id").agg(F.min("ord").alias("ord"), F.min_by(F.struct("view_name", "parent_element_id"), "ord").alias("x"))
+        views = views.select(*key, "view_id", "ord", "x.*", F.lit(0).alias("declared"))
+        said = self.subdiagrams.join(self._new("id", "n"), [*key, "id"], "left_semi").groupBy(*key, "view_id").agg(F.min_by(F.struct("ord", "view_name", "id"), "ord").alias("f"))
+        owner = self.subdiagrams.filter(~_blank("view_id")).groupBy(*key, "view_id").agg(F.max_by("id", "ord").alias("owner"))
+        extra = said.join(views, [*key, "view_id"], "left_anti").select(*key, "view_id", "f.ord", "f.view_name", F.col("f.id").alias("parent_element_id"), F.lit(1).alias("declared"))
+        views = numbered(views.unionByName(extra), [*self.order, F.col("declared"), F.col("ord"), F.col("view_id")], self.tables, "new_id", self.first)
+        views = views.join(owner, [*key, "view_id"], "left").join(self._new("parent_element_id", "a"), [*key, "parent_element_id"], "left").join(self._new("owner", "b"), [*key, "owner"], "left")
+        return self.tables.save(views.select("new_id", *key, "view_id", "view_name", F.coalesce("a", "b").alias("owner_id")))
+
+    @cached_property
+    def _diagrams(self) -> DataFrame:
+        return self.views.select(*self.key, "view_id", F.col("new_id").alias("diagram_id"))
+
+    @cached_property
+    def _held(self) -> DataFrame:
+        # A view is drawn as a whole: its members are one group.
+        place = (F.row_number().over(Window.partitionBy(*self.key, "view_id").orderBy("ord")) - 1).cast("long")
+        return self.graph.view_elements.withColumn("i", place).join(self._diagrams, [*self.key, "view_id"]).join(self._new("element_id", "e"), [*self.key, "element_id"], "left")
+
+    @cached_property
+    def view_elements(self) -> DataFrame:
+        return self._held.filter("e is not null").select(*self.key, "diagram_id", F.col("e").alias("element_id"), F.col("i").alias("ord"), *_box(F.col("i")))
+
+    @property
+    def _drawn(self) -> DataFrame:
+        return self.graph.view_relationships.join(self._diagrams, [*self.key, "view_id"])
+
+    @cached_property
+    def view_relationships(self) -> DataFrame:
+        # Only ids and numbers are needed here, of relationships that views show.
+        made = self.relationships if "relationships" in self.__dict__ else self._numbered()
+        shown = self.graph.view_relationships.select(*self.key, F.col("relationship_id").alias("id"))
+        last = made.join(shown, [*self.key, "id"], "left_semi").groupBy(*self.key, F.col("id").alias("relationship_id")).agg(F.max("new_id").alias("connector_id"))
+        return self._drawn.join(last, [*self.key, "relationship_id"]).select(*self.key, "diagram_id", "connector_id")
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        key, graph = self.key, self.graph
+        of = [*key, "relationship_id"]
+        ids = lambda rows: rows.select(*key, F.col("id").alias("relationship_id"))
+        lost = self.tables.save(self._told(graph.relationships).filter("source is null or target is null").select(*key, "id", "source", "target"))
+        missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(e).isNull(), F.lit(e)) for e in ("source", "target")])), " and ")
+        # What a view draws is lost if no relationship of its id is whole: those with a lost one are looked at again.
+        drawn = self._drawn
+        absent = drawn.join(ids(graph.relationships.filter(~_blank("id"))), of, "left_anti")
+        broken = drawn.join(ids(lost), of, "left_semi")
+        again = graph.relationships.join(broken.select(*key, F.col("relationship_id").alias("id")), [*key, "id"], "left_semi")
+        broken = broken.join(ids(self._told(again).filter("source is not null and target is not null")), of, "left_anti")
+        reject = lambda rows, kind, id_, reason, view=None: _rejected(rows, key, kind, F.col(id_), reason, None if view is None else F.col(view))
+        parts = [
+            reject(graph.relationships.filter(_blank("id")), "relationship", "id", "no id"),
+            reject(lost, "relationship", "id", F.concat(F.lit("missing "), missing)),
+            reject(graph.views.filter(_blank("view_id")), "view", "view_id", "no id"),
+            reject(self._held.filter("e is null"), "view element", "element_id", "missing element", "view_id"),
+            reject(absent, "view relationship", "relationship_id", "missing relationship", "view_id"),
+            reject(broken, "view relationship", "relationship_id", "missing relationship", "view_id"),
+        ]
+        return reduce(DataFrame.unionByName, parts, self._made[1])
+
+
 def import_graph(graph: Graph, existing: DataFrame | None = None, subdiagrams: DataFrame | None = None, first: int = 1) -> Imported:
     """Import ``graph``. ``existing`` (id, new_id): elements of the repository;
     ``subdiagrams`` (view_id, view_name, id, ord): views that elements declare, made
@@ -118,46 +205,4 @@ def import_graph(graph: Graph, existing: DataFrame | None = None, subdiagrams: D
     keys = f"graph_key {graph_type}, " if key else ""
     existing = spark.createDataFrame([], f"{keys}id string, new_id long") if existing is None else existing
     subdiagrams = spark.createDataFrame([], f"{keys}view_id string, view_name string, id string, ord long") if subdiagrams is None else subdiagrams
-    tables, order = Rounds(spark), [F.col(k) for k in key]
-    elements, rejects = _elements(graph.elements, existing, key, tables, first)
-    ids = elements.select(*key, "id", "new_id")
-
-    told = graph.relationships.filter(~_blank("id")).select(*key, "id", "ord", "name", "type", "source_id", "target_id")
-    for end in ("source", "target"):
-        told = told.join(ids.select(*key, F.col("id").alias(f"{end}_id"), F.col("new_id").alias(end)), [*key, f"{end}_id"], "left")
-    told = tables.save(told)
-    missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(e).isNull(), F.lit(e)) for e in ("source", "target")])), " and ")
-    whole = told.filter("source is not null and target is not null")
-    relationships = tables.save(numbered(whole, [*order, F.col("ord"), F.col("id")], tables, "new_id", first))
-    rejects = rejects.unionByName(_rejected(graph.relationships.filter(_blank("id")), key, "relationship", F.col("id"), "no id"))
-    rejects = rejects.unionByName(_rejected(told.filter("source is null or target is null"), key, "relationship", F.col("id"), F.concat(F.lit("missing "), missing)))
-
-    views = graph.views.filter(~_blank("view_id")).groupBy(*key, "view_id").agg(F.min("ord").alias("ord"), F.min_by(F.struct("view_name", "parent_element_id"), "ord").alias("x"))
-    views = views.select(*key, "view_id", "ord", "x.*", F.lit(0).alias("declared"))
-    said = subdiagrams.join(ids, [*key, "id"], "left_semi").groupBy(*key, "view_id").agg(F.min_by(F.struct("ord", "view_name", "id"), "ord").alias("f"))
-    owner = subdiagrams.filter(~_blank("view_id")).groupBy(*key, "view_id").agg(F.max_by("id", "ord").alias("owner"))
-    extra = said.join(views, [*key, "view_id"], "left_anti").select(*key, "view_id", "f.ord", "f.view_name", F.col("f.id").alias("parent_element_id"), F.lit(1).alias("declared"))
-    views = numbered(views.unionByName(extra), [*order, F.col("declared"), F.col("ord"), F.col("view_id")], tables, "new_id", first)
-    by = lambda column, name: ids.select(*key, F.col("id").alias(column), F.col("new_id").alias(name))
-    views = views.join(owner, [*key, "view_id"], "left").join(by("parent_element_id", "a"), [*key, "parent_element_id"], "left").join(by("owner", "b"), [*key, "owner"], "left")
-    views = tables.save(views.select("new_id", *key, "view_id", "view_name", F.coalesce("a", "b").alias("owner_id")))
-    rejects = rejects.unionByName(_rejected(graph.views.filter(_blank("view_id")), key, "view", F.col("view_id"), "no id"))
-
-    diagrams = views.select(*key, "view_id", F.col("new_id").alias("diagram_id"))
-    # A view is drawn as a whole: its members are one group.
-    place = (F.row_number().over(Window.partitionBy(*key, "view_id").orderBy("ord")) - 1).cast("long")
-    held = graph.view_elements.withColumn("i", place).join(diagrams, [*key, "view_id"]).join(by("element_id", "e"), [*key, "element_id"], "left")
-    placed = held.filter("e is not null").select(*key, "diagram_id", F.col("e").alias("element_id"), F.col("i").alias("ord"), *_box(F.col("i")))
-    drawn = graph.view_relationships.join(diagrams, [*key, "view_id"])
-    last = relationships.groupBy(*key, F.col("id").alias("relationship_id")).agg(F.max("new_id").alias("connector_id"))
-    drawn = drawn.join(last, [*key, "relationship_id"], "left")
-    rejects = rejects.unionByName(_rejected(held.filter("e is null"), key, "view element", F.col("element_id"), "missing element", F.col("view_id")))
-    rejects = rejects.unionByName(_rejected(drawn.filter("connector_id is null"), key, "view relationship", F.col("relationship_id"), "missing relationship", F.col("view_id")))
-    return Imported(
-        elements,
-        relationships.select("new_id", *key, "id", "name", "type", F.col("source").alias("source_id"), F.col("target").alias("target_id")),
-        views,
-        placed,
-        drawn.filter("connector_id is not null").select(*key, "diagram_id", "connector_id"),
-        rejects,
-    )
+    return Imported(graph, existing, subdiagrams, key, first)

@@ -82,3 +82,19 @@ def test_relationships_at_one_place_are_numbered_by_id(spark):
         got = importing.import_graph(g).relationships.orderBy("new_id").collect()
         assert [r["id"] for r in got] == sorted(r[1] for r in ends)
         assert [r["new_id"] for r in got] == list(range(1, 81))
+
+
+def test_elements_cost_nothing_of_the_links(spark):
+    g = graph(spark, [("g", 1, "a", "A", "t", None)], [("g", 1, "r", "", "t", "a", "a")])
+    g = Graph(g.elements, g.relationships.withColumn("id", F.raise_error(F.lit("links were read")).cast("string")), g.views, g.view_elements, g.view_relationships)
+    assert [r["new_id"] for r in importing.import_graph(g).elements.collect()] == [1]
+
+
+def test_numbers_are_read_without_another_shuffle(spark):
+    from stratagraph.plans.fixpoint import Rounds
+    from stratagraph.plans.numbering import numbered
+
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    out = numbered(rows.repartition(5), [F.col("k")], Rounds(spark), "n", 1)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["k"], r["n"]) for r in out.collect()) == [(k, k + 1) for k in range(1000)]
