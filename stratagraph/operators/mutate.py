@@ -149,10 +149,11 @@ def take_relationships(graph: Graph, scope: DataFrame, ids: DataFrame) -> Graph:
     key = _key(graph, scope, ids)
     at = [*key, "view_id"]
     left = _without(graph.view_relationships, scope, [*at, "relationship_id"])
-    ends = _ends(graph, key)
-    was = scope.select(*at, "relationship_id").join(ends, [*key, "relationship_id"]).select(*at, "element_id").distinct()
-    used = left.join(ends, [*key, "relationship_id"]).select(*at, "element_id").distinct()
-    drop = was.join(used, [*at, "element_id"], "left_anti")
+    # All links meet the drawn ones once, before their two ends become rows.
+    drawn = scope.select(*at, "relationship_id", F.lit(True).alias("goes")).unionAll(left.select(*at, "relationship_id", F.lit(False)))
+    drawn = drawn.join(graph.relationships.select(*key, F.col("id").alias("relationship_id"), "source_id", "target_id"), [*key, "relationship_id"])
+    ends = drawn.select(*at, "goes", F.explode(F.array("source_id", "target_id")).alias("element_id"))
+    drop = ends.groupBy(*at, "element_id").agg(F.bool_and("goes").alias("goes")).filter("goes").drop("goes")
     gone = ids.select(*key, "id").join(left.select(*key, F.col("relationship_id").alias("id")), [*key, "id"], "left_anti")
     return replace(graph, relationships=_without(graph.relationships, gone, [*key, "id"]), view_elements=_without(graph.view_elements, drop, [*at, "element_id"]), view_relationships=left)
 
