@@ -50,9 +50,10 @@ def missing_parents(graph: Graph) -> DataFrame:
 
 
 def dangling(graph: Graph) -> DataFrame:
+    """Relationships pass by hashed elements: sorted, they would need memory and spill."""
     out = []
     for end in ("source", "target"):
-        ids = graph.elements.select("graph_key", F.col("id").alias(f"{end}_id"))
+        ids = graph.elements.select("graph_key", F.col("id").alias(f"{end}_id")).hint("shuffle_hash")
         lost = graph.relationships.join(ids, ["graph_key", f"{end}_id"], "left_anti")
         out.append(_found(lost, f"missing_{end}", "relationship", "id", _say(f"missing {end}: ", f"${end}_id")))
     return reduce(DataFrame.unionAll, out)

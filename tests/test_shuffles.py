@@ -2,6 +2,7 @@
 
 import pytest
 
+from stratagraph import queries
 from stratagraph.sources import star
 
 
@@ -23,3 +24,12 @@ def test_named_links_are_the_links(spark, sf):
     plain = star.links(spark, sf, illegal=True)
     assert named.select(cols).exceptAll(plain.select(cols)).isEmpty() and plain.select(cols).exceptAll(named.select(cols)).isEmpty()
     assert named.filter("source_name is null or target_name is null").isEmpty()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_pass_by_hashed_elements(spark, sf, no_broadcast):
+    plan = _plan(queries.rule_dangling(spark, sf))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
