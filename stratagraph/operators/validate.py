@@ -24,9 +24,12 @@ def _say(*parts) -> Column:
 
 
 def duplicate_ids(graph: Graph) -> DataFrame:
+    """Ids are dealt to as many tasks as the session has for shuffles: a count before the shuffle
+    would hold an entry for nearly each row, in tasks that adaptive plans make large."""
     out = []
     for rows, kind, key in ((graph.elements, "element", "id"), (graph.relationships, "relationship", "id"), (graph.views, "view", "view_id")):
-        twice = rows.groupBy("graph_key", key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        dealt = rows.select("graph_key", key).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "graph_key", key)
+        twice = dealt.groupBy("graph_key", key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         out.append(_found(twice, f"duplicate_{kind}", kind, key, _say(f"duplicate {kind} id: ", f"${key}")))
     return reduce(DataFrame.unionAll, out)
 

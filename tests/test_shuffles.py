@@ -3,7 +3,9 @@
 import pytest
 
 from stratagraph import queries
+from stratagraph.operators import validate
 from stratagraph.sources import star
+from stratagraph.sources.documents import Graph
 
 
 @pytest.fixture
@@ -33,3 +35,11 @@ def _plan(df):
 def test_links_pass_by_hashed_elements(spark, sf, no_broadcast):
     plan = _plan(queries.rule_dangling(spark, sf))
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_ids_are_dealt_before_they_are_counted(spark, sf):
+    plan = _plan(queries.rule_duplicate_ids(spark, sf))
+    assert plan.count("REPARTITION_BY_NUM") == 3
+    ids = spark.createDataFrame([("g", k % 40, None) for k in range(50)], "graph_key string, id string, view_id string")
+    found = validate.duplicate_ids(Graph(ids, ids.limit(0), ids.limit(0), ids, ids))
+    assert sorted(int(r["id"]) for r in found.collect()) == list(range(10))
