@@ -43,3 +43,8 @@ def test_ids_are_dealt_before_they_are_counted(spark, sf):
     ids = spark.createDataFrame([("g", k % 40, None) for k in range(50)], "graph_key string, id string, view_id string")
     found = validate.duplicate_ids(Graph(ids, ids.limit(0), ids.limit(0), ids, ids))
     assert sorted(int(r["id"]) for r in found.collect()) == list(range(10))
+
+
+def test_pairs_are_dealt_before_they_are_distinct(spark, sf, no_broadcast):
+    plan = _plan(queries.path_two_hops(spark, sf))
+    assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
