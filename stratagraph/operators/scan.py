@@ -28,7 +28,8 @@ ENV_VAR_PATH = r"\$[A-Z_][A-Z0-9_]*|%[A-Z_][A-Z0-9_]*%"
 TILDE_PATH = r"~[/\\]"
 GIT_BASH_PATH = r"(^|[^A-Za-z0-9_])/c/"
 GIT_HASH = r"(?<![A-Za-z0-9_])[0-9a-f]{40}(?![A-Za-z0-9_])"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# A name counts from its first sign on, so that no part of a long run of signs is read again.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<![A-Za-z0-9_])[0-9]{11}(?![A-Za-z0-9_])"
 
 #: Families of values: any of the patterns.
@@ -40,9 +41,13 @@ VALUES = {
     "phone": [PHONE],
 }
 
+#: What every match of a pattern holds; texts without it need no search.
+HOLDS = {WINDOWS_DRIVE_PATH: ":", UNC_PATH: "\\\\", UNIX_ABSOLUTE_PATH: "/", TILDE_PATH: "~", GIT_BASH_PATH: "/c/", EMAIL: "@"}
+
 
 def _any(column: str, patterns: list[str]) -> Column:
-    return reduce(Column.__or__, [F.col(column).rlike(p) for p in patterns])
+    search = lambda p: F.col(column).contains(HOLDS[p]) & F.col(column).rlike(p) if p in HOLDS else F.col(column).rlike(p)
+    return reduce(Column.__or__, map(search, patterns))
 
 
 def sensitive(fields: DataFrame) -> DataFrame:
@@ -53,7 +58,8 @@ def sensitive(fields: DataFrame) -> DataFrame:
         F.when(F.col("key").rlike(COMMIT_KEY) | F.coalesce(named.rlike(COMMIT_KEY), F.lit(False)), F.lit("commit_key")),
         *[F.when(_any("value", ps), F.lit(k)) for k, ps in VALUES.items()],
     ]
-    hits = fields.withColumn("type", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())))
+    # A filter inside the explode would be run twice, once to find texts without a hit.
+    hits = fields.withColumn("type", F.explode(F.array(*checks))).filter("type is not null")
     return hits.select("type", "path", "value", mask(F.col("value")).alias("masked"))
 
 

@@ -1,9 +1,11 @@
 """What plans shuffle, where it decides whether a large graph fits."""
 
+import re
+
 import pytest
 
 from stratagraph import queries
-from stratagraph.operators import validate
+from stratagraph.operators import scan, validate
 from stratagraph.sources import star
 from stratagraph.sources.documents import Graph
 
@@ -48,3 +50,12 @@ def test_ids_are_dealt_before_they_are_counted(spark, sf):
 def test_pairs_are_dealt_before_they_are_distinct(spark, sf, no_broadcast):
     plan = _plan(queries.path_two_hops(spark, sf))
     assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_values_are_searched_once(spark, sf):
+    plan = queries.sensitive_scan(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9a-f]{40}") == 1
+    texts = ["a@b.co", "x" * 30_000 + " @", "@b.co", " .@b.co", "a@@b.co", "a@b.c1", "a b@c.d.ee9", "éa@b.co", "%%@-.-.ab"]
+    rows = spark.createDataFrame([(str(k), "k", t) for k, t in enumerate(texts)], "path string, key string, value string")
+    found = {int(r["path"]) for r in scan.sensitive(rows).collect() if r["type"] == "email"}
+    assert found == {k for k, t in enumerate(texts) if re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", t[-100:])}
