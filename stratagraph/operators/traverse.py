@@ -82,14 +82,18 @@ def boundary(nodes: DataFrame, edges: DataFrame, dependent: int = 1) -> DataFram
     """(root, id, direction, remaining, relationship_ids) of edges that leave a
     context: dependency or association edges of its nodes on those ways, and
     dependent edges of nodes at the last depth of that way."""
+    from stratagraph.plans.fixpoint import Rounds
+
     key = shared_key(nodes, edges)
+    nodes = Rounds(nodes.sparkSession).save(nodes)  # read three times below
     inside = nodes.select(*key, "root", F.col("id").alias("to_id")).distinct()
     near = nodes.filter("direction in ('dependency', 'association')").select(*key, "root", "id").distinct().withColumn("direction", F.lit("dependency"))
     far = nodes.filter((F.col("direction") == "dependent") & (F.col("depth") >= dependent)).select(*key, "root", "id").withColumn("direction", F.lit("dependent"))
     way = F.when(F.col("kind") == "dependent", "dependent").otherwise("dependency")
     step = edges.select(*key, F.col("from_id").alias("id"), "to_id", "relationship_id", way.alias("direction"))
     out = near.unionAll(far).join(step, [*key, "id", "direction"]).join(inside, [*key, "root", "to_id"], "left_anti")
-    return out.groupBy(*key, "root", "id", "direction").agg(F.countDistinct("relationship_id").alias("remaining"), F.array_sort(F.collect_set("relationship_id")).alias("relationship_ids"))
+    out = out.groupBy(*key, "root", "id", "direction").agg(F.array_sort(F.collect_set("relationship_id")).alias("relationship_ids"))
+    return out.select(*key, "root", "id", "direction", F.size("relationship_ids").cast("long").alias("remaining"), "relationship_ids")
 
 
 def view_anchors(included: DataFrame, elements: DataFrame, views: DataFrame, view_elements: DataFrame, relationships: DataFrame | None = None, view_relationships: DataFrame | None = None) -> DataFrame:

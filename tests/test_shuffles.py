@@ -59,3 +59,12 @@ def test_values_are_searched_once(spark, sf):
     rows = spark.createDataFrame([(str(k), "k", t) for k, t in enumerate(texts)], "path string, key string, value string")
     found = {int(r["path"]) for r in scan.sensitive(rows).collect() if r["type"] == "email"}
     assert found == {k for k, t in enumerate(texts) if re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", t[-100:])}
+
+
+def test_boundary_makes_its_nodes_once(spark, sf):
+    from stratagraph.operators import traverse
+
+    edges = queries._edges(spark, sf)
+    nodes = traverse.intent_context(queries._customers(spark, sf), edges)[0]
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert reads(traverse.boundary(nodes, edges)) == reads(edges) + 3
