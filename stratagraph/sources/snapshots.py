@@ -34,14 +34,29 @@ class Snapshots:
     def save(self, graph: Graph, at: str | None = None) -> None:
         """A new version of every graph that has a row in any table. ``at``: its time,
         else now. Versions beyond the newest ``keep`` of these graphs go."""
+        self.publish(self.stage(graph), at)
+
+    def stage(self, graph: Graph) -> str:
+        """Write tables to a new folder that no version points to as yet; its name."""
         folder = uuid.uuid4().hex
         for t in TABLES:
             rows = getattr(graph, t)
             rows.withColumn("graph_key", F.col("graph_key").cast("string")).write.parquet(f"{self.path}/data/{folder}/{t}")
-        keys = reduce(DataFrame.unionAll, [self._rows(t, folder).select("graph_key") for t in TABLES]).distinct()
+        return folder
+
+    def keys(self, folder: str) -> DataFrame:
+        """(graph_key) of the graphs that have a row in a folder."""
+        return reduce(DataFrame.unionAll, [self._rows(t, folder).select("graph_key") for t in TABLES]).distinct()
+
+    def publish(self, folder: str, at: str | None = None) -> None:
+        """A new version of every graph in a folder."""
+        self._add(self.keys(folder).withColumn("folder", F.lit(folder)), at)
+
+    def _add(self, places: DataFrame, at: str | None = None) -> None:
+        """New versions of graphs (graph_key, folder)."""
         last = self._log().groupBy("graph_key").agg(F.max("version").alias("last"))
         when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
-        rows = keys.join(last, "graph_key", "left").select("graph_key", (F.coalesce("last", F.lit(0)) + 1).alias("version"), when.alias("at"), F.lit(folder).alias("folder"), F.lit(False).alias("gone"))
+        rows = places.join(last, "graph_key", "left").select("graph_key", (F.coalesce("last", F.lit(0)) + 1).alias("version"), when.alias("at"), "folder", F.lit(False).alias("gone"))
         self._append(rows)
         self.expire()
 
@@ -83,8 +98,10 @@ class Snapshots:
         return self._read(self.versions().join(wanted.select("graph_key", "version"), ["graph_key", "version"]).select("graph_key", "folder"))
 
     def restore(self, wanted: DataFrame) -> Graph:
-        """Make old versions (graph_key, version) the newest ones; these graphs as they are then."""
-        self.save(self.version(wanted))  # old versions may go with this
+        """Make old versions (graph_key, version) the newest ones; these graphs as they are then.
+        New versions point to the old ones' folders, which stay as long as a version does."""
+        old = self.versions().join(wanted.select("graph_key", "version"), ["graph_key", "version"], "left_semi")
+        self._add(old.groupBy("graph_key").agg(F.max_by("folder", "version").alias("folder")))  # old versions may go with this
         return self.as_of(keys=wanted)
 
     def _read(self, chosen: DataFrame) -> Graph:

@@ -111,8 +111,9 @@ def _snapshots(spark, d) -> Snapshots:
     second = g.elements.filter(~((F.col("type") == "Business Role") & (k % 2 == 0))).withColumn("name", F.when(F.col("type") == "Business Actor", F.concat("name", F.lit(" (2)"))).otherwise(F.col("name")))
     kept = Snapshots(spark, f"{Rounds(spark).root}/snapshots", keep=3)
     kept.save(g, "2024-01-01 00:00:00")
-    kept.save(replace(g, elements=second), "2024-02-01 00:00:00")
-    kept.save(replace(g, view_elements=g.view_elements.limit(0)), "2024-03-01 00:00:00")
+    stored = kept.as_of()  # what stays is copied from the first version, not made again
+    kept.save(replace(stored, elements=second), "2024-02-01 00:00:00")
+    kept.save(replace(stored, view_elements=g.view_elements.limit(0)), "2024-03-01 00:00:00")
     return kept
 
 

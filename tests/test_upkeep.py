@@ -150,3 +150,17 @@ def test_snapshots_of_graphs_with_versions_of_their_own(spark, tmp_path):
 def test_undo_keeps_the_newest(spark):
     log = spark.createDataFrame([(g, k) for g, n in (("g", 7), ("h", 2)) for k in range(n)], "graph_key string, seq long")
     assert sorted(map(tuple, capped(log, 3).collect())) == [("g", 4), ("g", 5), ("g", 6), ("h", 0), ("h", 1)]
+
+
+def test_a_restored_version_copies_nothing(spark, tmp_path):
+    kept = Snapshots(spark, str(tmp_path), keep=2)
+    for name in "abc":
+        kept.save(graph(spark, g=[name]))
+    before = {p.name for p in (tmp_path / "data").iterdir()}
+    back = kept.restore(spark.createDataFrame([("g", 2)], "graph_key string, version long"))
+    assert [r["name"] for r in back.elements.collect()] == ["b"]
+    assert {p.name for p in (tmp_path / "data").iterdir()} <= before
+    kept.save(graph(spark, g=["d"]))
+    kept.clean()
+    again = kept.version(spark.createDataFrame([("g", 4)], "graph_key string, version long"))
+    assert [r["name"] for r in again.elements.collect()] == ["b"]  # its folder outlives version 2
