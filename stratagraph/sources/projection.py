@@ -3,7 +3,7 @@
 A write puts all tables of the graphs that it has into a folder of its own and then
 points these graphs there (``sources.snapshots`` with one version a graph), so that a
 table in which a graph has no rows any more has none, and readers see a graph before or
-after. It marks the graphs dirty first and clean last, with the digest of what was
+after. It marks the graphs dirty before they are pointed there and clean last, with the digest of what was
 written, so that one that broke off is found and done again. Keys of graphs are texts.
 """
 
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.operators.lifecycle import counts, verify_projection
+from stratagraph.operators.lifecycle import verify_projection
 from stratagraph.plans.fixpoint import Rounds
 from stratagraph.sources.documents import Graph
 from stratagraph.sources.snapshots import TABLES, Snapshots
@@ -46,7 +46,11 @@ def content(graph: Graph) -> DataFrame:
 
 def digests(graph: Graph) -> DataFrame:
     """(graph_key, digest): one digest of a graph's five tables."""
-    whole = content(graph).groupBy("graph_key").agg(F.array_sort(F.collect_list(F.struct("table", "n", "digest"))).alias("x"))  # five rows
+    return _digests(content(graph))
+
+
+def _digests(told: DataFrame) -> DataFrame:
+    whole = told.groupBy("graph_key").agg(F.array_sort(F.collect_list(F.struct("table", "n", "digest"))).alias("x"))  # five rows
     return whole.select("graph_key", F.sha2(F.to_json("x"), 256).alias("digest"))
 
 
@@ -75,17 +79,23 @@ def write_projection(graph: Graph, path: str) -> DataFrame:
     differ in content a row without id: with a row there the graph stays dirty."""
     spark = graph.elements.sparkSession
     tables = Rounds(spark)
-    keys = tables.save(reduce(DataFrame.unionAll, [getattr(graph, t).select("graph_key") for t in TABLES]).distinct())
+    kept = _kept(spark, path)
+    folder = kept.stage(graph)
+    keys = tables.save(kept.keys(folder))
     mark_dirty(keys, path)
-    _kept(spark, path).save(graph)
+    kept.publish(folder)
     written = read_projection(spark, path, keys)
-    mine, theirs = content(graph), content(written)
+    mine, theirs = content(graph), tables.save(content(written))
     at = ["graph_key", "table"]
     both = mine.join(theirs.select(*at, F.col("n").alias("m"), F.col("digest").alias("d")), at, "full_outer").filter("not (digest <=> d) or not (n <=> m)")
     differs = both.select("graph_key", F.concat(F.lit("rows of "), "table").alias("kind"), F.lit(None).cast("string").alias("id"), F.lit("both").alias("side"))
-    off = tables.save(verify_projection(graph, written).unionByName(differs))
-    bad = off.select("graph_key").distinct()
-    good = digests(written).join(counts(written), "graph_key", "left").fillna(0, ["elements", "relationships", "views"]).join(bad, "graph_key", "left_anti")
+    off = differs = tables.save(differs)
+    bad = differs.select("graph_key").distinct()
+    if not differs.isEmpty():  # rows of the same digest have the same ids
+        of = lambda g: Graph(*(getattr(g, t).join(bad, "graph_key", "left_semi") for t in TABLES))
+        off = tables.save(verify_projection(of(graph), of(written)).unionByName(differs))
+    kinds = [F.coalesce(F.sum(F.when(F.col("table") == t, F.col("n"))), F.lit(0)).alias(t) for t in ("elements", "relationships", "views")]
+    good = _digests(theirs).join(theirs.groupBy("graph_key").agg(*kinds), "graph_key").join(bad, "graph_key", "left_anti")
     _mark(good.select("graph_key", F.lit(False).alias("dirty"), "digest", "elements", "relationships", "views"), path)
     return off
 
