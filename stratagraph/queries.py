@@ -12,6 +12,7 @@ from stratagraph.model import ELEMENT_TYPES
 from stratagraph.operators import catalog, closure, delivery, diff, handoff, lifecycle, metrics, mutate, retrieval, scan, traverse, validate, views
 from stratagraph.operators import search as ranked
 from stratagraph.plans import sqlapi
+from stratagraph.plans.fixpoint import Rounds
 from stratagraph.sources import star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -550,11 +551,13 @@ def subdiagram_repair(spark, d):
 
 
 def _index(spark, d):
-    want = lifecycle.identities(star.graph(spark, d, named=True)).drop("graph_key")
+    # Digests are long, so both sides are dealt by short numbers before they are made.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = lifecycle.identities(star.graph(spark, d, named=True, dealt=tasks)).drop("graph_key")
     n = F.pmod(F.crc32(F.col("canonical_identity").cast("binary")), F.lit(10))
     have = want.filter(n != 0).withColumn("content_version", F.when(n == 1, F.lit("old")).otherwise(F.col("content_version")))
-    extra = spark.createDataFrame([("Element:gone", "Element", "x")], have.schema)
-    return want, have.unionAll(extra)
+    extra = spark.createDataFrame([(-1, "Element:gone", "Element", "x")], "place long, canonical_identity string, channel string, content_version string").repartition(tasks, "place")
+    return want, have.unionByName(extra)
 
 
 _IDENTITIES = """,
@@ -569,13 +572,13 @@ numbered AS (SELECT channel, canonical_identity, xor(list_reduce([4294967295] ||
 @query(_IDENTITIES + " SELECT canonical_identity, channel FROM numbered WHERE n < 2")
 def backfill_pending(spark, d):
     want, have = _index(spark, d)
-    return lifecycle.pending(want, have).select("canonical_identity", "channel")
+    return Rounds(spark).save_dealt(lifecycle.pending(want, have).select("canonical_identity", "channel"))
 
 
 @query(_IDENTITIES + " SELECT canonical_identity, 'upsert' AS action FROM numbered WHERE n < 2 UNION ALL SELECT 'Element:gone', 'tombstone'")
 def reconcile_delta(spark, d):
     want, have = _index(spark, d)
-    return lifecycle.reconcile(want, have)
+    return lifecycle.reconcile(want, have).drop("place")
 
 
 @query(""",

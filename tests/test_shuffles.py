@@ -68,3 +68,27 @@ def test_boundary_makes_its_nodes_once(spark, sf):
     nodes = traverse.intent_context(queries._customers(spark, sf), edges)[0]
     reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
     assert reads(traverse.boundary(nodes, edges)) == reads(edges) + 3
+
+
+@pytest.mark.parametrize("name", ["backfill_pending"])
+def test_index_is_compared_where_its_rows_are(name, spark, sf, no_broadcast, monkeypatch):
+    all_keys, plans = "spark.sql.requireAllClusterKeysForCoPartition", []
+    before = spark.conf.get(all_keys)
+    monkeypatch.setattr(queries.Rounds, "save", lambda self, df: plans.append(_plan(df)) or df)
+    queries.QUERIES[name](spark, sf)
+    (plan,) = plans
+    moved = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert moved and not any(c in m for m in moved for c in ("canonical_identity", "content_version"))
+    assert len(re.findall(r"SortMergeJoin \[place", plan)) == 1 and spark.conf.get(all_keys) == before
+
+
+def test_place_tells_nothing_apart_that_identity_does_not(spark):
+    from stratagraph.operators import lifecycle
+
+    cols = "place long, canonical_identity string, channel string, content_version string"
+    want = spark.createDataFrame([(1, "a", "E", "v"), (2, "b", "E", "v"), (2, "c", "E", "v"), (2, "c", "E", "v"), (3, "d", "E", "v")], cols)
+    have = spark.createDataFrame([(1, "a", "E", "v"), (1, "a", "E", "v"), (2, "b", "E", "old"), (9, "e", "E", "v")], cols)
+    assert sorted(r["canonical_identity"] for r in lifecycle.pending(want, have).collect()) == ["b", "c", "c", "d"]
+    for drop in ((), ("place",)):
+        got = lifecycle.reconcile(want.drop(*drop).distinct(), have.drop(*drop).distinct()).collect()
+        assert sorted((r["canonical_identity"], r["action"]) for r in got) == [("b", "upsert"), ("c", "upsert"), ("d", "upsert"), ("e", "tombstone")]
