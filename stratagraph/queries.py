@@ -578,7 +578,7 @@ def backfill_pending(spark, d):
 @query(_IDENTITIES + " SELECT canonical_identity, 'upsert' AS action FROM numbered WHERE n < 2 UNION ALL SELECT 'Element:gone', 'tombstone'")
 def reconcile_delta(spark, d):
     want, have = _index(spark, d)
-    return lifecycle.reconcile(want, have).drop("place")
+    return Rounds(spark).save_dealt(lifecycle.reconcile(want, have).drop("place"))
 
 
 @query(""",

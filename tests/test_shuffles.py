@@ -70,7 +70,7 @@ def test_boundary_makes_its_nodes_once(spark, sf):
     assert reads(traverse.boundary(nodes, edges)) == reads(edges) + 3
 
 
-@pytest.mark.parametrize("name", ["backfill_pending"])
+@pytest.mark.parametrize("name", ["backfill_pending", "reconcile_delta"])
 def test_index_is_compared_where_its_rows_are(name, spark, sf, no_broadcast, monkeypatch):
     all_keys, plans = "spark.sql.requireAllClusterKeysForCoPartition", []
     before = spark.conf.get(all_keys)
